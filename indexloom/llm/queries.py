@@ -6,19 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from indexloom.llm import chunk_bpe
+from indexloom.llm import chunk_bpe, pii, plane_files, textops
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_digests(_docs(spark, sf_dir))
+
+
+def op2_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = textops.shared_dir(spark, "plane-files")
+    plane_files.write_ids(_docs(spark, sf_dir), folder)
+    return plane_files.read_digests(spark, folder)
+
+
 def op9_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_bpe.encode_digests(_docs(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_chunk_bpe": op9_chunk_bpe}
+    return {f.__name__: f for f in (op1_pii, op2_plane_files, op9_chunk_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
