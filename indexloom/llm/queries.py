@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from indexloom.llm import chunk_bpe, pii, plane_files, textops
+from indexloom.llm import chunk_bpe, decontam, knn_quality, pii, plane_files, ppm_lang, quality_rules, textops
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,12 +23,28 @@ def op2_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plane_files.read_digests(spark, folder)
 
 
+def op3_suffix_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op4_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn_quality.score(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op5_ppm_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm_lang.identify(_docs(spark, sf_dir))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(_docs(spark, sf_dir))
+
+
 def op9_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_bpe.encode_digests(_docs(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_plane_files, op9_chunk_bpe)}
+    return {f.__name__: f for f in (op1_pii, op2_plane_files, op3_suffix_decontam, op4_knn_quality, op5_ppm_lang, op7_quality_rules, op9_chunk_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 4_000_000
 
@@ -141,5 +142,21 @@ def cut(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def bounded_sample(rows: DataFrame, by: str, key: list[str], n: int) -> DataFrame:
+    """About n rows of each value of `by` (all, where there are fewer), chosen by a hash of `key`.
+
+    The classes' sizes give each a share of the hash range, so the choice needs no sort, no shuffle
+    of the rows and no group in one task, and doesn't depend on how the rows are partitioned. `by`
+    has few values, as class labels have. A column `rank` orders the sample.
+    """
+    sizes = {r[0]: r.n for r in rows.groupBy(by).agg(F.count("*").alias("n")).collect()}
+    rank = F.pmod(F.xxhash64(*key), F.lit(1_000_000_007))
+    limit = F.lit(-1)
+    for value, size in sizes.items():
+        if value is not None:
+            limit = F.when(F.col(by) == F.lit(value), F.lit(int(min(1.0, n / size) * 1_000_000_007))).otherwise(limit)
+    return rows.withColumn("rank", rank).where(F.col("rank") <= limit)
+
+
 def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
