@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from indexloom.llm import chunk_bpe, decontam, knn_quality, pii, plane_files, ppm_lang, quality_rules, textops
+from indexloom.llm import chunk_bpe, decontam, jaccard_join, knn_quality, pii, plane_files, ppm_lang, quality_rules, textops
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op5_ppm_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm_lang.identify(_docs(spark, sf_dir))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_documents(_docs(spark, sf_dir))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_docs(spark, sf_dir))
 
@@ -44,7 +48,7 @@ def op9_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_plane_files, op3_suffix_decontam, op4_knn_quality, op5_ppm_lang, op7_quality_rules, op9_chunk_bpe)}
+    return {f.__name__: f for f in (op1_pii, op2_plane_files, op3_suffix_decontam, op4_knn_quality, op5_ppm_lang, op6_jaccard_join, op7_quality_rules, op9_chunk_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
