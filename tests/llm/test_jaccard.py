@@ -104,5 +104,5 @@ def test_one_of_each_keeps_one_row_of_every_class(spark):
     kept = [(r.doc_id, r.text) for r in out.collect()]
     # the repeated rows of document 4 become one; those without words stay
     assert sum(k[0] == 4 for k in kept) == 1 and {0, 1, 3} <= {k[0] for k in kept}
-    rows = brute([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
-    assert len(kept) == len({r[1] for r in rows if r[1] is not None}) + sum(r[1] is None for r in rows)
+    # the two rows of id 5 are different documents; the first of them and document 11 are alike
+    assert len(kept) == docs.count() - 3 and sum(k[0] in (5, 11) for k in kept) == 2
