@@ -122,7 +122,7 @@ def _writer(path: str, end_id: int, bits: bool, block: int, segment: int):
             return textops.batch_of(_SEGMENT, [shard], [seq], [before], [len(keys)], [len(ids)], [_pack_docs(keys, np.concatenate(lengths))], [write_file(ids, block, bits)])
 
         for batch in batches:
-            for piece in textops.slices(batch, limit=1_000_000):
+            for piece in textops.slices(batch, limit=8_000_000):
                 ids, at = words.encode(textops.text_column(piece))
                 keys += piece.column(0).cast(pa.int64()).to_pylist()
                 lengths.append(np.diff(at) + 1)

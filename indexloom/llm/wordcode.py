@@ -9,13 +9,20 @@ asked only about words that the worker hasn't met.
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_WORDS = 400_000  # the worker's memory of words is emptied beyond this number; results don't depend on it
+CACHE_WORDS = 500_000  # the worker's memory of words and of their pieces is emptied beyond these numbers; results don't depend on them
+CACHE_PIECES = 600_000
+
+
+def _grown(x: np.ndarray, size: int) -> np.ndarray:
+    return x if size <= len(x) else np.concatenate([x, np.zeros(max(len(x), size - len(x)), dtype=x.dtype)])
 
 
 def public_path(name: str = "word_bpe_49k.json") -> str:
@@ -35,57 +42,83 @@ def library(path: str):
     return tok
 
 
+#: A word of Latin letters with sentence marks or symbols behind it splits there, by the vocabulary's own rule, and its letters may be lower-cased.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*#$%&|]*)\Z")
+
+
 class WordCoder:
+    """Remembers words as pairs of pieces, and the ids of pieces; the library is asked about new pieces only."""
+
     def __init__(self, path: str):
         self.tok = library(path)
         size = self.tok.get_vocab_size()
         strings = [self.tok.id_to_token(i) or "" for i in range(size)]
         self.token_text = pa.array(strings, type=pa.string())
-        self.forget()
+        self.words: dict[str, int] = {}
+        self.forget_pieces()
+
+    def forget_words(self) -> None:
+        self.words = {}
+        self.first = np.zeros(1 << 14, dtype=np.int32)
+        self.second = np.zeros(1 << 14, dtype=np.int32)
 
-    def forget(self) -> None:
-        self.index: dict[str, int] = {}
+    def forget_pieces(self) -> None:
+        self.forget_words()
+        self.pieces: dict[str, int] = {"": 0}
         self.pool = np.zeros(1 << 16, dtype=np.int32)
         self.used = 0
         self.at = np.zeros(1 << 14, dtype=np.int64)
         self.length = np.zeros(1 << 14, dtype=np.int64)
 
-    def _learn(self, words: list[str]) -> None:
-        for low in range(0, len(words), 20_000):
-            part = words[low : low + 20_000]
+    def _learn_pieces(self, new: list[str]) -> None:
+        for low in range(0, len(new), 20_000):
+            part = new[low : low + 20_000]
             ids = [e.ids for e in self.tok.encode_batch_fast(part, add_special_tokens=False)]
             lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-            total = int(lengths.sum())
-            if self.used + total > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), total), dtype=np.int32)])
-            self.pool[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), dtype=np.int32, count=total)
-            first = len(self.index)
-            if first + len(part) > len(self.at):
-                more = np.zeros(max(len(self.at), len(part)), dtype=np.int64)
-                self.at, self.length = np.concatenate([self.at, more]), np.concatenate([self.length, more])
-            self.at[first : first + len(part)] = self.used + np.concatenate([[0], np.cumsum(lengths)[:-1]])
+            total, first = int(lengths.sum()), len(self.pieces)
+            self.pool = _grown(self.pool, self.used + total)
+            self.at, self.length = _grown(self.at, first + len(part)), _grown(self.length, first + len(part))
+            self.pool[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=total)
+            self.at[first : first + len(part)] = self.used + np.cumsum(lengths) - lengths
             self.length[first : first + len(part)] = lengths
-            self.index.update(zip(part, range(first, first + len(part)), strict=True))
+            self.pieces.update(zip(part, range(first, first + len(part)), strict=True))
             self.used += total
 
+    def _learn_words(self, new: list[str]) -> None:
+        pairs = [(m[1].lower(), m[2]) if (m := _PLAIN.match(w)) else (w, "") for w in new]
+        unknown = list({p for pair in pairs for p in pair}.difference(self.pieces))
+        self._learn_pieces(sorted(unknown))
+        low = len(self.words)
+        self.first, self.second = _grown(self.first, low + len(new)), _grown(self.second, low + len(new))
+        get = self.pieces.__getitem__
+        self.first[low : low + len(new)] = np.fromiter((get(a) for a, _ in pairs), dtype=np.int32, count=len(new))
+        self.second[low : low + len(new)] = np.fromiter((get(b) for _, b in pairs), dtype=np.int32, count=len(new))
+        self.words.update(zip(new, range(low, low + len(new)), strict=True))
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of large_string texts without nulls."""
         split = pc.ascii_split_whitespace(texts)
         coded = split.values.dictionary_encode()
         values = coded.dictionary.to_pylist()
         row = split.offsets.to_numpy()
-        if len(self.index) > CACHE_WORDS:
-            self.forget()
-        get = self.index.get
-        slot = np.fromiter((get(w, -1) for w in values), dtype=np.int64, count=len(values))
-        if (new := np.flatnonzero(slot < 0)).size:
-            self._learn([values[i] for i in new])
-            slot[new] = np.arange(len(self.index) - len(new), len(self.index))
-        word = slot[coded.indices.to_numpy(zero_copy_only=False)]
-        lengths = self.length[word]
+        if len(self.pieces) > CACHE_PIECES:
+            self.forget_pieces()
+        if len(self.words) > CACHE_WORDS:
+            self.forget_words()
+        slots = list(map(self.words.get, values))
+        new = [k for k, x in enumerate(slots) if x is None]
+        if new:
+            low = len(self.words)
+            self._learn_words([values[k] for k in new])
+            for k, x in zip(new, range(low, low + len(new)), strict=True):
+                slots[k] = x
+        word = np.array(slots, dtype=np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
+        pieces = np.empty(2 * len(word), dtype=np.int64)
+        pieces[0::2], pieces[1::2] = self.first[word], self.second[word]
+        lengths = self.length[pieces]
         ends = np.concatenate([[0], np.cumsum(lengths)])
-        ids = self.pool[np.arange(ends[-1]) + np.repeat(self.at[word] - ends[:-1], lengths)]
-        return ids, ends[row - row[0]]
+        ids = self.pool[np.arange(ends[-1]) + np.repeat(self.at[pieces] - ends[:-1], lengths)]
+        return ids, ends[2 * (row - row[0])]
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
         """The library's decode() of each range of ids: this vocabulary has no decoder, so tokens are joined by a space."""
