@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from indexloom.llm import chunk_bpe, decontam, jaccard_join, knn_quality, license_scan, pii, plane_files, ppm_lang, quality_rules, textops
+from indexloom.llm import chunk_bpe, decontam, html_main, jaccard_join, knn_quality, license_scan, pii, plane_files, ppm_lang, quality_rules, textops
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_docs(spark, sf_dir))
 
 
+def op8_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op9_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_bpe.encode_digests(_docs(spark, sf_dir))
 
@@ -52,7 +56,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_plane_files, op3_suffix_decontam, op4_knn_quality, op5_ppm_lang, op6_jaccard_join, op7_quality_rules, op9_chunk_bpe, op10_license_scan)}
+    return {f.__name__: f for f in (op1_pii, op2_plane_files, op3_suffix_decontam, op4_knn_quality, op5_ppm_lang, op6_jaccard_join, op7_quality_rules, op8_html_main, op9_chunk_bpe, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
