@@ -44,6 +44,7 @@ def library(path: str):
 
 #: A word of Latin letters with sentence marks or symbols behind it splits there, by the vocabulary's own rule, and its letters may be lower-cased.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*#$%&|]*)\Z")
+_LETTERS = re.compile(r"[a-zß-öø-ÿ]+\Z")
 
 
 class WordCoder:
@@ -54,6 +55,7 @@ class WordCoder:
         size = self.tok.get_vocab_size()
         strings = [self.tok.id_to_token(i) or "" for i in range(size)]
         self.token_text = pa.array(strings, type=pa.string())
+        self.ends_word = np.fromiter((t.endswith("</w>") for t in strings), dtype=bool, count=size)
         self.words: dict[str, int] = {}
         self.forget_pieces()
 
@@ -67,18 +69,30 @@ class WordCoder:
         self.pieces: dict[str, int] = {"": 0}
         self.pool = np.zeros(1 << 16, dtype=np.int32)
         self.used = 0
-        self.at = np.zeros(1 << 14, dtype=np.int64)
-        self.length = np.zeros(1 << 14, dtype=np.int64)
+        self.at = np.zeros(1 << 14, dtype=np.int32)
+        self.length = np.zeros(1 << 14, dtype=np.int32)
+
+    def _library_ids(self, part: list[str], letters: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, lengths) of pieces. Runs of letters end in one end-of-word token each, so many of them can be asked about as one text."""
+        if letters:
+            texts = [" ".join(part[k : k + 1000]) for k in range(0, len(part), 1000)]
+            ids = np.concatenate([np.array(e.ids, dtype=np.int32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)])
+            lengths = np.diff(np.flatnonzero(self.ends_word[ids]), prepend=-1)
+            if len(lengths) == len(part) and int(lengths.sum()) == len(ids):
+                return ids, lengths
+        got = [e.ids for e in self.tok.encode_batch_fast(part, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
+        return np.fromiter(chain.from_iterable(got), dtype=np.int32, count=int(lengths.sum())), lengths
 
     def _learn_pieces(self, new: list[str]) -> None:
-        for low in range(0, len(new), 20_000):
-            part = new[low : low + 20_000]
-            ids = [e.ids for e in self.tok.encode_batch_fast(part, add_special_tokens=False)]
-            lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-            total, first = int(lengths.sum()), len(self.pieces)
+        plain = [p for p in new if _LETTERS.match(p)]
+        rest = [p for p in new if not _LETTERS.match(p)]
+        for part, letters in [(plain[k : k + 20_000], True) for k in range(0, len(plain), 20_000)] + [(rest[k : k + 20_000], False) for k in range(0, len(rest), 20_000)]:
+            ids, lengths = self._library_ids(part, letters)
+            total, first = len(ids), len(self.pieces)
             self.pool = _grown(self.pool, self.used + total)
             self.at, self.length = _grown(self.at, first + len(part)), _grown(self.length, first + len(part))
-            self.pool[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=total)
+            self.pool[self.used : self.used + total] = ids
             self.at[first : first + len(part)] = self.used + np.cumsum(lengths) - lengths
             self.length[first : first + len(part)] = lengths
             self.pieces.update(zip(part, range(first, first + len(part)), strict=True))
@@ -112,12 +126,17 @@ class WordCoder:
             self._learn_words([values[k] for k in new])
             for k, x in zip(new, range(low, low + len(new)), strict=True):
                 slots[k] = x
-        word = np.array(slots, dtype=np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
-        pieces = np.empty(2 * len(word), dtype=np.int64)
+        del values
+        word = np.array(slots, dtype=np.int32)[coded.indices.to_numpy(zero_copy_only=False)]
+        pieces = np.empty(2 * len(word), dtype=np.int32)
         pieces[0::2], pieces[1::2] = self.first[word], self.second[word]
         lengths = self.length[pieces]
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        ids = self.pool[np.arange(ends[-1]) + np.repeat(self.at[pieces] - ends[:-1], lengths)]
+        ends = np.zeros(len(pieces) + 1, dtype=np.int64)
+        np.cumsum(lengths, out=ends[1:])
+        # 32-bit places do: neither a slice's ids nor the pool come near 2**31
+        place = np.repeat(self.at[pieces] - ends[:-1].astype(np.int32), lengths)
+        place += np.arange(ends[-1], dtype=np.int32)
+        ids = self.pool[place]
         return ids, ends[2 * (row - row[0])]
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
