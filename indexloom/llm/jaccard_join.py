@@ -246,7 +246,9 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = textops.cut(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")
     bands = nodes.select("nid", "bands").mapInArrow(_band_rows, "key long, nid long")
     hubs = bands.groupBy("key").agg(F.min("nid").alias("hub"), F.count("*").alias("size")).where("size > 1").select("key", "hub")
-    stars = bands.join(hubs, "key").where("nid != hub").select(F.col("nid").alias("a"), F.col("hub").alias("b")).distinct()
+    # a node's hubs, BANDS at most: it is tied to the least, and so are the others, which many nodes share
+    tied = bands.join(hubs, "key").where("nid != hub").groupBy("nid").agg(F.collect_set("hub").alias("hubs")).withColumn("least", F.array_min("hubs"))
+    stars = tied.select(F.col("nid").alias("a"), F.col("least").alias("b")).unionByName(tied.select(F.explode("hubs").alias("a"), F.col("least").alias("b")).where("a != b").distinct())
     comps = components(stars)
 
     members = comps.withColumnRenamed("node", "nid").join(nodes.select("nid", "node", "rep_id", "copies", "n"), "nid")
