@@ -40,7 +40,7 @@ BAND_ROWS = 5
 HASHES = BANDS * BAND_ROWS
 STEPS = (16, 32, 64, 128, HASHES)
 TOLERANCE = 1e-9
-BLOCK_NODES = 512
+BLOCK_NODES = 256
 BLOCK_SHINGLES = 1_000_000
 
 _RNG = np.random.default_rng(20_240_229)
