@@ -61,7 +61,7 @@ BLOCKS = {
         JOIN matrix f ON f.a = p.a AND f.b = w.e - 24 GROUP BY ALL""",
     "window_lists": "SELECT w.e, list(g.ln_g ORDER BY d.day_no) AS g FROM ends w JOIN days d ON d.day_no <= w.e LEFT JOIN window_levels g ON g.e = w.e AND g.t = d.day_no GROUP BY w.e",
     "splice": """SELECT e, g AS lv FROM window_lists WHERE e = 25 UNION ALL
-        SELECT w.e, list_append(s.lv, w.g[w.e] + list_avg(list_filter(list_transform(range(w.e - 24, w.e), i -> s.lv[i] - w.g[i]), x -> x IS NOT NULL))) FROM splice s JOIN window_lists w ON w.e = s.e + 1""",
+        SELECT w.e, list_append(s.lv, w.g[w.e] + list_avg(list_filter(list_transform(range(w.e - 24, w.e), lambda i: s.lv[i] - w.g[i]), lambda x: x IS NOT NULL))) FROM splice s JOIN window_lists w ON w.e = s.e + 1""",
     "geks": "SELECT d.collection_date, 100 * exp(s.lv[d.day_no]) AS geks_index FROM days d CROSS JOIN (SELECT lv FROM splice ORDER BY e DESC LIMIT 1) s",
     "drift_days": """SELECT p.collection_date, p.index_value, g.geks_index, d.direct_index, p.index_value - g.geks_index AS gap, row_number() OVER (ORDER BY p.collection_date) - 1 AS k
         FROM published p JOIN geks g ON g.collection_date = p.collection_date JOIN direct d ON d.collection_date = p.collection_date WHERE p.scenario = 'uniform' AND g.geks_index IS NOT NULL""",
@@ -79,4 +79,4 @@ def statement(select: str, extra: dict[str, str] | None = None) -> str:
             if name not in need and re.search(rf"\b{name}\b", text):
                 need.add(name)
                 todo.append(blocks[name])
-    return "WITH RECURSIVE " + ", ".join(f"{n} AS ({blocks[n]})" for n in blocks if n in need) + " " + select
+    return ("WITH RECURSIVE " + ", ".join(f"{n} AS ({blocks[n]})" for n in blocks if n in need) + " " if need else "") + select

@@ -1,0 +1,28 @@
+"""A seeded random-walk fixture of quotes, marked as simulated so that it can't be published."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from indexloom.functions import constants as C
+from indexloom.functions.dimensions import routes
+
+CARRIERS = ["6E", "AI", "QP", "SG"]
+
+
+def simulate(spark: SparkSession, start: str, days: int, seed: int = 20260825, sold_out: float = 0.03, blocked: float = 0.02) -> DataFrame:
+    """days x basket cells x carriers: a random walk of each item around a price that falls with lead time."""
+    grid = spark.range(days).select(F.col("id").cast("int").alias("t")).withColumn("collection_date", F.date_add(F.lit(start).cast("date"), F.col("t")))
+    grid = grid.crossJoin(F.broadcast(routes(spark).select("origin", "destination"))).crossJoin(F.broadcast(spark.createDataFrame([(x,) for x in C.LEAD_TIMES], "lead_time_days int"))).crossJoin(F.broadcast(spark.createDataFrame([(c,) for c in CARRIERS], "carrier string")))
+    item = ["origin", "destination", "lead_time_days", "carrier"]
+    unit = lambda salt: F.pmod(F.xxhash64(*item, "t", F.lit(seed), F.lit(salt)), F.lit(1_000_003)) / 1_000_003.0  # noqa: E731  the same on every run and partitioning
+    walk = F.sum((unit("step") - 0.5) * 0.06).over(Window.partitionBy(*item).orderBy("t"))
+    base = 3000 + 4000 * F.pmod(F.xxhash64("origin", "destination", F.lit(seed)), F.lit(1000)) / 1000.0
+    fate = unit("fate")
+    reason = F.when(fate < sold_out, "sold_out").when(fate < sold_out + blocked, "blocked")
+    df = grid.withColumn("unavailable_reason", reason).withColumn("fare", F.round(base * (1 + 8.0 / (8 + F.col("lead_time_days"))) * F.exp(walk), 0))
+    return df.select(
+        "collection_date", F.lit("SIMULATED_a").alias("source"), *item, F.date_add("collection_date", F.col("lead_time_days")).alias("dep_date"),
+        F.col("unavailable_reason").isNull().alias("is_available"), F.when(F.col("unavailable_reason").isNull(), F.col("fare")).alias("total_fare"), "unavailable_reason", F.lit("INR").alias("currency"), F.lit(True).alias("is_simulated"),
+    )
