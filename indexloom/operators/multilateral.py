@@ -53,7 +53,7 @@ def geks_index(items: DataFrame, days: DataFrame, window: int = 25) -> DataFrame
     n_days = days.count()
     if n_days < 2:
         return days.limit(0).select("collection_date", F.lit(None).cast("double").alias("geks_index"))
-    window = max(3, min(window, n_days))
+    window = min(max(3, window), n_days)
     levels = window_levels(bilateral_matrix(items, days, window), n_days, window)
     per_window = levels.groupBy("e").agg(F.map_from_entries(F.collect_list(F.struct("t", "ln_g"))).alias("m"))
     rows = per_window.groupBy().agg(F.collect_list(F.struct("e", "m")).alias("w"))  # days x window numbers

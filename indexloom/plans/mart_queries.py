@@ -67,7 +67,7 @@ def _cleaned(spark, sf):
     return quality.clean(quality.stage(_raw(spark, sf)))
 
 
-@query("staged_quotes", "SELECT quote_id, route, lead_time_days, observed_lead_days, collection_ts_ist, dep_ts_ist, dep_dow, dep_hour, total_fare FROM staged", RAW)
+@query("staged_quotes", "SELECT quote_id, route, lead_time_days, CAST(observed_lead_days AS INTEGER) AS observed_lead_days, collection_ts_ist, dep_ts_ist, CAST(dep_dow AS INTEGER) AS dep_dow, CAST(dep_hour AS INTEGER) AS dep_hour, total_fare FROM staged", RAW)
 def staged_quotes(spark, sf):
     return quality.stage(_raw(spark, sf)).select("quote_id", "route", "lead_time_days", "observed_lead_days", "collection_ts_ist", "dep_ts_ist", "dep_dow", "dep_hour", "total_fare")
 
@@ -136,7 +136,7 @@ def index_vintages(spark, sf):
 
 @query(
     "index_revisions",
-    """SELECT a.collection_date, a.scenario, a.series, a.vintage_no AS from_vintage, a.computed_at_utc AS first_computed_at, a.index_value AS first_value, b.vintage_no AS to_vintage, b.computed_at_utc AS later_computed_at, b.index_value AS later_value, round(b.index_value - a.index_value, 6) AS revision_points
+    """SELECT a.collection_date, a.scenario, a.series, CAST(a.vintage_no AS INTEGER) AS from_vintage, a.computed_at_utc AS first_computed_at, a.index_value AS first_value, CAST(b.vintage_no AS INTEGER) AS to_vintage, b.computed_at_utc AS later_computed_at, b.index_value AS later_value, round(b.index_value - a.index_value, 6) AS revision_points
     FROM vintages a JOIN vintages b ON a.collection_date = b.collection_date AND a.scenario = b.scenario AND a.series = b.series AND b.vintage_no = a.vintage_no + 1 WHERE a.index_value IS DISTINCT FROM b.index_value""",
     RAW,
 )
@@ -171,7 +171,7 @@ def _directed(spark, sf):
     return basket.directed_pax(basket.map_cities(basket.trailing(_traffic(spark, sf)), _codes(spark, sf)))
 
 
-@query("trailing_traffic", "SELECT ym, count(*) AS n, sum(PaxToCity2) AS pax FROM recent GROUP BY ym", RAW)
+@query("trailing_traffic", "SELECT CAST(ym AS INTEGER) AS ym, count(*) AS n, sum(PaxToCity2) AS pax FROM recent GROUP BY ym", RAW)
 def trailing_traffic(spark, sf):
     return basket.trailing(_traffic(spark, sf)).groupBy("ym").agg(F.count("*").alias("n"), F.sum("PaxToCity2").alias("pax"))
 
@@ -328,7 +328,7 @@ def cheapest_in_cell(spark, sf):
     return collection.cheapest_in_cell(quotes_from_events(spark, sf), ["collection_date", "source", *C.STRATUM_KEY], "quote_id").select("quote_id", "is_cheapest_in_cell")
 
 
-@query("top_endpoints", "SELECT event_id AS url, least(user_id, 20) + least(CAST(json_extract_string(props, '$.k') AS INTEGER), 20) * 1.5 + 2 * (event_id % 5) + CASE WHEN value > 50 THEN 3 ELSE 0 END AS score FROM events ORDER BY score DESC, url LIMIT 6")
+@query("top_endpoints", "SELECT event_id AS url, CAST(least(user_id, 20) + least(CAST(json_extract_string(props, '$.k') AS INTEGER), 20) * 1.5 + 2 * (event_id % 5) + CASE WHEN value > 50 THEN 3 ELSE 0 END AS DOUBLE) AS score FROM events ORDER BY score DESC, url LIMIT 6")
 def top_endpoints(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet")
     k = F.get_json_object("props", "$.k").cast("int")
@@ -385,7 +385,7 @@ def fare_level_ratio(spark, sf):
     return rounded(diagnostics.compare_fare_levels(quotes_from_events(spark, sf), bench), "ratio", "median_ratio")
 
 
-@query("hedonic_design", "SELECT quote_id, route, dep_dow, CASE WHEN h <= 5 THEN 'red_eye' WHEN h <= 9 THEN 'early_morning' WHEN h <= 12 THEN 'morning' WHEN h <= 17 THEN 'afternoon' WHEN h <= 21 THEN 'evening' ELSE 'night' END AS dep_hour_band, round(ln(total_fare), 6) AS log_fare FROM (SELECT *, origin || '-' || destination AS route, isodow(dep_ts + INTERVAL 330 MINUTE) - 1 AS dep_dow, hour(dep_ts + INTERVAL 330 MINUTE) AS h FROM raw WHERE is_available AND total_fare > 0)", RAW)
+@query("hedonic_design", "SELECT quote_id, route, CAST(dep_dow AS INTEGER) AS dep_dow, CASE WHEN h <= 5 THEN 'red_eye' WHEN h <= 9 THEN 'early_morning' WHEN h <= 12 THEN 'morning' WHEN h <= 17 THEN 'afternoon' WHEN h <= 21 THEN 'evening' ELSE 'night' END AS dep_hour_band, round(ln(total_fare), 6) AS log_fare FROM (SELECT *, origin || '-' || destination AS route, isodow(dep_ts + INTERVAL 330 MINUTE) - 1 AS dep_dow, hour(dep_ts + INTERVAL 330 MINUTE) AS h FROM raw WHERE is_available AND total_fare > 0)", RAW)
 def hedonic_design(spark, sf):
     return rounded(hedonic.prepare(_raw(spark, sf)).select("quote_id", "route", "dep_dow", "dep_hour_band", "log_fare"), "log_fare")
 
@@ -422,7 +422,7 @@ def parsed_fares(spark, sf):
 
 @query(
     "journey_offers",
-    """SELECT event_id AS doc_id, 1000.0 + event_id % 9000 AS total_fare, '6E' AS carrier, '6E' || (100 + user_id % 900) AS flight_no, CAST(event_id % 3 AS INTEGER) AS stops, '2024-02-03 04:00' AS dep_raw FROM events WHERE event_id % 2 = 0""",
+    """SELECT event_id AS doc_id, CAST(1000 + event_id % 9000 AS DOUBLE) AS total_fare, '6E' AS carrier, '6E' || (100 + user_id % 900) AS flight_no, CAST(event_id % 3 AS INTEGER) AS stops, '2024-02-03 04:00' AS dep_raw FROM events WHERE event_id % 2 = 0""",
 )
 def journey_offers(spark, sf):
     """Payloads of the known layout made of events; those of odd ids are for another route and give nothing."""
@@ -435,7 +435,7 @@ def journey_offers(spark, sf):
     return found.where("doc_id % 2 = 0")
 
 
-@query("json_offers", "SELECT event_id AS doc_id, 1000.0 + event_id % 9000 AS total_fare, 'SG' AS carrier, 'SG' || (100 + user_id % 900) AS flight_no, CAST(user_id % 3 AS INTEGER) AS stops, NULL AS dep_raw FROM events WHERE user_id % 7 <> 0")
+@query("json_offers", "SELECT event_id AS doc_id, CAST(1000 + event_id % 9000 AS DOUBLE) AS total_fare, 'SG' AS carrier, 'SG' || (100 + user_id % 900) AS flight_no, CAST(user_id % 3 AS INTEGER) AS stops, CAST(NULL AS VARCHAR) AS dep_raw FROM events WHERE user_id % 7 <> 0")
 def json_offers(spark, sf):
     """Flat payloads made of events, with base fares and taxes beside the totals; some without an airline."""
     e = spark.read.parquet(f"{sf}/events.parquet")
