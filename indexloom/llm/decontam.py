@@ -153,7 +153,7 @@ def _judge(blocks: list[Broadcast], finish):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in textops.slices(batch):
+            for part in textops.slices(batch, limit=3_000_000):
                 words = textops.Words(*textops.utf8(textops.text_column(part)))
                 step = np.zeros(len(words.hash) + 1, dtype=np.int64)
                 found = []
@@ -192,7 +192,7 @@ def _digest(part, words, covered, found) -> pa.RecordBatch:
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Counts of words, hit words and found items of every row of docs (doc_id, text), and its longest match."""
     blocks = item_blocks(benchmark, window)
-    return docs.select("doc_id", "text").mapInArrow(_judge(blocks, _digest), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long")
+    return textops.narrow(docs, "doc_id", "text").mapInArrow(_judge(blocks, _digest), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long")
 
 
 _MATCH = pa.schema([("doc_id", pa.int64()), ("item_id", pa.string()), ("item_start", pa.int64()), ("doc_start", pa.int64()), ("n_words", pa.int64())])
@@ -209,10 +209,10 @@ def _match_rows(part, words, covered, found) -> pa.RecordBatch:
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Every longest verbatim match of `window` words or more (or a whole shorter item): document, item and places in words."""
-    return docs.select("doc_id", "text").mapInArrow(_judge(item_blocks(benchmark, window), _match_rows), "doc_id long, item_id string, item_start long, doc_start long, n_words long")
+    return textops.narrow(docs, "doc_id", "text").mapInArrow(_judge(item_blocks(benchmark, window), _match_rows), "doc_id long, item_id string, item_start long, doc_start long, n_words long")
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs, all columns, that hold no window of a benchmark item."""
     keep = lambda part, words, covered, found: part.filter(pa.array(_hits(words, covered) == 0))
-    return docs.mapInArrow(_judge(item_blocks(benchmark, window), keep), T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema]))
+    return textops.narrow(docs).mapInArrow(_judge(item_blocks(benchmark, window), keep), T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema]))

@@ -447,4 +447,4 @@ def extract(pages: DataFrame, model: Boosted | None = None) -> DataFrame:
                 texts = main_texts(textops.text_column(part, "html").to_pylist(), sent.value)
                 yield textops.batch_of(_RESULT, part.column(0).cast(pa.int64()), part.column(1).cast(pa.string()), texts, [len(t) for t in texts])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return textops.narrow(pages, "page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")

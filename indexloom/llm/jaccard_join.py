@@ -241,7 +241,7 @@ def _unit(held: list[pa.RecordBatch]) -> pa.RecordBatch:
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, nodes): rows has doc_id, text_hash and node of every row; nodes has node, nid, comp, rep_id, copies and links."""
-    sets = textops.cut(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(_set_rows, "doc_id long, text_hash long, node binary, n long, bands binary"), "sets")
+    sets = textops.cut(textops.narrow(docs, "doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(_set_rows, "doc_id long, text_hash long, node binary, n long, bands binary"), "sets")
     nodes = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     nodes = textops.cut(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")
     bands = nodes.select("nid", "bands").mapInArrow(_band_rows, "key long, nid long")

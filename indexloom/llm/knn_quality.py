@@ -142,4 +142,4 @@ def score(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> Dat
                 s = sent.value.scores(features(*textops.utf8(textops.text_column(part))))
                 yield textops.batch_of(_RESULT, part.column(0).cast(pa.int64()), part.column(2), s, (s >= THRESHOLD).astype(np.int32))
 
-    return docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return textops.narrow(docs, "doc_id", "text", held_out().alias("held_out")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")

@@ -174,4 +174,4 @@ def find_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
                     [",".join(f"{x['license']}:{x['start']}:{x['end']}:{x['coverage']}" for x in f) for f in rows],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_finds long, licenses string, finds array<struct<license:string,coverage:double,matched_words:long,start:long,end:long>>, spans string")
+    return textops.narrow(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_finds long, licenses string, finds array<struct<license:string,coverage:double,matched_words:long,start:long,end:long>>, spans string")

@@ -163,12 +163,12 @@ def _search(digest: bool):
 
 def pii_spans(docs: DataFrame) -> DataFrame:
     """doc_id and an array of (kind, start, end, score, checked) of every row of docs (doc_id, text)."""
-    return docs.select("doc_id", "text").mapInArrow(_search(False), "doc_id long, spans array<struct<kind:string,start:long,end:long,score:double,checked:boolean>>")
+    return textops.narrow(docs, "doc_id", "text").mapInArrow(_search(False), "doc_id long, spans array<struct<kind:string,start:long,end:long,score:double,checked:boolean>>")
 
 
 def pii_digests(docs: DataFrame) -> DataFrame:
     """Counts of the base kinds, a digest of their places and all spans as one string, for every row."""
-    return docs.select("doc_id", "text").mapInArrow(_search(True), "doc_id long, " + "".join(f"n_{k} long, " for k in BASE_KINDS) + "base_sha256 string, spans string, mean_score double")
+    return textops.narrow(docs, "doc_id", "text").mapInArrow(_search(True), "doc_id long, " + "".join(f"n_{k} long, " for k in BASE_KINDS) + "base_sha256 string, spans string, mean_score double")
 
 
 def redact_text(text: str, spans) -> str:
@@ -199,4 +199,4 @@ def redact(docs: DataFrame) -> DataFrame:
                     columns[names.index("n_chars")] = pa.array([None if t is None else len(t) for t in new], type=part.schema.field("n_chars").type)
                 yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
 
-    return docs.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema]))
+    return textops.narrow(docs).mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema]))

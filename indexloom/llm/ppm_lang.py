@@ -182,4 +182,4 @@ def _predict(model) -> object:
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """lang_pred and score of every row of docs (doc_id, text, lang); the trees come from docs itself unless given."""
     sent = docs.sparkSession.sparkContext.broadcast(model or learn(docs))  # bounded by MAX_CONTEXTS and the languages
-    return docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(_predict(sent), "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double")
+    return textops.narrow(docs, "doc_id", "text", held_out().alias("held_out")).mapInArrow(_predict(sent), "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double")

@@ -178,7 +178,7 @@ def _collect_shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def references(docs: DataFrame) -> dict[str, np.ndarray]:
     """For each language with enough documents the median shares, from all rows of docs (text, lang)."""
-    rows = docs.select("text", "lang").mapInArrow(_collect_shares, "lang string, class int, bin int, n long").groupBy("lang", "class", "bin").agg(F.sum("n").alias("n")).collect()  # languages x classes x bins, whatever the number of documents
+    rows = textops.narrow(docs, "text", "lang").mapInArrow(_collect_shares, "lang string, class int, bin int, n long").groupBy("lang", "class", "bin").agg(F.sum("n").alias("n")).collect()  # languages x classes x bins, whatever the number of documents
     table: dict[str, np.ndarray] = {}
     for r in rows:
         table.setdefault(r.lang, np.zeros((HISTOGRAM, SHARE_BINS)))[r["class"], r.bin] = r.n
@@ -227,7 +227,7 @@ def judge(docs: DataFrame) -> DataFrame:
                 v = verdicts(textops.text_column(part), refs)
                 yield textops.batch_of(_RESULT, part.column(0).cast(pa.int64()), *(v[k] for k in _COLUMNS))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{k} {t}" for k, t in _COLUMNS.items()))
+    return textops.narrow(docs, "doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{k} {t}" for k, t in _COLUMNS.items()))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
@@ -239,4 +239,4 @@ def keep_good(docs: DataFrame) -> DataFrame:
             for part in textops.slices(batch):
                 yield part.filter(pa.array(verdicts(textops.text_column(part), refs)["kept"]))
 
-    return docs.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema]))
+    return textops.narrow(docs).mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema]))

@@ -15,7 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_500_000
+BATCH_ROWS = 2000  # rows that Spark hands to a Python worker at once, at most
 
 _A = np.uint64(0x9E3779B97F4A7C15)
 _A_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -122,6 +123,15 @@ def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
+def narrow(df: DataFrame, *columns) -> DataFrame:
+    """df's columns (all, if none is named) for a pass through Python workers, in batches small enough for long texts."""
+    conf = df.sparkSession.conf
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df.select(*columns) if columns else df
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share (spark.checkpoint.dir)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
