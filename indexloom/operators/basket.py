@@ -56,6 +56,14 @@ def select_pairs(pairs: DataFrame, seeds: list[str], thin: list[str], size: int
     return top.withColumn("place", F.row_number().over(Window.orderBy("_p", "_s", F.desc("pax"), "pair"))).drop("_p", "_s")
 
 
+def check_selection(pairs: DataFrame, directed: DataFrame, size: int = 12) -> None:
+    """Raises unless exactly `size` pairs were chosen and both of their directions have volume."""
+    if (n := pairs.count()) != size:
+        raise ValueError(f"{n} pairs instead of {size}")
+    if gone := missing_routes(directed, pairs).collect():
+        raise ValueError(f"chosen routes without volume: {gone}")
+
+
 def basket_routes(directed: DataFrame, pairs: DataFrame) -> DataFrame:
     """Both directions of the chosen pairs with their weights."""
     d = directed.withColumn("pair", F.concat_ws("-", F.least("origin", "destination"), F.greatest("origin", "destination"))).join(F.broadcast(pairs.select("pair")), "pair", "left_semi")

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from indexloom.functions import constants as C
-from indexloom.functions import dimensions, fares
+from indexloom.functions import dimensions, fares, urls
 from indexloom.operators import aggregate, basket, collection, contracts, diagnostics, hedonic, quality, vintages
+from indexloom.operators import offers as offer_rows
 from indexloom.plans.index_build import build
 from indexloom.plans.index_queries import QUERIES, query, rounded
 from indexloom.sources import offers
@@ -343,11 +344,11 @@ def _series(b):
     return {"chained": aggregate.published(b.headline()).select("collection_date", "index_value"), "geks": b.geks(), "direct": b.direct().select("collection_date", "direct_index")}
 
 
-@query(
-    "series_agreement",
-    "SELECT p.pair, count(*) AS n_days, round(corr(p.dx, p.dy), 6) AS corr_of_log_changes, round(avg(abs(p.x - p.y)), 4) AS mean_abs_level_gap, round(arg_max(p.x - p.y, p.collection_date), 4) AS final_level_gap FROM (SELECT pair, x, y, collection_date, ln(x) - lag(ln(x)) OVER (PARTITION BY pair ORDER BY collection_date) AS dx, ln(y) - lag(ln(y)) OVER (PARTITION BY pair ORDER BY collection_date) AS dy FROM (SELECT 'chained_vs_geks' AS pair, index_value AS x, geks_index AS y, collection_date FROM all_series UNION ALL SELECT 'chained_vs_direct', index_value, direct_index, collection_date FROM all_series UNION ALL SELECT 'geks_vs_direct', geks_index, direct_index, collection_date FROM all_series)) p GROUP BY p.pair",
-    {"all_series": "SELECT * FROM drift_days WHERE direct_index IS NOT NULL"},
-)
+_AGREE = "SELECT p.pair, count(*) AS n_days, round(corr(p.dx, p.dy), 6) AS corr_of_log_changes, round(avg(abs(p.x - p.y)), 4) AS mean_abs_level_gap, round(arg_max(p.x - p.y, p.collection_date), 4) AS final_level_gap FROM (SELECT pair, x, y, collection_date, ln(x) - lag(ln(x)) OVER (PARTITION BY pair ORDER BY collection_date) AS dx, ln(y) - lag(ln(y)) OVER (PARTITION BY pair ORDER BY collection_date) AS dy FROM (SELECT 'chained_vs_geks' AS pair, index_value AS x, geks_index AS y, collection_date FROM all_series UNION ALL SELECT 'chained_vs_direct', index_value, direct_index, collection_date FROM all_series UNION ALL SELECT 'geks_vs_direct', geks_index, direct_index, collection_date FROM all_series)) p GROUP BY p.pair"
+_ALL = {"all_series": "SELECT * FROM drift_days WHERE direct_index IS NOT NULL"}
+
+
+@query("series_agreement", _AGREE, _ALL)
 def series_agreement(spark, sf):
     b = build(quotes_from_events(spark, sf))
     return rounded(rounded(diagnostics.agreement(_series(b)), "corr_of_log_changes"), "mean_abs_level_gap", "final_level_gap", places=4)
@@ -442,3 +443,78 @@ def json_offers(spark, sf):
     with_airline = F.format_string('{"Results": [{"AirlineCode": "SG", "FlightNumber": "%d", "BaseFare": 1001, "Taxes": 1002, "TotalFare": %d, "Stops": %d}]}', 100 + F.col("user_id") % 900, 1000 + F.col("event_id") % 9000, F.col("user_id") % 3)
     payload = F.when(F.col("user_id") % 7 == 0, '{"Results": [{"TotalFare": 5000}]}').otherwise(F.regexp_replace(with_airline, r'"FlightNumber": "(\d+)"', r'"FlightNumber": "SG-$1"'))
     return offers.json_offers(e.select(F.col("event_id").alias("doc_id"), payload.alias("payload")))
+
+
+_CITY = "CASE {c} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in urls.CITY_NAMES.items()) + " ELSE {c} END"
+
+
+@query(
+    "search_urls",
+    f"""SELECT origin, destination, lead_time_days, 'https://flight.easemytrip.com/FlightList/Index?srch=' || origin || '-' || {_CITY.format(c="origin")} || '-India|' || destination || '-' || {_CITY.format(c="destination")} || '-India|' || strftime(DATE '2024-01-10' + CAST(lead_time_days AS INTEGER), '%d/%m/%Y') || '&px=1-0-0&cbn=0&ar=undefined&isow=true&isdm=true&lang=en-us&IsDoubleSeat=false&CCODE=IN&curr=INR' AS url, false AS is_fare_endpoint FROM weights WHERE scenario = 'uniform'""",
+)
+def search_urls(spark, sf):
+    c = dimensions.cells(spark, "2024-01-10")
+    url = urls.search_url(F.lit("easemytrip"), F.col("origin"), F.col("destination"), F.col("dep_date"))
+    return c.select(*C.STRATUM_KEY, url.alias("url")).withColumn("is_fare_endpoint", urls.is_fare_endpoint(F.lit("easemytrip"), F.col("url")))
+
+
+@query(
+    "quotes_from_offers",
+    """SELECT quote_id, total_fare, row_number() OVER (PARTITION BY collection_date, source, origin, destination, lead_time_days ORDER BY total_fare, quote_id) = 1 AS is_cheapest_in_cell, dep_date FROM (SELECT quote_id, collection_date, source, origin, destination, lead_time_days, round(total_fare, 2) AS total_fare, CAST(collection_date + CAST(lead_time_days AS INTEGER) AS DATE) AS dep_date FROM quotes) WHERE total_fare > 0""",
+)
+def quotes_from_offers(spark, sf):
+    q = quotes_from_events(spark, sf).drop("is_available", "unavailable_reason")
+    return offer_rows.to_quotes(q, "quote_id").select("quote_id", F.col("total_fare").cast("double").alias("total_fare"), "is_cheapest_in_cell", "dep_date")
+
+
+@query(
+    "one_row_a_cell",
+    """SELECT q.source, q.origin, q.destination, q.lead_time_days, q.is_available, NULL::VARCHAR AS unavailable_reason, count(*) AS n FROM (SELECT * FROM quotes WHERE is_available AND collection_date = DATE '2024-01-10') q GROUP BY ALL
+    UNION ALL SELECT 's', w.origin, w.destination, w.lead_time_days, false, 'parse_error', 1 FROM weights w ANTI JOIN (SELECT * FROM quotes WHERE is_available AND collection_date = DATE '2024-01-10') q ON q.origin = w.origin AND q.destination = w.destination AND q.lead_time_days = w.lead_time_days WHERE w.scenario = 'uniform'""",
+)
+def one_row_a_cell(spark, sf):
+    day = "2024-01-10"
+    q = quotes_from_events(spark, sf).where(F.col("is_available") & (F.col("collection_date") == F.lit(day).cast("date")))
+    cells = dimensions.cells(spark, day).withColumn("source", F.lit("s"))
+    rows = offer_rows.one_row_a_cell(cells, q.withColumn("total_fare", F.col("total_fare").cast("decimal(12,2)")))
+    return rows.groupBy("source", *C.STRATUM_KEY, "is_available", "unavailable_reason").agg(F.count("*").alias("n"))
+
+
+@query("market_signals", "SELECT unavailable_reason, unavailable_reason IN ('sold_out', 'no_service') AS is_market_signal, count(*) AS n FROM quotes WHERE unavailable_reason IS NOT NULL GROUP BY ALL")
+def market_signals(spark, sf):
+    q = quotes_from_events(spark, sf).where("unavailable_reason is not null")
+    return q.groupBy("unavailable_reason", offer_rows.is_market_signal(F.col("unavailable_reason")).alias("is_market_signal")).agg(F.count("*").alias("n"))
+
+
+@query("health_by_source", "SELECT collection_date, event_type AS source, CAST(count(*) AS INTEGER) AS cells_attempted, CAST(count(*) FILTER (WHERE value > 20) AS INTEGER) AS cells_available FROM (SELECT CAST(ts AS DATE) AS collection_date, event_type, value FROM events) GROUP BY ALL")
+def health_by_source(spark, sf):
+    """Health entries hold a map of counters by source; one row a source comes out."""
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    per = e.groupBy(F.to_date("ts").alias("collection_date"), "event_type").agg(F.count("*").cast("int").alias("cells_attempted"), F.count_if(F.col("value") > 20).cast("int").alias("cells_available"))
+    entries = per.groupBy("collection_date").agg(F.map_from_entries(F.collect_list(F.struct("event_type", F.struct("cells_attempted", "cells_available")))).alias("per_source"))  # a few sources a day
+    return collection.explode_health(entries)
+
+
+@query("mapped_cities", "SELECT City1, City2, origin, destination, count(*) AS n FROM mapped GROUP BY ALL", RAW)
+def mapped_cities(spark, sf):
+    m = basket.map_cities(basket.trailing(_traffic(spark, sf)), _codes(spark, sf))
+    return m.groupBy("City1", "City2", "origin", "destination").agg(F.count("*").alias("n"))
+
+
+@query("upserted_runs", "SELECT run_id, collection_date, CASE WHEN day_no > 20 THEN 'late' ELSE status END AS status FROM (SELECT r.*, d.day_no FROM runs r JOIN days d ON d.collection_date = r.collection_date)", RAW)
+def upserted_runs(spark, sf):
+    runs = _runs(spark, sf).select("run_id", "collection_date", "status")
+    days = build(quotes_from_events(spark, sf)).days.where("day_no > 20")
+    return vintages.upsert_runs(runs, runs.join(days, "collection_date", "left_semi").withColumn("status", F.lit("late")))
+
+
+@query("weakest_pair", f"SELECT pair, corr_of_log_changes FROM ({_AGREE}) ORDER BY corr_of_log_changes, pair LIMIT 1", _ALL)
+def weakest_pair(spark, sf):
+    b = build(quotes_from_events(spark, sf))
+    return diagnostics.weakest_pair(rounded(diagnostics.agreement(_series(b)), "corr_of_log_changes").select("pair", "corr_of_log_changes"))
+
+
+@query("published_hash", "SELECT count(*) AS n, count(DISTINCT scenario) AS scenarios FROM published")
+def published_hash(spark, sf):
+    p = aggregate.published(build(quotes_from_events(spark, sf)).points)
+    return p.agg(F.count("*").alias("n"), F.count_distinct("scenario").alias("scenarios"))

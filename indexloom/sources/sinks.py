@@ -20,9 +20,22 @@ def stamped(df: DataFrame, version: str) -> DataFrame:
     return df.withColumn("computed_at_utc", F.current_timestamp()).withColumn("code_version", F.lit(version))
 
 
-def write_outputs(frames: dict[str, DataFrame], folder: str, version: str) -> None:
-    """Each frame as CSV in a folder of its own, in order of date."""
+def register_views(frames: dict[str, DataFrame]) -> None:
+    """Staging and clean layers as views, for SQL on top of them."""
     for name, df in frames.items():
+        df.createOrReplaceTempView(name)
+
+
+def save_tables(frames: dict[str, DataFrame]) -> None:
+    """Marts as tables of the catalogue; an existing table is an error."""
+    for name, df in frames.items():
+        df.write.mode("errorifexists").saveAsTable(name)
+
+
+def write_outputs(frames: dict[str, DataFrame], folder: str, version: str, simulated: bool = False) -> None:
+    """Each frame as CSV in a folder of its own, in order of date; what comes from a simulation says so in a column."""
+    for name, df in frames.items():
+        df = df.withColumn("is_simulated", F.lit(True)) if simulated else df
         keys = [c for c in ("collection_date", "scenario") if c in df.columns]
         out = stamped(df, version)
         (out.orderBy(*keys) if keys else out).write.mode("errorifexists").option("header", True).csv(f"{folder}/{name}")
