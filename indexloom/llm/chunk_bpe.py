@@ -24,7 +24,7 @@ from indexloom.llm.wordcode import coder, public_path
 
 WINDOW = 16  # bytes of the rolling hash
 MASK_BITS = 9  # a cut each 512 bytes on average
-KEPT_CHUNK_IDS = 4_000_000  # ids of chunks that a worker keeps; emptied beyond
+KEPT_CHUNK_IDS = 2_000_000  # ids of chunks that a worker keeps; emptied beyond
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x0A]] = True
 
@@ -186,7 +186,7 @@ def _task(path: str, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ChunkEncoder(path)
         for batch in batches:
-            for part in textops.slices(batch):
+            for part in textops.slices(batch, limit=2_000_000):
                 texts = textops.text_column(part)
                 ids, at, chunks, reused, repaired = encoder.encode(texts)
                 decoded = encoder.words.decode(ids, at)
@@ -203,9 +203,9 @@ def _task(path: str, digest: bool):
 
 def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit), decoded text and chunk counts of every row of docs (doc_id, text)."""
-    return docs.select("doc_id", "text").mapInArrow(_task(path or public_path(), False), SCHEMA)
+    return textops.narrow(docs, "doc_id", "text").mapInArrow(_task(path or public_path(), False), SCHEMA)
 
 
 def encode_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """The same with SHA-256 digests in place of ids and text."""
-    return docs.select("doc_id", "text").mapInArrow(_task(path or public_path(), True), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_chunks long, n_reused long, n_repaired long")
+    return textops.narrow(docs, "doc_id", "text").mapInArrow(_task(path or public_path(), True), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_chunks long, n_reused long, n_repaired long")
