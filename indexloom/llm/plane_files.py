@@ -31,6 +31,7 @@ from indexloom.llm.wordcode import coder, public_path
 BLOCK_IDS = 1 << 16
 SEGMENT_IDS = 1 << 20  # a segment ends with the document that reaches this number of ids
 END_ID = 2
+CACHE_WORDS, CACHE_PIECES = 300_000, 500_000  # of each worker
 MAGIC = b"PLN1"
 _HEAD = struct.Struct("<4sBIQ")  # magic, planes of a block, ids of a block, ids
 _FOOT = struct.Struct("<QI4s")  # place of the index, blocks, magic
@@ -114,7 +115,7 @@ def _unpack_docs(raw: bytes, n: int) -> tuple[list, np.ndarray]:
 
 def _writer(path: str, end_id: int, bits: bool, block: int, segment: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, shard = coder(path), TaskContext.get().partitionId()
+        words, shard = coder(path, CACHE_WORDS, CACHE_PIECES), TaskContext.get().partitionId()
         keys, lengths, parts, held, before, seq = [], [], [], 0, 0, 0
 
         def close():
@@ -122,7 +123,7 @@ def _writer(path: str, end_id: int, bits: bool, block: int, segment: int):
             return textops.batch_of(_SEGMENT, [shard], [seq], [before], [len(keys)], [len(ids)], [_pack_docs(keys, np.concatenate(lengths))], [write_file(ids, block, bits)])
 
         for batch in batches:
-            for piece in textops.slices(batch, limit=8_000_000):
+            for piece in textops.slices(batch, limit=4_000_000):
                 ids, at = words.encode(textops.text_column(piece))
                 keys += piece.column(0).cast(pa.int64()).to_pylist()
                 lengths.append(np.diff(at) + 1)
@@ -140,7 +141,7 @@ def _writer(path: str, end_id: int, bits: bool, block: int, segment: int):
 
 def write_ids(docs: DataFrame, target: str, path: str | None = None, end_id: int = END_ID, bits: bool = False, block: int = BLOCK_IDS, segment: int = SEGMENT_IDS) -> None:
     """Encodes docs (doc_id, text), each followed by end_id, and writes segments to the folder `target`."""
-    ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    ordered = textops.narrow(docs, "doc_id", "text", F.xxhash64("text").alias("tie")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     ordered.select("doc_id", "text").mapInArrow(_writer(path or public_path(), end_id, bits, block, segment), SEGMENT_SCHEMA).write.option("compression", "none").option("parquet.block.size", 16 << 20).parquet(target)
 
 

@@ -17,8 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_WORDS = 500_000  # the worker's memory of words and of their pieces is emptied beyond these numbers; results don't depend on them
-CACHE_PIECES = 600_000
+CACHE_WORDS = 100_000  # a worker's memory of words and of their pieces is emptied beyond these numbers; results don't depend on them
+CACHE_PIECES = 250_000
 
 
 def _grown(x: np.ndarray, size: int) -> np.ndarray:
@@ -50,7 +50,8 @@ _LETTERS = re.compile(r"[a-zß-öø-ÿ]+\Z")
 class WordCoder:
     """Remembers words as pairs of pieces, and the ids of pieces; the library is asked about new pieces only."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most_words: int = CACHE_WORDS, most_pieces: int = CACHE_PIECES):
+        self.most_words, self.most_pieces = most_words, most_pieces
         self.tok = library(path)
         size = self.tok.get_vocab_size()
         strings = [self.tok.id_to_token(i) or "" for i in range(size)]
@@ -115,9 +116,9 @@ class WordCoder:
         coded = split.values.dictionary_encode()
         values = coded.dictionary.to_pylist()
         row = split.offsets.to_numpy()
-        if len(self.pieces) > CACHE_PIECES:
+        if len(self.pieces) > self.most_pieces:
             self.forget_pieces()
-        if len(self.words) > CACHE_WORDS:
+        if len(self.words) > self.most_words:
             self.forget_words()
         slots = list(map(self.words.get, values))
         new = [k for k, x in enumerate(slots) if x is None]
@@ -146,6 +147,6 @@ class WordCoder:
 
 
 @lru_cache(2)
-def coder(path: str) -> WordCoder:
+def coder(path: str, most_words: int = CACHE_WORDS, most_pieces: int = CACHE_PIECES) -> WordCoder:
     """One coder for each Python worker and vocabulary."""
-    return WordCoder(path)
+    return WordCoder(path, most_words, most_pieces)
