@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -100,18 +101,20 @@ class Items:
         self.ids = [None if i is None else str(i) for i in ids]
 
 
-def item_blocks(benchmark: DataFrame, window: int = WINDOW, limit: int = BLOCK_BYTES) -> list[Broadcast]:
-    """The benchmark as broadcast blocks, each of about `limit` bytes of text at most."""
+def block_count(benchmark: DataFrame, limit: int) -> int:
+    size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0)).alias("n")).first().n
+    return max(1, -(-int(size) // limit))
+
+
+def item_blocks(benchmark: DataFrame, window: int = WINDOW, limit: int | None = None) -> Iterator[Broadcast]:
+    """The benchmark as broadcast blocks, each of about `limit` bytes of text at most, made one after another."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0)).alias("n")).first().n
-    n = max(1, -(-int(size) // limit))
-    out = []
+    n = block_count(items, limit or BLOCK_BYTES)
     for k in range(n):
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
         rows = part.distinct().collect()  # one block, of a checked size
-        out.append(spark.sparkContext.broadcast(Items([r.item_id for r in rows], [r.text for r in rows], window)))
-    return out
+        yield spark.sparkContext.broadcast(Items([r.item_id for r in rows], [r.text for r in rows], window))
 
 
 def _occurrences(words: textops.Words, items: Items) -> tuple[np.ndarray, np.ndarray]:
@@ -148,71 +151,114 @@ def shard_matches(words: textops.Words, items: Items) -> dict[str, np.ndarray]:
     return {"doc": doc[head], "item": item[head], "item_start": place[head], "start": at[head] - words.offsets[doc[head]], "n_words": place[tail] - place[head] + length[head]}
 
 
-def _judge(blocks: list[Broadcast], finish):
-    """finish(batch, words, covered, matches): covered[i] tells if word i of the shard is hit."""
+def _in_shards(work):
+    """work(part, words) for each shard of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in textops.slices(batch, limit=3_000_000):
-                words = textops.Words(*textops.utf8(textops.text_column(part)))
-                step = np.zeros(len(words.hash) + 1, dtype=np.int64)
-                found = []
-                for block in blocks:
-                    items = block.value
-                    m = shard_matches(words, items)
-                    first = m["start"] + words.offsets[m["doc"]]
-                    np.add.at(step, first, 1)
-                    np.add.at(step, first + m["n_words"], -1)
-                    found.append((items, m))
-                yield finish(part, words, np.cumsum(step)[:-1] > 0, found)
+                yield work(part, textops.Words(*textops.utf8(textops.text_column(part))))
 
     return run
 
 
+def _covered(words: textops.Words, m: dict[str, np.ndarray]) -> np.ndarray:
+    """Tells of each word of the shard whether a match covers it."""
+    step = np.zeros(len(words.hash) + 1, dtype=np.int64)
+    first = m["start"] + words.offsets[m["doc"]]
+    np.add.at(step, first, 1)
+    np.add.at(step, first + m["n_words"], -1)
+    return np.cumsum(step)[:-1] > 0
+
+
 _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("longest_match", pa.int64())])
 
 
-def _hits(words: textops.Words, covered: np.ndarray) -> np.ndarray:
-    return np.diff(np.concatenate([[0], np.cumsum(covered)])[words.offsets])
+_STATE = "doc_id long, text string, covered binary, items array<string>, longest long"
+_STATE_ARROW = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("covered", pa.binary()), ("items", pa.list_(pa.string())), ("longest", pa.int64())])
+
 
+def _look(block: Broadcast):
+    """Adds one block's finds to each row: covered words as bits, items found, longest match."""
 
-def _digest(part, words, covered, found) -> pa.RecordBatch:
-    names: list[set[str]] = [set() for _ in range(part.num_rows)]
-    longest = np.zeros(part.num_rows, dtype=np.int64)
-    for items, m in found:
-        pairs = np.unique(np.stack([m["doc"], m["item"]], axis=1), axis=0) if len(m["doc"]) else []
-        for d, i in pairs:
+    def work(part: pa.RecordBatch, words: textops.Words) -> pa.RecordBatch:
+        items = block.value
+        m = shard_matches(words, items)
+        new = _covered(words, m)
+        names = [set(x or ()) for x in part.column(3).to_pylist()]
+        for d, i in np.unique(np.stack([m["doc"], m["item"]], axis=1), axis=0) if len(m["doc"]) else []:
             if items.ids[i] is not None:
                 names[d].add(items.ids[i])
+        longest = part.column(4).to_numpy().copy()
         np.maximum.at(longest, m["doc"], m["n_words"])
-    hit = _hits(words, covered)
-    return textops.batch_of(_DIGEST, part.column(0).cast(pa.int64()), words.counts, hit, [len(x) for x in names], [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in names], hit > 0, longest)
+        bits = []
+        for old, a, b in zip(part.column(2).to_pylist(), words.offsets[:-1], words.offsets[1:], strict=True):
+            mine = new[a:b]
+            if old:
+                mine = mine | np.unpackbits(np.frombuffer(old, dtype=np.uint8), count=b - a).astype(bool)
+            bits.append(np.packbits(mine).tobytes() if mine.any() else None)
+        return textops.batch_of(_STATE_ARROW, part.column(0).cast(pa.int64()), part.column(1).cast(pa.string()), bits, [sorted(x) for x in names], longest)
+
+    return _in_shards(work)
+
+
+def _sum_up(part: pa.RecordBatch, words: textops.Words) -> pa.RecordBatch:
+    hit = np.array([int(np.unpackbits(np.frombuffer(x, dtype=np.uint8)).sum()) if x else 0 for x in part.column(2).to_pylist()], dtype=np.int64)
+    names = [x or [] for x in part.column(3).to_pylist()]
+    return textops.batch_of(_DIGEST, part.column(0), words.counts, hit, [len(x) for x in names], [hashlib.sha256(",".join(x).encode()).hexdigest() for x in names], hit > 0, part.column(4))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Counts of words, hit words and found items of every row of docs (doc_id, text), and its longest match."""
-    blocks = item_blocks(benchmark, window)
-    return textops.narrow(docs, "doc_id", "text").mapInArrow(_judge(blocks, _digest), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long")
+    """Counts of words, hit words and found items of every row of docs (doc_id, text), and its longest match.
+
+    Rows carry what earlier blocks found; with several blocks they are written out between passes,
+    so that no task holds more than one block.
+    """
+    empty = F.array().cast("array<string>")
+    rows = textops.narrow(docs, F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(None).cast("binary").alias("covered"), empty.alias("items"), F.lit(0).cast("long").alias("longest"))
+    several = block_count(benchmark, BLOCK_BYTES) > 1
+    for block in item_blocks(benchmark, window):
+        rows = rows.mapInArrow(_look(block), _STATE)
+        if several:
+            rows = textops.cut(rows, "decontam")
+            block.unpersist()
+    return rows.mapInArrow(_in_shards(_sum_up), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long")
 
 
 _MATCH = pa.schema([("doc_id", pa.int64()), ("item_id", pa.string()), ("item_start", pa.int64()), ("doc_start", pa.int64()), ("n_words", pa.int64())])
 
 
-def _match_rows(part, words, covered, found) -> pa.RecordBatch:
-    keys = part.column(0).cast(pa.int64()).to_pylist()
-    cols: list[list] = [[], [], [], [], []]
-    for items, m in found:
-        for column, values in zip(cols, ([keys[d] for d in m["doc"]], [items.ids[i] for i in m["item"]], m["item_start"], m["start"], m["n_words"]), strict=True):
-            column.extend(values)
-    return textops.batch_of(_MATCH, *cols)
+def _match_rows(block: Broadcast):
+    def work(part: pa.RecordBatch, words: textops.Words) -> pa.RecordBatch:
+        items = block.value
+        m = shard_matches(words, items)
+        keys = part.column(0).cast(pa.int64()).to_pylist()
+        return textops.batch_of(_MATCH, [keys[d] for d in m["doc"]], [items.ids[i] for i in m["item"]], m["item_start"], m["start"], m["n_words"])
+
+    return _in_shards(work)
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Every longest verbatim match of `window` words or more (or a whole shorter item): document, item and places in words."""
-    return textops.narrow(docs, "doc_id", "text").mapInArrow(_judge(item_blocks(benchmark, window), _match_rows), "doc_id long, item_id string, item_start long, doc_start long, n_words long")
+    found = [textops.narrow(docs, "doc_id", "text").mapInArrow(_match_rows(b), "doc_id long, item_id string, item_start long, doc_start long, n_words long") for b in item_blocks(benchmark, window)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _clean(block: Broadcast):
+    def work(part: pa.RecordBatch, words: textops.Words) -> pa.RecordBatch:
+        m = shard_matches(words, block.value)
+        return part.filter(pa.array(np.bincount(m["doc"], minlength=part.num_rows) == 0))
+
+    return _in_shards(work)
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of docs, all columns, that hold no window of a benchmark item."""
-    keep = lambda part, words, covered, found: part.filter(pa.array(_hits(words, covered) == 0))
-    return textops.narrow(docs).mapInArrow(_judge(item_blocks(benchmark, window), keep), T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema]))
+    """The rows of docs, all columns, that hold no window of a benchmark item; each block of items is one pass over what is left."""
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema])
+    several = block_count(benchmark, BLOCK_BYTES) > 1
+    for block in item_blocks(benchmark, window):
+        docs = textops.narrow(docs).mapInArrow(_clean(block), schema)
+        if several:
+            docs = textops.cut(docs, "decontam")
+            block.unpersist()
+    return docs

@@ -52,12 +52,11 @@ def test_query_equals_brute_force(spark, make):
 
 def test_blocks_of_the_benchmark_change_nothing(spark, monkeypatch):
     docs, bench = cases.documents(spark), benchmark(spark)
-    whole = sorted(map(str, decontam.contamination(docs, bench).collect()))
-    blocks = decontam.item_blocks(bench, limit=200)
-    assert len(blocks) > 3
+    results = lambda: [sorted(map(str, f(docs, bench).collect())) for f in (decontam.contamination, decontam.remove_contaminated, decontam.longest_matches)]
+    whole = results()
     monkeypatch.setattr(decontam, "BLOCK_BYTES", 200)
-    monkeypatch.setattr(decontam.item_blocks, "__defaults__", (10, 200))
-    assert sorted(map(str, decontam.contamination(docs, bench).collect())) == whole
+    assert len(list(decontam.item_blocks(bench))) > 3
+    assert results() == whole
 
 
 def test_empty_benchmark(spark):
