@@ -1,13 +1,14 @@
 """Language identification by prediction by partial matching.
 
 For each language a variable-order context tree over bytes is grown from a bounded sample of its
-labelled documents and then frozen: the empty context, all one- and two-byte contexts seen, and the
-three-byte contexts that occur at least MIN_COUNT times (the most frequent MAX_CONTEXTS of all
-languages together). A byte's code length in a context is that of its count there, or the escape's
-(method C: distinct successors over total plus distinct) plus its code length one byte shorter; the
-empty context escapes to 256 equal bytes. Under frozen statistics this depends on the context and
-the byte alone, so each context's 256 code lengths for all languages are worked out once, and a
-text's exact code length is the sum of the looked-up values over all its bytes.
+labelled documents and then frozen: the empty context, all one-byte contexts seen, the most frequent
+two-byte contexts and the three-byte contexts that occur at least MIN_COUNT times, as many as keep
+the table of code lengths within TABLE_BYTES, however many languages there are. A byte's code length
+in a context is that of its count there, or the escape's (method C: distinct successors over total
+plus distinct) plus its code length one byte shorter; the empty context escapes to 256 equal bytes.
+Under frozen statistics this depends on the context and the byte alone, so each context's 256 code
+lengths for all languages are worked out once, and a text's exact code length is the sum of the
+looked-up values over all its bytes.
 
 Texts are lower-cased, digits become 0. Null texts and texts without a letter are `und` with score
 0. Ties go to the language that sorts first. Repeated rows are learnt as often as the sample holds
@@ -30,7 +31,7 @@ from indexloom.llm import textops
 SAMPLE_DOCS = 400  # labelled documents of a language that the trees are grown from, in the mean
 SAMPLE_CHARS = 20_000  # longer documents aren't drawn; the drawn ones are learnt whole
 MIN_COUNT = 4
-MAX_CONTEXTS = 12_000
+TABLE_BYTES = 64_000_000  # of the table of code lengths that goes to every worker
 
 _RESULT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -57,15 +58,11 @@ class Model:
         data = [folded(pa.array(samples[k], type=pa.large_string())) for k in self.langs]
         grams = [[self._count(buf, offsets, n) for n in range(1, 5)] for buf, offsets in data]
         order0 = np.stack([self._code(np.full(256, 8.0), g[0]) for g in grams])  # language, byte
-        # contexts of one and two bytes: all that any language has seen
+        most = max(256, TABLE_BYTES // (1024 * len(self.langs)))  # contexts that the table can hold
         self.one = np.unique(np.concatenate([g[1][0] >> 8 for g in grams]))
-        self.two = np.unique(np.concatenate([g[2][0] >> 8 for g in grams]))
-        totals = {}
-        for g in grams:
-            context, inverse = np.unique(g[3][0] >> 8, return_inverse=True)
-            for c, t in zip(context.tolist(), np.bincount(inverse, weights=g[3][1]).tolist(), strict=True):
-                totals[c] = totals.get(c, 0) + t
-        deep = sorted((c for c, t in totals.items() if t >= MIN_COUNT), key=lambda c: (-totals[c], c))[:MAX_CONTEXTS]
+        self.two = np.array(sorted(self._frequent([g[2] for g in grams], 1)[: most // 2]), dtype=np.int64)
+        known = set(self.two.tolist())
+        deep = [c for c in self._frequent([g[3] for g in grams], MIN_COUNT) if c & 0xFFFF in known][: max(0, most - len(self.two) - len(self.one))]
         self.three = np.array(sorted(deep), dtype=np.int64)
         table = [order0[None]]
         table.append(np.stack([self._level(self.one, g[1], order0[k][None].repeat(len(self.one), 0)) for k, g in enumerate(grams)], axis=1))
@@ -89,6 +86,13 @@ class Model:
         self.find3 = np.zeros((len(pairs) + 1, 256), dtype=np.int32)
         self.find3[self.slot[self.three & 0xFFFF], self.three >> 16] = base3 + np.arange(len(self.three))
 
+    @staticmethod
+    def _frequent(grams: list[tuple[np.ndarray, np.ndarray]], least: int) -> list[int]:
+        """Contexts (all but the last byte of the grams) by their number over all languages, the most frequent first."""
+        context, inverse = np.unique(np.concatenate([g[0] >> 8 for g in grams]), return_inverse=True)
+        total = np.bincount(inverse, weights=np.concatenate([g[1] for g in grams]), minlength=len(context))
+        return [int(context[k]) for k in np.lexsort((context, -total)) if total[k] >= least]
+
     @staticmethod
     def _count(buf: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """n-grams as integers (oldest byte highest) with their counts; none crosses a document's end."""
@@ -181,5 +185,5 @@ def _predict(model) -> object:
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """lang_pred and score of every row of docs (doc_id, text, lang); the trees come from docs itself unless given."""
-    sent = docs.sparkSession.sparkContext.broadcast(model or learn(docs))  # bounded by MAX_CONTEXTS and the languages
+    sent = docs.sparkSession.sparkContext.broadcast(model or learn(docs))  # at most TABLE_BYTES
     return textops.narrow(docs, "doc_id", "text", held_out().alias("held_out")).mapInArrow(_predict(sent), "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double")
