@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from indexloom.llm import textops
 from indexloom.llm.wordcode import coder, public_path
 
-WINDOW = 16  # bytes of the rolling hash
+WINDOW = 16  # bytes of the rolling hash, a power of two
 MASK_BITS = 9  # a cut each 512 bytes on average
 KEPT_CHUNK_IDS = 2_000_000  # ids of chunks that a worker keeps; emptied beyond
 _SPACE = np.zeros(256, dtype=bool)
@@ -38,10 +38,12 @@ def cut_points(buf: np.ndarray, window: int = WINDOW, bits: int = MASK_BITS) ->
     n = len(buf)
     if n < window:
         return np.zeros(0, dtype=np.int64)
-    up, down = textops._power_tables(n)
-    prefix = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[:n], out=prefix[1:])
-    rolled = textops.mix((prefix[window:] - prefix[:-window]) * down[: n - window + 1])
+    rolled = buf.astype(np.uint64) + np.uint64(1)
+    span, factor = 1, textops.powers(window + 1)
+    while span < window:  # sums over 2, 4, 8 ... bytes, each from two of half the length
+        rolled = rolled[:-span] + rolled[span:] * factor[span]
+        span *= 2
+    rolled = textops.mix(rolled)
     return np.flatnonzero((rolled & np.uint64((1 << bits) - 1)) == 0) + window
 
 

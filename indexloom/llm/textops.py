@@ -19,11 +19,7 @@ SLICE_BYTES = 1_500_000
 BATCH_ROWS = 2000  # rows that Spark hands to a Python worker at once, at most
 
 _A = np.uint64(0x9E3779B97F4A7C15)
-_A_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _B = np.uint64(0xD6E8FEB86659FD93)
-_powers: list[np.ndarray] = []
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finalizer."""
     x = x ^ (x >> np.uint64(31))
@@ -33,16 +29,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) <= n:
-        size = max(n + 1, 1 << 20)
-        tables = []
-        for base in (_A, _A_INV):
-            t = np.full(size, base, dtype=np.uint64)
-            t[0] = 1
-            tables.append(np.cumprod(t, dtype=np.uint64))
-        _powers[:] = tables
-    return _powers[0], _powers[1]
+def powers(n: int) -> np.ndarray:
+    """The first n powers of the polynomial hashes' base, modulo 2**64."""
+    t = np.full(max(n, 1), _A, dtype=np.uint64)
+    t[0] = 1
+    return np.cumprod(t, dtype=np.uint64)
 
 
 def text_column(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
@@ -99,10 +90,14 @@ class Words:
         self.start = np.flatnonzero(inside[1:-1] & (~inside[:-2] | first[:-1]))
         self.end = np.flatnonzero(inside[1:-1] & (~inside[2:] | first[1:])) + 1
         self.offsets = np.searchsorted(self.start, offsets)
-        up, down = _power_tables(n)
-        prefix = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[:n], out=prefix[1:])
-        self.hash = mix((prefix[self.end] - prefix[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
+        # each word's polynomial in its own bytes: memory follows the bytes of the slice and the longest word
+        size = self.end - self.start
+        before = np.cumsum(size) - size
+        place = np.arange(int(size.sum())) - np.repeat(before, size)
+        value = buf[inside[1:-1]].astype(np.uint64) + np.uint64(1)
+        value *= powers(int(size.max(initial=0)))[place]
+        total = np.add.reduceat(value, before) if len(size) else np.zeros(0, np.uint64)
+        self.hash = mix(total + size.astype(np.uint64))
 
     @property
     def counts(self) -> np.ndarray:
