@@ -256,7 +256,11 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = members.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int"))
     with_text = members.withColumn("id", F.coalesce("rep_id", F.lit(-1))).withColumn("no_id", F.col("rep_id").isNull()).join(docs.select(F.coalesce("doc_id", F.lit(-1)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "text"), ["id", "no_id"])
     units = with_text.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "nid", "node", "copies", "text")
-    verified = textops.cut(units.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(_verify, "nid long, parent long, links long"), "links")
+    # units of one component go to partitions one after another, so that a large group's units spread evenly
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    number = F.floor(F.col("j").cast("long") * (F.col("j") + 1) / 2).cast("long") + F.col("i")
+    dealt = units.repartitionById(partitions, F.pmod(F.pmod(F.xxhash64("comp"), F.lit(partitions)) + number, F.lit(partitions)).cast("int"))
+    verified = textops.cut(dealt.sortWithinPartitions("comp", "i", "j").mapInArrow(_verify, "nid long, parent long, links long"), "links")
     final = components(verified.where("nid != parent").select(F.col("nid").alias("a"), F.col("parent").alias("b")).distinct())
     links = verified.groupBy("nid").agg(F.sum("links").alias("links"))
     result = nodes.select("node", "nid", "rep_id", "copies").join(final.withColumnRenamed("node", "nid"), "nid", "left").join(links, "nid", "left")
