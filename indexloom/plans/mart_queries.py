@@ -121,7 +121,7 @@ def health_view(spark, sf):
 
 
 def _index_values(spark, sf):
-    e = spark.read.parquet(f"{sf}/events.parquet").where("user_id % 5 = 0")
+    e = spark.read.parquet(f"{sf}/events.parquet")
     return e.select(F.to_date("ts").alias("collection_date"), F.col("event_type").alias("scenario"), F.lit("headline").alias("series"), F.col("ts").alias("computed_at_utc"), F.when(F.col("event_id") % 11 != 0, F.round("value", 1)).alias("index_value"))
 
 
@@ -432,8 +432,7 @@ def journey_offers(spark, sf):
     route = F.when(F.col("event_id") % 2 == 0, "DELBOM").otherwise("DELBLR")
     payload = F.format_string('{"CFee": 300, "j": [{"s": [{"SD": "%s|%d|9|DEL-BOM||", "segMatchingKey": "%sSat-03Feb202404:0006:156E %d", "b": [{"stp": "0"}]}]}]}', stops, 1000 + F.col("event_id") % 9000, route, 100 + F.col("user_id") % 900)
     p = e.select(F.col("event_id").alias("doc_id"), payload.alias("payload"), F.lit("DEL").alias("origin"), F.lit("BOM").alias("destination"))
-    found = offers.journey_offers(p)
-    return found.where("doc_id % 2 = 0")
+    return offers.journey_offers(p)
 
 
 @query("json_offers", "SELECT event_id AS doc_id, CAST(1000 + event_id % 9000 AS DOUBLE) AS total_fare, 'SG' AS carrier, 'SG' || (100 + user_id % 900) AS flight_no, CAST(user_id % 3 AS INTEGER) AS stops, CAST(NULL AS VARCHAR) AS dep_raw FROM events WHERE user_id % 7 <> 0")
