@@ -3,16 +3,18 @@
 The first pass sums, over all rows and for each language, histograms of character classes and of
 common words; the sums are a few hundred numbers for each language, added up in Spark. A document
 passes if, for at least one language, the Jensen-Shannon distance of its character classes stays
-within a limit, and, from a minimum length on, that of its common words too. Short texts have
-histograms that say little, so below the minimum lengths a distance isn't used.
+within a limit, and that of its common words too. Short texts have histograms that say little, so
+below a minimum length, of its own for either, a distance isn't used.
 
 A language's reference is the class-wise median over its documents' own shares of each class
-(taken from histograms of those shares), so that a mass of junk in one source doesn't move it.
+(taken from histograms of those shares), so that a mass of junk in one source doesn't move it. It is
+made of the very documents that the distance judges: characters and words each have theirs.
 
 Null and empty texts have no words and fail the base rules. Repeated rows are judged alike, row by
-row, as are ties. Rows without a language don't add to a reference but are judged against all. With
-no reference at all (an empty table, no languages) the base rules decide alone. Extra columns are
-left out (`keep_good` keeps them). Texts are taken whole.
+row, as are ties. Where a document's language has no reference, for want of documents, a distance
+says nothing of it and isn't used; so the base rules decide alone for rows without a language or of
+a rare one, and in an empty table. Extra columns are left out (`keep_good` keeps them). Texts are
+taken whole.
 """
 
 from __future__ import annotations
@@ -152,6 +154,10 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.where(total[:, 0] > 0, d, 0.0)
 
 
+def _langs(part: pa.RecordBatch) -> list[str | None]:
+    return part.column(part.schema.get_field_index("lang")).cast(pa.string()).to_pylist()
+
+
 _SHARES = pa.schema([("lang", pa.string()), ("class", pa.int32()), ("bin", pa.int32()), ("n", pa.int64())])
 
 
@@ -162,22 +168,22 @@ def _collect_shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         for part in textops.slices(batch):
             h = histograms(*textops.utf8(textops.text_column(part)))
             words = h[:, CLASSES:].sum(axis=1)
-            use = (h[:, :CLASSES].sum(axis=1) >= MIN_CHARS) & (words >= MIN_COMMON)
-            langs = part.column(part.schema.get_field_index("lang")).cast(pa.string()).to_pylist()
+            chars = h[:, :CLASSES].sum(axis=1)
+            share = np.concatenate([h[:, :CLASSES] / np.maximum(chars, 1)[:, None], h[:, CLASSES:] / np.maximum(words, 1)[:, None]], axis=1)
+            # shares are binned on a square-root scale: small shares keep their resolution
+            slot = np.arange(HISTOGRAM)[None, :] * SHARE_BINS + np.minimum((np.sqrt(share) * SHARE_BINS).astype(np.int64), SHARE_BINS - 1)
+            langs = _langs(part)
             for lang in {x for x in langs if x is not None}:
-                mine = use & np.fromiter((x == lang for x in langs), dtype=bool, count=len(langs))
-                share = np.concatenate([h[mine, :CLASSES] / np.maximum(h[mine, :CLASSES].sum(axis=1, keepdims=True), 1), h[mine, CLASSES:] / np.maximum(words[mine, None], 1)], axis=1)
-                # shares are binned on a square-root scale: small shares keep their resolution
-                bins = np.minimum((np.sqrt(share) * SHARE_BINS).astype(np.int64), SHARE_BINS - 1)
-                add = np.bincount((np.arange(HISTOGRAM)[None, :] * SHARE_BINS + bins).reshape(-1), minlength=HISTOGRAM * SHARE_BINS)
-                sums[lang] = sums.get(lang, 0) + add
+                mine = np.fromiter((x == lang for x in langs), dtype=bool, count=len(langs))
+                used = np.concatenate([slot[mine & (chars >= MIN_CHARS), :CLASSES].reshape(-1), slot[mine & (words >= MIN_COMMON), CLASSES:].reshape(-1)])
+                sums[lang] = sums.get(lang, 0) + np.bincount(used, minlength=HISTOGRAM * SHARE_BINS)
     for lang, counts in sums.items():
         at = np.flatnonzero(counts)
         yield textops.batch_of(_SHARES, [lang] * len(at), at // SHARE_BINS, at % SHARE_BINS, counts[at])
 
 
-def references(docs: DataFrame) -> dict[str, np.ndarray]:
-    """For each language with enough documents the median shares, from all rows of docs (text, lang)."""
+def references(docs: DataFrame) -> dict[str, tuple[np.ndarray | None, np.ndarray | None]]:
+    """For each language the median shares of character classes and of common words, each if enough documents have them, from all rows of docs (text, lang)."""
     rows = textops.narrow(docs, "text", "lang").mapInArrow(_collect_shares, "lang string, class int, bin int, n long").groupBy("lang", "class", "bin").agg(F.sum("n").alias("n")).collect()  # languages x classes x bins, whatever the number of documents
     table: dict[str, np.ndarray] = {}
     for r in rows:
@@ -185,26 +191,26 @@ def references(docs: DataFrame) -> dict[str, np.ndarray]:
     out = {}
     for lang, counts in table.items():
         total = counts.sum(axis=1)
-        if total[0] >= MIN_REFERENCE_DOCS:
-            middle = (np.cumsum(counts, axis=1) >= total[:, None] / 2).argmax(axis=1)
-            share = ((middle + 0.5) / SHARE_BINS) ** 2
-            out[lang] = np.where(middle == 0, 0.0, share)
+        middle = (np.cumsum(counts, axis=1) >= total[:, None] / 2).argmax(axis=1)
+        share = np.where(middle == 0, 0.0, ((middle + 0.5) / SHARE_BINS) ** 2)
+        out[lang] = (share[:CLASSES] if total[0] >= MIN_REFERENCE_DOCS else None, share[CLASSES:] if total[CLASSES] >= MIN_REFERENCE_DOCS else None)
     return out
 
 
-def distances(h: np.ndarray, refs: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """For each document its least distance of character classes over the languages, and of common words."""
-    if not refs:
-        return np.zeros(len(h)), np.zeros(len(h))
-    chars = np.stack([js_distance(h[:, COMPARED], r[COMPARED]) for r in refs.values()])
-    words = np.stack([js_distance(h[:, CLASSES:], r[CLASSES:]) for r in refs.values()])
-    return chars.min(axis=0), words.min(axis=0)
+def distances(h: np.ndarray, langs: list[str | None], refs: dict[str, tuple[np.ndarray | None, np.ndarray | None]]) -> tuple[np.ndarray, np.ndarray]:
+    """For each document its least distance of character classes over the languages, and of common words; 0 where its own language has no reference."""
+    out = []
+    for k, part in enumerate((h[:, COMPARED], h[:, CLASSES:])):
+        known = {lang: r[k][COMPARED] if k == 0 else r[k] for lang, r in refs.items() if r[k] is not None}
+        judged = np.fromiter((x in known for x in langs), dtype=bool, count=len(langs))
+        out.append(np.where(judged, np.stack([js_distance(part, r) for r in known.values()]).min(axis=0), 0.0) if known else np.zeros(len(h)))
+    return out[0], out[1]
 
 
-def verdicts(texts: pa.Array, refs: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+def verdicts(texts: pa.Array, langs: list[str | None], refs: dict[str, tuple[np.ndarray | None, np.ndarray | None]]) -> dict[str, np.ndarray]:
     out = base_counts(texts)
     h = histograms(*textops.utf8(texts))
-    char, word = distances(h, refs)
+    char, word = distances(h, langs, refs)
     chars, words = h[:, :CLASSES].sum(axis=1), h[:, CLASSES:].sum(axis=1)
     out["char_distance"] = np.where(chars >= MIN_CHARS, char, 0.0)
     out["word_distance"] = np.where(words >= MIN_COMMON, word, 0.0)
@@ -224,10 +230,10 @@ def judge(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in textops.slices(batch):
-                v = verdicts(textops.text_column(part), refs)
+                v = verdicts(textops.text_column(part), _langs(part), refs)
                 yield textops.batch_of(_RESULT, part.column(0).cast(pa.int64()), *(v[k] for k in _COLUMNS))
 
-    return textops.narrow(docs, "doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{k} {t}" for k, t in _COLUMNS.items()))
+    return textops.narrow(docs, "doc_id", "text", "lang").mapInArrow(run, "doc_id long, " + ", ".join(f"{k} {t}" for k, t in _COLUMNS.items()))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
@@ -237,6 +243,6 @@ def keep_good(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in textops.slices(batch):
-                yield part.filter(pa.array(verdicts(textops.text_column(part), refs)["kept"]))
+                yield part.filter(pa.array(verdicts(textops.text_column(part), _langs(part), refs)["kept"]))
 
     return textops.narrow(docs).mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema]))
