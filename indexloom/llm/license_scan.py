@@ -2,12 +2,14 @@
 
 Templates (license texts, headers and one-line notices) are cut into runs of GRAM words; winnowing
 keeps the least hash of every WINNOW neighbours, so that a document and a template that share
-GRAM + WINNOW - 1 words in a row share a fingerprint. The inverted index from fingerprint to
+GRAM + WINNOW - 1 words in a row share a fingerprint; the grams of shorter templates are always kept.
+The inverted index from fingerprint to
 (template, place) is built from the fixed list below, or the caller's, whose size the caller bounds;
 it is sent to every task. A document's fingerprints propose template and diagonal; around each
 diagonal a banded local alignment of words (match, mismatch and gap scores) gives the matched words
-of the template, its coverage and the span in the text. Of overlapping spans the one that covers
-more words stays.
+of the template, its coverage and the span in the text; what is left of the band on either side is
+aligned again, so that repeats close together are all found. Of overlapping spans the one that
+covers more words stays.
 
 Words are runs of digits, letters (A-Z lower-cased) and characters beyond ASCII. Null and empty
 texts have no finds. Repeated rows give repeated results. Ties between templates go to the one that
@@ -54,6 +56,7 @@ TEMPLATES = {
     "CC0-1.0 sentence": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
     "Unlicense text": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     "Zlib text": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely",
+    "All rights reserved notice": "All rights reserved",
     "All rights reserved": "All rights reserved. No part of this publication may be reproduced",
 }
 
@@ -79,6 +82,8 @@ class Index:
         self.hash = np.array([e[0] for e in entries], dtype=np.uint64)
         self.template = np.array([e[1] for e in entries], dtype=np.int64)
         self.place = np.array([e[2] for e in entries], dtype=np.int64)
+        short = np.array([len(w) < GRAM + WINNOW - 1 for w in self.words], dtype=bool)
+        self.short = np.unique(self.hash[short[self.template]])  # winnowing a document may drop these
 
 
 def align(template: np.ndarray, text: np.ndarray, shift: int, band: int = BAND) -> tuple[int, int, int, int]:
@@ -111,10 +116,26 @@ def align(template: np.ndarray, text: np.ndarray, shift: int, band: int = BAND)
     return best
 
 
+def align_all(template: np.ndarray, text: np.ndarray, shift: int, band: int = BAND) -> list[tuple[int, int, int]]:
+    """(matched words, start, end in text) of the best local alignment and, again and again, of those in the text left on either side, as far as they reach MIN_COVERAGE."""
+    need = MIN_COVERAGE * len(template)
+    found, todo = [], [(0, len(text))]
+    while todo:
+        a, b = todo.pop()
+        if np.isin(text[a:b], template).sum() < need:
+            continue
+        _, matched, start, end = align(template, text[a:b], shift - a, band)
+        if matched >= need:
+            found.append((matched, a + start, a + end))
+        if matched:
+            todo += [(a, a + start), (a + end, b)]
+    return found
+
+
 def scan(words: np.ndarray, index: Index) -> list[tuple[int, int, float, int, int]]:
     """(template, matched words, coverage, first word, end word) of each find, by place."""
     grams = textops.shingle_hashes(words, GRAM)
-    picked = winnow(grams)
+    picked = np.union1d(winnow(grams), np.flatnonzero(np.isin(grams, index.short)))
     if not picked.size:
         return []
     low, high = np.searchsorted(index.hash, grams[picked]), np.searchsorted(index.hash, grams[picked], side="right")
@@ -122,16 +143,13 @@ def scan(words: np.ndarray, index: Index) -> list[tuple[int, int, float, int, in
     for p, a, b in zip(picked[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist(), strict=True):
         for e in range(a, b):
             seeds.add((int(index.template[e]), (p - int(index.place[e])) // BAND))
-    finds = []
+    finds = set()  # neighbouring bands overlap
     for t, coarse in sorted(seeds):
-        if (t, coarse - 1) in seeds and (t, coarse - 2) not in seeds:
-            continue  # the neighbour's band holds this diagonal
         template = index.words[t]
         first = max(0, coarse * BAND - 2 * BAND)
         part = words[first : coarse * BAND + len(template) + 3 * BAND]
-        _, matched, start, end = align(template, part, coarse * BAND + BAND // 2 - first, 2 * BAND)
-        if matched >= MIN_COVERAGE * len(template):
-            finds.append((t, matched, matched / len(template), first + start, first + end))
+        for matched, start, end in align_all(template, part, coarse * BAND + BAND // 2 - first, 2 * BAND):
+            finds.add((t, matched, matched / len(template), first + start, first + end))
     out: list[tuple[int, int, float, int, int]] = []
     for f in sorted(finds, key=lambda f: (-f[1], -f[2], f[3], f[0])):
         if all(f[4] <= g[3] or f[3] >= g[4] for g in out):
