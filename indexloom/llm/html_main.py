@@ -10,8 +10,10 @@ node has a kept descendant; the text runs kept are the result.
 Character references are decoded, white space within a block becomes one space, blocks are joined
 by one space. Null and empty pages give an empty text, as do pages without a kept run. Repeated
 pages give repeated results. Unclosed, stray and unknown tags are read as browsers mostly do; text
-outside all tags is a text run of the page. Pages are read whole; nesting beyond MAX_DEPTH is
-flattened. Extra columns are left out. An empty table gives an empty result.
+outside all tags is a text run of the page. Drawings, formulas, selections and templates are
+subtrees that are always dropped: they end with their own end tag or an ancestor's and, but for
+templates, where a block begins that can't stand in them. Pages are read whole; nesting beyond
+MAX_DEPTH is flattened. Extra columns are left out. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,7 +39,9 @@ BINS = 48
 
 #: HTML's own sets of elements. Fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math select".split())
+RAW = frozenset("script style noscript textarea title iframe".split())
+DROPPED = frozenset("template svg math select".split())
+HOLDS_BLOCKS = frozenset("template foreignobject annotation-xml".split())  # blocks may stand in these
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "body": ("head",)}
@@ -88,7 +92,7 @@ class Forest:
         page, base = self.pages, len(self.tag)
         self.pages += 1
         stack: list[tuple[str, int]] = []
-        block = 0
+        block = dropped = 0  # dropped: open elements of DROPPED, under which no nodes are made
 
         def node(tag: str, attrs: str, text: str | None, in_link: bool) -> int:
             self.page.append(page)
@@ -105,8 +109,11 @@ class Forest:
             return len(self.tag) - 1
 
         def close(to: int) -> None:
-            for _, n in stack[to:]:
-                self.end[n] = len(self.tag)
+            nonlocal dropped
+            for t, n in stack[to:]:
+                if n >= 0:
+                    self.end[n] = len(self.tag)
+                dropped -= t in DROPPED
             del stack[to:]
 
         node("html", "", None, False)
@@ -116,7 +123,9 @@ class Forest:
         while at < len(source):
             m = _TOKEN.search(source, at)
             run = source[at : m.start() if m else len(source)]
-            if run and not run.isspace():
+            if dropped:
+                pass
+            elif run and not run.isspace():
                 n = node("#text", "", html.unescape(run), links > 0)
                 self.end[n] = n + 1
             elif run:
@@ -137,6 +146,13 @@ class Forest:
                         close(k)
                         break
                 continue
+            if dropped and tag in CLOSES_P:
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k][0] in HOLDS_BLOCKS or not dropped:
+                        break
+                    if stack[k][0] in DROPPED:
+                        links -= sum(t == "a" for t, _ in stack[k:])
+                        close(k)
             if tag in VOID:
                 continue
             if tag in RAW:
@@ -153,8 +169,14 @@ class Forest:
                     close(k)
                     if tag != "tr":
                         break
-                elif stack[k][0] in limit:
+                elif stack[k][0] in limit or stack[k][0] in DROPPED:
                     break
+            if dropped or tag in DROPPED:
+                if (tag in ("template", "select") or not m[4]) and (not dropped or len(stack) < 2 * MAX_DEPTH):  # HTML's own elements don't close themselves
+                    stack.append((tag, -1))
+                    dropped += tag in DROPPED
+                    links += tag == "a"
+                continue
             n = node(tag, m[3] or "", None, links > 0)
             self.end[n] = n + 1
             if not m[4] and len(stack) < MAX_DEPTH:
