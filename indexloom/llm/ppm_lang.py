@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from indexloom.llm import textops
 
 SAMPLE_DOCS = 400  # labelled documents of a language that the trees are grown from, in the mean
-SAMPLE_CHARS = 20_000  # longer documents aren't drawn; the drawn ones are learnt whole
+SAMPLE_CHARS = 20_000  # drawn documents are learnt whole up to this length, longer ones in windows of this size together
+WINDOWS = 8  # spread evenly over a long document
 MIN_COUNT = 4
 TABLE_BYTES = 64_000_000  # of the table of code lengths that goes to every worker
 
@@ -151,13 +152,20 @@ class Model:
         return out
 
 
+def _windows(sample_chars: int) -> Column:
+    """The text in an array, or, if it is longer than sample_chars, windows from its start to its end."""
+    n, size = F.length("text"), max(1, sample_chars // WINDOWS)
+    start = lambda i: F.floor(i * (n - size) / (WINDOWS - 1)).cast("int") + 1
+    return F.when(n <= sample_chars, F.array("text")).otherwise(F.array(*(F.substring("text", start(F.lit(i)), F.lit(size)) for i in range(WINDOWS))))
+
+
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model:
-    """Grows the trees from about sample_docs documents of each language, drawn among those of at most sample_chars characters."""
-    rows = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0) & (F.length("text") <= sample_chars) & ~held_out()).select("doc_id", "lang", "text")
+    """Grows the trees from about sample_docs documents of each language, whatever their lengths, and at most sample_chars characters of each."""
+    rows = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0) & ~held_out()).select("doc_id", "lang", "text")
     samples: dict[str, list] = {}
-    for r in textops.bounded_sample(rows, "lang", ["doc_id"], sample_docs).collect():
-        samples.setdefault(r.lang, []).append((r["rank"], r.text))
-    return Model({lang: [t for _, t in sorted(held)] for lang, held in samples.items()})
+    for r in textops.bounded_sample(rows, "lang", ["doc_id"], sample_docs).select("lang", "rank", _windows(sample_chars).alias("texts")).collect():
+        samples.setdefault(r.lang, []).append((r["rank"], r.texts))
+    return Model({lang: [t for _, texts in sorted(held) for t in texts] for lang, held in samples.items()})
 
 
 def _predict(model) -> object:
