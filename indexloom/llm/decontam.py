@@ -1,17 +1,19 @@
 """Benchmark decontamination with suffix arrays over shards of the corpus.
 
-Each slice of documents that a task reads is a shard: its words become ranks, and prefix doubling
-sorts all its suffixes. Every suffix of every benchmark item is then binary-searched in the shard's
+Each slice of documents that a task reads is a shard: prefix doubling sorts all its suffixes, to the
+depth of a window. Every suffix of every benchmark item is then binary-searched in the shard's
 array, which gives all places where its first `window` words stand; matches on one diagonal chain
-into longest verbatim matches. Documents never move, so copies and common passages cannot pile up
-in one task. The benchmark goes to the tasks in blocks of a checked size: its measured size gives
-their number, each block is one more narrow pass over the rows, and no block is larger than
-BLOCK_BYTES of text (or one item).
+into longest verbatim matches. Words are compared by their bytes, no hash decides. Documents never
+move, so copies and common passages cannot pile up in one task. The benchmark goes to the tasks in
+blocks of a checked size (BLOCK_BYTES of text, or one item): its measured size gives their number,
+and each block is one narrow pass over the rows.
 
 Words are runs of digits, letters (A-Z lower-cased) and characters beyond ASCII. Null and empty
 documents and those without words have no hits; items without words have no windows; items with
 fewer words than a window are one window. Repeated rows are judged one by one, repeated items count
-once by their id; an item without an id marks words but isn't listed. Texts are taken whole.
+once by their id; an item without an id marks words but isn't listed. An empty table gives an empty
+result; with an empty benchmark nothing is hit. Extra columns are left out (`remove_contaminated`
+keeps them), whatever their names. Texts are taken whole; ties don't arise.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,17 +33,17 @@ from pyspark.sql import types as T
 from indexloom.llm import textops
 
 WINDOW = 10
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 32_000_000
 
 
 class SuffixArray:
     """Suffixes of the documents of a shard, ordered by their first `depth` words; none crosses a document's end."""
 
     def __init__(self, words: textops.Words, depth: int = WINDOW):
-        n = len(words.hash)
-        self.vocabulary, self.text = np.unique(words.hash, return_inverse=True)
+        n = len(words.id)
+        self.distinct, self.text = words.distinct, words.id
         self.last = np.repeat(words.offsets[1:], words.counts)  # each word's document's end
-        rank, k = self.text.astype(np.int64), 1
+        rank, k = self.text, 1
         order = np.argsort(rank, kind="stable") if n else np.zeros(0, np.int64)
         while k < depth and n:
             follow = np.arange(n) + k
@@ -53,9 +56,9 @@ class SuffixArray:
             k *= 2
         self.order = order
 
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.vocabulary, hashes), max(len(self.vocabulary) - 1, 0))
-        return np.where(self.vocabulary[at] == hashes, at, -1) if len(self.vocabulary) else np.full(len(hashes), -1)
+    def codes(self, values: pa.Array) -> np.ndarray:
+        """The shard's codes of words, by their bytes; -1 for words that it doesn't hold."""
+        return pc.fill_null(pc.index_in(values, value_set=self.distinct), -1).to_numpy(zero_copy_only=False).astype(np.int64)
 
     def ranges(self, query: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Binary search of all queries at once: the range of the array whose suffixes begin with query[i, :lengths[i]]."""
@@ -81,25 +84,29 @@ class SuffixArray:
 
 
 class Items:
-    """Windows of a block of benchmark items: word hashes, lengths, item and place of each."""
+    """Windows of a block of benchmark items: the block's words as codes into its vocabulary; item, place and length of each window."""
 
     def __init__(self, ids: list, texts: list, window: int):
-        arr = pa.array([t or "" for t in texts], type=pa.large_string())
-        words = textops.Words(*textops.utf8(arr))
+        words = textops.Words(*textops.utf8(pa.array([t or "" for t in texts], type=pa.large_string())))
         self.window = window
+        self.vocabulary, self.words = words.distinct, words.id.astype(np.int32)
         counts = words.counts
-        self.lengths_of_items = np.minimum(counts, window)
         n_windows = np.where(counts > 0, np.maximum(counts - window + 1, 1), 0)
-        self.item = np.repeat(np.arange(len(ids)), n_windows)
-        self.place = np.arange(len(self.item)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
-        self.length = self.lengths_of_items[self.item]
-        first = words.offsets[:-1][self.item] + self.place
-        self.hash = np.zeros((len(self.item), window), dtype=np.uint64)
-        for d in range(window):
-            inside = d < self.length
-            self.hash[inside, d] = words.hash[first[inside] + d]
+        self.item = np.repeat(np.arange(len(ids), dtype=np.int32), n_windows)
+        self.place = (np.arange(len(self.item)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)).astype(np.int32)
+        self.length = np.minimum(counts, window)[self.item].astype(np.int32)
+        self.first = words.offsets[:-1][self.item] + self.place
         self.ids = [None if i is None else str(i) for i in ids]
 
+    def known(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(windows all of whose words a shard holds, their words as the shard's codes)."""
+        mine = codes[self.words] if len(self.words) else np.zeros(0, np.int64)
+        missing = np.concatenate([[0], np.cumsum(mine < 0)])
+        rows = np.flatnonzero(missing[self.first + self.length] == missing[self.first])
+        at = self.first[rows][:, None] + np.arange(self.window)
+        query = np.where(np.arange(self.window) < self.length[rows][:, None], mine[np.minimum(at, max(len(mine) - 1, 0))], 0) if len(rows) else np.zeros((0, self.window), np.int64)
+        return rows, query
+
 
 def block_count(benchmark: DataFrame, limit: int) -> int:
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0)).alias("n")).first().n
@@ -118,17 +125,15 @@ def item_blocks(benchmark: DataFrame, window: int = WINDOW, limit: int | None =
 
 
 def _occurrences(words: textops.Words, items: Items) -> tuple[np.ndarray, np.ndarray]:
-    """(window number, word position) of every occurrence of a window in the shard."""
+    """(window number, word position) of every occurrence of a window in the shard. Words are compared by their bytes."""
     none = np.zeros(0, dtype=np.int64)
-    if not len(words.hash) or not len(items.item):
+    if not len(words.id) or not len(items.item):
         return none, none
     array = SuffixArray(words, items.window)
-    ids = array.ids(items.hash.reshape(-1)).reshape(items.hash.shape)
-    ids[np.arange(items.window)[None, :] >= items.length[:, None]] = 0
-    rows = np.flatnonzero((ids >= 0).all(axis=1))
+    rows, query = items.known(array.codes(items.vocabulary))
     if not rows.size:
         return none, none
-    low, high = array.ranges(ids[rows], items.length[rows])
+    low, high = array.ranges(query, items.length[rows])
     n = high - low
     which = np.repeat(rows, n)
     at = array.order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
@@ -139,7 +144,7 @@ def shard_matches(words: textops.Words, items: Items) -> dict[str, np.ndarray]:
     """Longest verbatim matches of a shard: document, item, places in both and length, all in words."""
     which, at = _occurrences(words, items)
     doc = np.searchsorted(words.offsets, at, side="right") - 1
-    item, place, length = items.item[which], items.place[which], items.length[which]
+    item, place, length = (x[which].astype(np.int64) for x in (items.item, items.place, items.length))
     order = np.lexsort((place, at - place, item, doc))
     doc, item, place, length, at = doc[order], item[order], place[order], length[order], at[order]
     new = np.ones(len(at), dtype=bool)
@@ -164,65 +169,80 @@ def _in_shards(work):
 
 def _covered(words: textops.Words, m: dict[str, np.ndarray]) -> np.ndarray:
     """Tells of each word of the shard whether a match covers it."""
-    step = np.zeros(len(words.hash) + 1, dtype=np.int64)
+    step = np.zeros(len(words.id) + 1, dtype=np.int64)
     first = m["start"] + words.offsets[m["doc"]]
     np.add.at(step, first, 1)
     np.add.at(step, first + m["n_words"], -1)
     return np.cumsum(step)[:-1] > 0
 
 
-_DIGEST = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("longest_match", pa.int64())])
+_DIGEST = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("longest_match", pa.int64()), ("matches", pa.string())])
 
 
-_STATE = "doc_id long, text string, covered binary, items array<string>, longest long"
-_STATE_ARROW = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("covered", pa.binary()), ("items", pa.list_(pa.string())), ("longest", pa.int64())])
+_FIND = pa.struct([("item_id", pa.string()), ("item_start", pa.int64()), ("doc_start", pa.int64()), ("n_words", pa.int64())])
+_STATE = "doc_id long, text_hash long, block int, n_words long, covered binary, matches array<struct<item_id:string,item_start:long,doc_start:long,n_words:long>>"
+_STATE_ARROW = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("block", pa.int32()), ("n_words", pa.int64()), ("covered", pa.binary()), ("matches", pa.list_(_FIND))])
 
 
-def _look(block: Broadcast):
-    """Adds one block's finds to each row: covered words as bits, items found, longest match."""
+def _look(block: Broadcast, number: int):
+    """One block's finds in each row: covered words as bits, longest matches. Without the text; the first block tells of all rows, others of those that they hit."""
 
     def work(part: pa.RecordBatch, words: textops.Words) -> pa.RecordBatch:
         items = block.value
         m = shard_matches(words, items)
-        new = _covered(words, m)
-        names = [set(x or ()) for x in part.column(3).to_pylist()]
-        for d, i in np.unique(np.stack([m["doc"], m["item"]], axis=1), axis=0) if len(m["doc"]) else []:
-            if items.ids[i] is not None:
-                names[d].add(items.ids[i])
-        longest = part.column(4).to_numpy().copy()
-        np.maximum.at(longest, m["doc"], m["n_words"])
-        bits = []
-        for old, a, b in zip(part.column(2).to_pylist(), words.offsets[:-1], words.offsets[1:], strict=True):
-            mine = new[a:b]
-            if old:
-                mine = mine | np.unpackbits(np.frombuffer(old, dtype=np.uint8), count=b - a).astype(bool)
-            bits.append(np.packbits(mine).tobytes() if mine.any() else None)
-        return textops.batch_of(_STATE_ARROW, part.column(0).cast(pa.int64()), part.column(1).cast(pa.string()), bits, [sorted(x) for x in names], longest)
+        covered = _covered(words, m)
+        found: list[list] = [[] for _ in range(part.num_rows)]
+        for d, i, *places in zip(*(m[k].tolist() for k in ("doc", "item", "item_start", "start", "n_words")), strict=True):
+            found[d].append((items.ids[i], *places))
+        bits = [np.packbits(covered[a:b]).tobytes() if f else None for f, a, b in zip(found, words.offsets[:-1], words.offsets[1:], strict=True)]
+        rows = [[dict(zip(("item_id", "item_start", "doc_start", "n_words"), x, strict=True)) for x in f] for f in found]
+        out = textops.batch_of(_STATE_ARROW, part.column(0).cast(pa.int64()), part.column(2), np.full(part.num_rows, number, dtype=np.int32), words.counts, bits, rows)
+        return out if number == 0 else out.filter(pa.array([bool(f) for f in found]))
 
     return _in_shards(work)
 
 
-def _sum_up(part: pa.RecordBatch, words: textops.Words) -> pa.RecordBatch:
-    hit = np.array([int(np.unpackbits(np.frombuffer(x, dtype=np.uint8)).sum()) if x else 0 for x in part.column(2).to_pylist()], dtype=np.int64)
-    names = [x or [] for x in part.column(3).to_pylist()]
-    return textops.batch_of(_DIGEST, part.column(0), words.counts, hit, [len(x) for x in names], [hashlib.sha256(",".join(x).encode()).hexdigest() for x in names], hit > 0, part.column(4))
+def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From a row's finds in all blocks (doc_id, n_words, parts) to its counts."""
+    for batch in batches:
+        hit, names, longest, places = [], [], [], []
+        for parts in batch.column(2).to_pylist():
+            bits, found = np.zeros(0, dtype=np.uint8), set()
+            for p in parts:
+                if p["covered"]:
+                    new = np.frombuffer(p["covered"], dtype=np.uint8)
+                    bits = new if not len(bits) else bits | new
+                found.update((x["doc_start"], x["item_id"] or "", x["item_start"], x["n_words"], x["item_id"] is None) for x in p["matches"])
+            hit.append(int(np.bitwise_count(bits).sum()))
+            names.append(sorted({x[1] for x in found if not x[4]}))
+            longest.append(max((x[3] for x in found), default=0))
+            places.append(",".join(f"{item}:{of}:{at}:{n}" for at, item, of, n, _ in sorted(found)))
+        hits = np.array(hit, dtype=np.int64)
+        yield textops.batch_of(_DIGEST, batch.column(0), batch.column(1), hits, [len(x) for x in names], [hashlib.sha256(",".join(x).encode()).hexdigest() for x in names], hits > 0, longest, places)
+
+
+def _finds(docs: DataFrame, benchmark: DataFrame, window: int) -> list[DataFrame]:
+    """For each block of the benchmark its finds; a pass holds one block."""
+    rows = textops.narrow(docs, F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    return [rows.mapInArrow(_look(block, k), _STATE) for k, block in enumerate(item_blocks(benchmark, window))]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Counts of words, hit words and found items of every row of docs (doc_id, text), and its longest match.
+    """Counts of words, hit words and found items of every row of docs (doc_id, text), the length of its longest match, and all matches as item:place in it:place in the text:words.
 
-    Rows carry what earlier blocks found; with several blocks they are written out between passes,
-    so that no task holds more than one block.
+    The first block of the benchmark is looked for in a pass that gives a row for each document, each
+    further block in a pass that gives rows for what it hits, without texts; those few are joined on.
     """
-    empty = F.array().cast("array<string>")
-    rows = textops.narrow(docs, F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(None).cast("binary").alias("covered"), empty.alias("items"), F.lit(0).cast("long").alias("longest"))
-    several = block_count(benchmark, BLOCK_BYTES) > 1
-    for block in item_blocks(benchmark, window):
-        rows = rows.mapInArrow(_look(block), _STATE)
-        if several:
-            rows = textops.cut(rows, "decontam")
-            block.unpersist()
-    return rows.mapInArrow(_in_shards(_sum_up), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long")
+    first, *others = _finds(docs, benchmark, window)
+    part = F.struct("covered", "matches")
+    if not others:
+        rows = first.select("doc_id", "n_words", F.array(part).alias("parts"))
+    else:
+        key = [F.col("doc_id").eqNullSafe(F.col("_d")), F.col("text_hash") == F.col("_h")]
+        # repeated rows have equal finds; a row has one for each block at most
+        more = reduce(DataFrame.unionByName, others).dropDuplicates(["doc_id", "text_hash", "block"]).groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).agg(F.collect_list(part).alias("more"))
+        rows = first.join(more, key, "left").select("doc_id", "n_words", F.concat(F.array(part), F.coalesce("more", F.array())).alias("parts"))
+    return rows.mapInArrow(_summary, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long, matches string")
 
 
 _MATCH = pa.schema([("doc_id", pa.int64()), ("item_id", pa.string()), ("item_start", pa.int64()), ("doc_start", pa.int64()), ("n_words", pa.int64())])
@@ -253,12 +273,12 @@ def _clean(block: Broadcast):
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of docs, all columns, that hold no window of a benchmark item; each block of items is one pass over what is left."""
+    """The rows of docs, all columns, that hold no window of a benchmark item: a filter in the row for the first block, an anti join with the few rows that further blocks hit."""
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema])
-    several = block_count(benchmark, BLOCK_BYTES) > 1
-    for block in item_blocks(benchmark, window):
-        docs = textops.narrow(docs).mapInArrow(_clean(block), schema)
-        if several:
-            docs = textops.cut(docs, "decontam")
-            block.unpersist()
-    return docs
+    first, *others = item_blocks(benchmark, window)
+    kept = textops.narrow(docs).mapInArrow(_clean(first), schema)
+    if others:
+        rows = textops.narrow(docs, F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+        hit = reduce(DataFrame.unionByName, [rows.mapInArrow(_look(b, k + 1), _STATE) for k, b in enumerate(others)]).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct()
+        kept = kept.join(hit, kept["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(kept["text"]) == F.col("_h")), "left_anti")
+    return kept

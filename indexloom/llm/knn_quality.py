@@ -1,8 +1,8 @@
 """Quality by nearest-neighbour voting over latent-semantic vectors.
 
 A text becomes counts of hashed byte trigrams and of word features (shape, length, whether the word
-repeats the one before). A bounded sample of labelled documents (SAMPLE rows in the mean, drawn by a
-hash of their id) fixes the weights of the features and, by a truncated singular value
+repeats the one before). A bounded sample of labelled documents (SAMPLE rows in the mean, twice that
+at most, drawn by a hash of their id) fixes the weights of the features and, by a truncated singular value
 decomposition, a latent space of RANK dimensions. Their vectors and labels, a few hundred kB, are
 broadcast; every document's cosines with all of them are worked out in blocks, exactly, and its
 NEIGHBOURS nearest vote for their labels with weights that grow with similarity.
@@ -10,7 +10,7 @@ NEIGHBOURS nearest vote for their labels with weights that grow with similarity.
 Null and empty texts have no features; their score is 0. Texts that are unlike all of the sample
 get the sample's mean label. Ties among neighbours go to the lower rank in the sample. Repeated
 documents are scored alike, row by row; a label row without a document, or a document labelled
-twice, adds what it has. With no labels every score is 0. Extra columns are left out. Texts are
+twice, adds what it has; of several rows with one id the least text is learnt. With no labels every score is 0. Extra columns are left out. Texts are
 taken whole.
 """
 
@@ -61,11 +61,11 @@ def features(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         same = doc[:-2] == doc[2:]
         out[:, :TRIGRAMS] = np.bincount(doc[:-2][same] * TRIGRAMS + (code[same] % TRIGRAMS), minlength=docs * TRIGRAMS).reshape(docs, TRIGRAMS)
     words = textops.Words(buf, offsets, word_byte=_NOT_SPACE, lower=False)
-    if len(words.hash):
-        kinds = np.bitwise_or.reduceat(_KIND[buf], np.stack([words.start, words.end], axis=1).reshape(-1)[: 2 * len(words.hash) - (words.end[-1] == n)])[::2].astype(np.int64)
+    if len(words.id):
+        kinds = np.bitwise_or.reduceat(_KIND[buf], np.stack([words.start, words.end], axis=1).reshape(-1)[: 2 * len(words.id) - (words.end[-1] == n)])[::2].astype(np.int64)
         owner = words.doc_of_word()
         repeat = np.zeros(len(owner), dtype=np.int64)
-        repeat[1:] = (words.hash[1:] == words.hash[:-1]) & (owner[1:] == owner[:-1])
+        repeat[1:] = (words.id[1:] == words.id[:-1]) & (owner[1:] == owner[:-1])
         size = np.minimum((words.end - words.start) // 3, 3)
         slot = kinds + 64 * repeat + 128 * size
         out[:, TRIGRAMS:] = np.bincount(owner * SHAPES + slot, minlength=docs * SHAPES).reshape(docs, SHAPES)
@@ -125,8 +125,9 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """The latent space and its labelled points, from about `sample` labelled rows that aren't held out."""
     rows = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col("quality").cast("int").alias("label"), F.lit(1).alias("all"))
-    few = textops.bounded_sample(rows, "all", ["doc_id"], sample).select("doc_id", "rank", "label")  # a bounded number of rows: it may be broadcast
-    texts = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", "rank", "label")
+    few = textops.bounded_sample(rows, "all", ["doc_id", "label"], sample).select("doc_id", "rank", "label")  # a bounded number of rows: it may be broadcast
+    texts = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").groupBy("doc_id", "rank", "label").agg(F.min("text").alias("text"))  # one text, if many rows have an id
+    texts = texts.select("text", "rank", "label")
     got = sorted((r["rank"], r.label, bytes(r.counts)) for r in texts.mapInArrow(_feature_rows, "rank long, label int, counts binary").collect())
     counts = np.frombuffer(b"".join(x[2] for x in got), dtype=np.float32).reshape(-1, FEATURES)
     return Model(counts, np.array([x[1] for x in got], dtype=np.int64))

@@ -24,7 +24,7 @@ def op2_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.contamination(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("longest_match")
+    return decontam.contamination(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def op4_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,14 +63,18 @@ _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQ
 
 _OP3 = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
-b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+b AS (SELECT row_number() OVER () AS iid, item_id, {_WORDS} AS w FROM benchmark),
+item_places AS (SELECT iid, item_id, p AS q, least(len(w), 10) AS n, array_to_string(w[p:p + least(len(w), 10) - 1], ' ') AS k FROM (SELECT *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS p FROM b WHERE len(w) > 0)),
 item_windows AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[p:p + least(len(w), 10) - 1], ' ') AS k FROM (SELECT *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS p FROM b WHERE len(w) > 0)),
 doc_windows AS (SELECT rid, p, n, array_to_string(w[p:p + n - 1], ' ') AS k FROM (SELECT d.rid, d.w, l.n, unnest(range(1, len(d.w) - l.n + 2)) AS p FROM d CROSS JOIN (SELECT DISTINCT n FROM item_windows) l WHERE len(d.w) >= l.n)),
 hits AS (SELECT x.rid, x.p, x.n, i.item_id FROM doc_windows x JOIN item_windows i ON i.n = x.n AND i.k = x.k),
 covered AS (SELECT rid, count(DISTINCT q) AS n_hit FROM (SELECT rid, unnest(range(p, p + n)) AS q FROM hits) GROUP BY rid),
+placed AS (SELECT x.rid, x.p, i.q, i.n, i.iid, i.item_id FROM doc_windows x JOIN item_places i ON i.n = x.n AND i.k = x.k),
+runs AS (SELECT DISTINCT rid, coalesce(CAST(item_id AS VARCHAR), '') AS item, min(q) - 1 AS item_start, min(p) - 1 AS doc_start, max(q) - min(q) + max(n) AS n_words FROM (SELECT *, q - row_number() OVER (PARTITION BY rid, iid, p - q ORDER BY q) AS g FROM placed) GROUP BY rid, iid, item_id, p - q, g),
+longest AS (SELECT rid, max(n_words) AS longest_match, string_agg(item || ':' || item_start || ':' || doc_start || ':' || n_words, ',' ORDER BY doc_start, item, item_start, n_words) AS matches FROM runs GROUP BY rid),
 found AS (SELECT rid, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS names FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS i FROM hits WHERE item_id IS NOT NULL) GROUP BY rid)
-SELECT d.doc_id, len(d.w) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(f.n_items, 0) AS n_items, sha256(coalesce(f.names, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN covered c ON c.rid = d.rid LEFT JOIN found f ON f.rid = d.rid"""
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(f.n_items, 0) AS n_items, sha256(coalesce(f.names, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated, coalesce(g.longest_match, 0) AS longest_match, coalesce(g.matches, '') AS matches
+FROM d LEFT JOIN covered c ON c.rid = d.rid LEFT JOIN found f ON f.rid = d.rid LEFT JOIN longest g ON g.rid = d.rid"""
 
 _OP6 = f"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),

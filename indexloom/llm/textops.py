@@ -7,12 +7,15 @@ task depends on the slice and on the longest single document, never on the table
 from __future__ import annotations
 
 import os
+import tempfile
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 1_500_000
@@ -76,8 +79,17 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 
 
+def hashed(values: pa.Array) -> np.ndarray:
+    """64-bit hashes of binary values. xxHash mixes each byte with its place and length, so that no pattern of letters cancels out."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, values.to_pylist()), dtype=np.uint64, count=len(values))
+
+
 class Words:
-    """The words of a slice: 64-bit hashes, byte spans in the slice and each document's range of words."""
+    """The words of a slice: their byte spans, each document's range of words, and exact codes.
+
+    Words with the same bytes have the same code, others never: `id` points into `distinct`. `hash`
+    is for what must compare across slices; who compares by it says how it is verified or how rarely it errs.
+    """
 
     def __init__(self, buf: np.ndarray, offsets: np.ndarray, word_byte: np.ndarray = WORD_BYTE, lower: bool = True):
         buf = _LOWER[buf] if lower else buf
@@ -90,14 +102,16 @@ class Words:
         self.start = np.flatnonzero(inside[1:-1] & (~inside[:-2] | first[:-1]))
         self.end = np.flatnonzero(inside[1:-1] & (~inside[2:] | first[1:])) + 1
         self.offsets = np.searchsorted(self.start, offsets)
-        # each word's polynomial in its own bytes: memory follows the bytes of the slice and the longest word
-        size = self.end - self.start
-        before = np.cumsum(size) - size
-        place = np.arange(int(size.sum())) - np.repeat(before, size)
-        value = buf[inside[1:-1]].astype(np.uint64) + np.uint64(1)
-        value *= powers(int(size.max(initial=0)))[place]
-        total = np.add.reduceat(value, before) if len(size) else np.zeros(0, np.uint64)
-        self.hash = mix(total + size.astype(np.uint64))
+        # only the bytes of words, one word after another
+        places = np.concatenate([[0], np.cumsum(self.end - self.start)])
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.start), [None, pa.py_buffer(places), pa.py_buffer(np.ascontiguousarray(buf[inside[1:-1]]))])
+        coded = words.dictionary_encode()
+        self.id = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.distinct = coded.dictionary
+
+    @cached_property
+    def hash(self) -> np.ndarray:
+        return hashed(self.distinct)[self.id] if len(self.id) else np.zeros(0, np.uint64)
 
     @property
     def counts(self) -> np.ndarray:
@@ -128,31 +142,45 @@ def narrow(df: DataFrame, *columns) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir)."""
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir); only a local session may do without it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        import tempfile
-
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{os.urandom(6).hex()}"
 
 
-def cut(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and returns it reread: lineage ends there."""
+    return put(df, name)[0]
+
+
+def put(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As `cut`, with the path, for `drop` once nothing reads it any more."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(schema).parquet(path), path
+
+
+def drop(spark: SparkSession, *paths: str) -> None:
+    """Deletes tables written by `put`, in whatever store they are."""
+    jvm = spark.sparkContext._jvm
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bounded_sample(rows: DataFrame, by: str, key: list[str], n: int) -> DataFrame:
-    """About n rows of each value of `by` (all, where there are fewer), chosen by a hash of `key`.
+    """About n rows of each value of `by` (all, where there are fewer; twice n at most), chosen by a hash of `key`.
 
-    The classes' sizes give each a share of the hash range, so the choice needs no sort, no shuffle
-    of the rows and no group in one task, and doesn't depend on how the rows are partitioned. `by`
-    has few values, as class labels have. A column `rank` orders the sample.
+    The classes' sizes give each a share of the hash range, so the rows aren't sorted or shuffled
+    and the choice doesn't depend on how they are partitioned; what is chosen is cut at twice n, in
+    case a third of all rows should have one key. `by` has few values, as class labels have. A column
+    `rank` orders the sample.
     """
     sizes = {r[0]: r.n for r in rows.groupBy(by).agg(F.count("*").alias("n")).collect()}
     rank = F.pmod(F.xxhash64(*key), F.lit(1_000_000_007))
@@ -160,7 +188,9 @@ def bounded_sample(rows: DataFrame, by: str, key: list[str], n: int) -> DataFram
     for value, size in sizes.items():
         if value is not None:
             limit = F.when(F.col(by) == F.lit(value), F.lit(int(min(1.0, n / size) * 1_000_000_007))).otherwise(limit)
-    return rows.withColumn("rank", rank).where(F.col("rank") <= limit)
+    chosen = rows.withColumn("rank", rank).where(F.col("rank") <= limit)
+    place = F.row_number().over(Window.partitionBy(by).orderBy("rank", *key))
+    return chosen.withColumn("_place", place).where(F.col("_place") <= 2 * n).drop("_place")
 
 
 def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
