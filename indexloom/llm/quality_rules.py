@@ -1,29 +1,38 @@
 """Quality rules: repetition and size counts, then divergence from language references.
 
-The first pass sums, over all rows and for each language, histograms of character classes and of
-common words; the sums are a few hundred numbers for each language, added up in Spark. A document
-passes if, for at least one language, the Jensen-Shannon distance of its character classes stays
-within a limit, and that of its common words too. Short texts have histograms that say little, so
-below a minimum length, of its own for either, a distance isn't used.
-
-A language's reference is the class-wise median over its documents' own shares of each class
-(taken from histograms of those shares), so that a mass of junk in one source doesn't move it. It is
-made of the very documents that the distance judges: characters and words each have theirs.
+Everything that the divergence needs is learnt from the table itself, over all its rows, for each
+language in turn, in three narrow passes whose sums Spark adds up:
+
+1. how many documents hold each word; the TOP_WORDS most frequent are the language's common words;
+2. each document's shares of character classes and of common words; their class-wise medians and, for
+   words, means of the middle nine tenths are the language's reference, so that a mass of junk in one
+   source hardly moves it;
+3. each document's Jensen-Shannon distances to its language's reference; their median and lower
+   quartile, among documents of like length, give the limit: the median plus SPREAD times the
+   larger of their difference and the deviation that chance alone gives at that length.
+
+A document passes if both its distances, of character classes and of common words, keep to its
+language's limits, or if those that don't keep to another language's (it may carry a wrong
+label). Short texts have histograms that say little, so below a minimum length, of its own for
+either, a distance isn't used.
 
 Null and empty texts have no words and fail the base rules. Repeated rows are judged alike, row by
-row, as are ties. Where a document's language has no reference, for want of documents, a distance
-says nothing of it and isn't used; so the base rules decide alone for rows without a language or of
-a rare one, and in an empty table. Extra columns are left out (`keep_good` keeps them). Texts are
-taken whole.
+row, as are ties. Where a document's language has no reference or no limit, for want of documents,
+a distance says nothing of it and isn't used; so the base rules decide alone for rows without a
+language or of a rare one, and in an empty table. Extra columns are left out (`keep_good` keeps
+them), whatever their names. Texts are taken whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,25 +41,19 @@ from indexloom.llm import textops
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-MIN_CHARS = 200  # below, character classes aren't compared
-MIN_COMMON = 60  # words of a text, below which common words aren't compared
-CHAR_LIMIT = (0.14, 0.8)  # a + b / sqrt(length): short texts stray further by chance
-WORD_LIMIT = (0.38, 0.5)
+TOP_WORDS = 100  # common words of a language
+MAX_WORD_BYTES = 64  # longer words are never common
+KINDS = ("char", "word")
+LEAST = (200, 60)  # characters of a text, below which character classes aren't compared; words, below which common words aren't
+SPREAD = 8.0
 SHARE_BINS = 200
+DISTANCE_BINS = 1000
 MIN_REFERENCE_DOCS = 5
+MIN_LIMIT_DOCS = 20  # of one length, for a limit of its own; else the next shorter length's holds
 
 SPACES = b" \t\n\v\f\r"
 SYMBOLS = b"#*$%&|<>"
 
-#: Common words of four languages. Fixed values.
-COMMON_WORDS = {
-    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei",
-    "en": "the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which one you were all her she there would their we him been has when who will no more if out so up",
-    "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha me si sin sobre este ya entre cuando todo",
-    "fr": "de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se ce il sont la avec ou son lui nous mais comme on tout elle",
-}
-VOCABULARY = sorted({w for ws in COMMON_WORDS.values() for w in ws.split()})
-
 #: Character classes of a byte: lower-case, upper-case, letters beyond ASCII, digits, spaces, newlines, sentence marks, symbols, other.
 CLASSES = 9
 COMPARED = [0, 1, 2, 4, 5, 6, 7, 8]  # digits aren't: numbers say nothing of a text's quality
@@ -70,42 +73,14 @@ _NOT_SPACE[list(SPACES)] = False
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(SYMBOLS)] = True
 
-HISTOGRAM = CLASSES + len(VOCABULARY) + 1
-
-
-def _hash_words(words: list[str]) -> np.ndarray:
-    return textops.Words(*textops.utf8(pa.array(words, type=pa.large_string()))).hash
-
-
-def _vocabulary_hashes() -> np.ndarray:
-    return np.concatenate([_hash_words([w]) for w in VOCABULARY])
-
 
 def _per_doc(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate([[0], np.cumsum(flags)])[offsets])
 
 
-def histograms(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """For each document the counts of the character classes, of each common word and of all other words."""
-    docs = len(offsets) - 1
-    out = np.zeros((docs, HISTOGRAM), dtype=np.int64)
-    if not docs:
-        return out
-    owner = np.repeat(np.arange(docs), np.diff(offsets))
-    points = _CODE_POINT[buf]
-    out[:, :CLASSES] = np.bincount(owner[points] * CLASSES + _CLASS[buf[points]], minlength=docs * CLASSES).reshape(docs, CLASSES)
-    words = textops.Words(buf, offsets)
-    known = _vocabulary_hashes()
-    order = np.argsort(known)
-    at = np.minimum(np.searchsorted(known[order], words.hash), len(known) - 1)
-    slot = np.where(known[order][at] == words.hash, order[at], len(known))
-    out[:, CLASSES:] = np.bincount(words.doc_of_word() * (len(known) + 1) + slot, minlength=docs * (len(known) + 1)).reshape(docs, -1)
-    return out
-
-
 def repeated_words(words: textops.Words, window: int = WINDOW) -> np.ndarray:
-    """For each document the words that lie in a window found twice or more in it."""
-    n = len(words.hash)
+    """For each document the words that lie in a window found twice or more in it. Hashes propose, the words themselves decide."""
+    n = len(words.id)
     covered = np.zeros(n + 1, dtype=np.int64)
     if n >= window:
         h = textops.shingle_hashes(words.hash, window)
@@ -117,7 +92,11 @@ def repeated_words(words: textops.Words, window: int = WINDOW) -> np.ndarray:
         twice = np.zeros(len(order), dtype=bool)
         twice[1:] |= same
         twice[:-1] |= same
-        hit = at[order[twice]]
+        hit = np.sort(at[order[twice]])
+        if len(hit):
+            whole = np.concatenate([owner[hit][:, None], words.id[hit[:, None] + np.arange(window)]], axis=1)
+            _, inverse, count = np.unique(whole, axis=0, return_inverse=True, return_counts=True)
+            hit = hit[count[inverse.reshape(-1)] > 1]
         np.add.at(covered, hit, 1)
         np.add.at(covered, hit + window, -1)
     return _per_doc(np.cumsum(covered)[:n] > 0, words.offsets)
@@ -154,68 +133,211 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.where(total[:, 0] > 0, d, 0.0)
 
 
+@dataclass
+class References:
+    """What is known of each language: common words, shares of classes and words, and limits by kind and length."""
+
+    common: dict[str, list[bytes]] = field(default_factory=dict)
+    shares: dict[str, tuple[np.ndarray | None, np.ndarray | None]] = field(default_factory=dict)
+    limits: dict[tuple[str, int, int], tuple[float, float]] = field(default_factory=dict)  # (language, kind, length) -> (median, spread)
+
+    def limit(self, lang: str, kind: int, sizes: np.ndarray) -> np.ndarray:
+        """The limit for texts of each size; NaN where none is known."""
+        out = np.full(len(sizes), np.nan)
+        lengths = length_class(sizes)
+        for c in np.unique(lengths):
+            for near in range(c, -1, -1):
+                if (found := self.limits.get((lang, kind, near))) is not None:
+                    mine = lengths == c
+                    out[mine] = found[0] + SPREAD * np.maximum(found[1], chance(sizes[mine]))
+                    break
+        return out
+
+
+def length_class(sizes: np.ndarray) -> np.ndarray:
+    return np.floor(np.log2(np.maximum(sizes, 1))).astype(np.int64)
+
+
+def chance(sizes: np.ndarray) -> np.ndarray:
+    """The standard deviation of the distance between a sample of so many and what it is drawn from, whatever the number of classes (its square is about a chi-square's share of 8 n ln 2)."""
+    return 1 / np.sqrt(16 * np.log(2) * np.maximum(sizes, 1))
+
+
+class Measured:
+    """Histograms of a slice of documents."""
+
+    def __init__(self, texts: pa.Array):
+        buf, offsets = textops.utf8(texts)
+        docs = len(texts)
+        owner = np.repeat(np.arange(docs), np.diff(offsets))
+        points = _CODE_POINT[buf]
+        self.chars = np.bincount(owner[points] * CLASSES + _CLASS[buf[points]], minlength=docs * CLASSES).reshape(docs, CLASSES)
+        self.words = textops.Words(buf, offsets)
+        self.sizes = (self.chars.sum(axis=1), self.words.counts)
+
+    def common(self, words: list[bytes], docs: np.ndarray) -> np.ndarray:
+        """Counts of each common word, and of all other words, in the documents at `docs` (ascending)."""
+        k = len(words)
+        slot = pc.fill_null(pc.index_in(self.words.distinct, value_set=pa.array(words, type=pa.large_binary())), k).to_numpy(zero_copy_only=False)
+        place = np.full(len(self.sizes[0]), -1)
+        place[docs] = np.arange(len(docs))
+        owner = place[self.words.doc_of_word()]
+        mine = owner >= 0
+        return np.bincount(owner[mine] * (k + 1) + slot[self.words.id[mine]], minlength=len(docs) * (k + 1)).reshape(len(docs), k + 1)
+
+    def distances(self, refs: References, lang: str, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distances of the documents at `docs` to a language, of characters and of words; NaN where they aren't used."""
+        out = []
+        for kind, share in enumerate(refs.shares.get(lang, (None, None))):
+            d = np.full(len(docs), np.nan)
+            long = np.flatnonzero(self.sizes[kind][docs] >= LEAST[kind])
+            if share is not None and len(long):
+                counts = self.chars[docs[long]][:, COMPARED] if kind == 0 else self.common(refs.common[lang], docs[long])
+                d[long] = js_distance(counts.astype(np.float64), share[COMPARED] if kind == 0 else share)
+            out.append(d)
+        return out[0], out[1]
+
+
 def _langs(part: pa.RecordBatch) -> list[str | None]:
     return part.column(part.schema.get_field_index("lang")).cast(pa.string()).to_pylist()
 
 
-_SHARES = pa.schema([("lang", pa.string()), ("class", pa.int32()), ("bin", pa.int32()), ("n", pa.int64())])
+def _by_lang(langs: list[str | None]) -> dict[str, np.ndarray]:
+    out: dict[str, list[int]] = {}
+    for i, lang in enumerate(langs):
+        if lang is not None:
+            out.setdefault(lang, []).append(i)
+    return {k: np.array(v) for k, v in out.items()}
 
 
-def _collect_shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Histograms of the documents' shares of each class, a bounded number of rows for each task and language."""
-    sums: dict[str, np.ndarray] = {}
+_WORD_ROWS = pa.schema([("lang", pa.string()), ("word", pa.binary()), ("n", pa.int64())])
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many documents of each language hold each word, slice by slice; Spark adds up."""
     for batch in batches:
         for part in textops.slices(batch):
-            h = histograms(*textops.utf8(textops.text_column(part)))
-            words = h[:, CLASSES:].sum(axis=1)
-            chars = h[:, :CLASSES].sum(axis=1)
-            share = np.concatenate([h[:, :CLASSES] / np.maximum(chars, 1)[:, None], h[:, CLASSES:] / np.maximum(words, 1)[:, None]], axis=1)
-            # shares are binned on a square-root scale: small shares keep their resolution
-            slot = np.arange(HISTOGRAM)[None, :] * SHARE_BINS + np.minimum((np.sqrt(share) * SHARE_BINS).astype(np.int64), SHARE_BINS - 1)
-            langs = _langs(part)
-            for lang in {x for x in langs if x is not None}:
-                mine = np.fromiter((x == lang for x in langs), dtype=bool, count=len(langs))
-                used = np.concatenate([slot[mine & (chars >= MIN_CHARS), :CLASSES].reshape(-1), slot[mine & (words >= MIN_COMMON), CLASSES:].reshape(-1)])
-                sums[lang] = sums.get(lang, 0) + np.bincount(used, minlength=HISTOGRAM * SHARE_BINS)
-    for lang, counts in sums.items():
-        at = np.flatnonzero(counts)
-        yield textops.batch_of(_SHARES, [lang] * len(at), at // SHARE_BINS, at % SHARE_BINS, counts[at])
-
-
-def references(docs: DataFrame) -> dict[str, tuple[np.ndarray | None, np.ndarray | None]]:
-    """For each language the median shares of character classes and of common words, each if enough documents have them, from all rows of docs (text, lang)."""
-    rows = textops.narrow(docs, "text", "lang").mapInArrow(_collect_shares, "lang string, class int, bin int, n long").groupBy("lang", "class", "bin").agg(F.sum("n").alias("n")).collect()  # languages x classes x bins, whatever the number of documents
-    table: dict[str, np.ndarray] = {}
-    for r in rows:
-        table.setdefault(r.lang, np.zeros((HISTOGRAM, SHARE_BINS)))[r["class"], r.bin] = r.n
-    out = {}
-    for lang, counts in table.items():
-        total = counts.sum(axis=1)
-        middle = (np.cumsum(counts, axis=1) >= total[:, None] / 2).argmax(axis=1)
-        share = np.where(middle == 0, 0.0, ((middle + 0.5) / SHARE_BINS) ** 2)
-        out[lang] = (share[:CLASSES] if total[0] >= MIN_REFERENCE_DOCS else None, share[CLASSES:] if total[CLASSES] >= MIN_REFERENCE_DOCS else None)
+            words = textops.Words(*textops.utf8(textops.text_column(part)))
+            size = len(words.distinct)
+            pairs = np.unique(words.doc_of_word() * max(size, 1) + words.id)
+            short = pc.less_equal(pc.binary_length(words.distinct), MAX_WORD_BYTES).to_numpy(zero_copy_only=False)
+            for lang, docs in _by_lang(_langs(part)).items():
+                mine = pairs[np.isin(pairs // max(size, 1), docs)] % max(size, 1)
+                n = np.bincount(mine, minlength=size)
+                at = np.flatnonzero((n > 0) & short) if size else np.zeros(0, np.int64)
+                yield textops.batch_of(_WORD_ROWS, pa.array([lang]).take(pa.array(np.zeros(len(at), dtype=np.int64))), words.distinct.take(pa.array(at)).cast(pa.binary()), n[at])
+
+
+def common_words(docs: DataFrame, top: int = TOP_WORDS) -> dict[str, list[bytes]]:
+    """The words that most documents of each language hold, the most frequent first (ties by their bytes)."""
+    counts = textops.narrow(docs, "text", "lang").mapInArrow(_count_words, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    best = counts.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("place") <= top)  # each task keeps its first `top` before they meet
+    out: dict[str, list[bytes]] = {}
+    for r in sorted(best.collect(), key=lambda r: (r.lang, r.place)):  # languages x top
+        out.setdefault(r.lang, []).append(bytes(r.word))
     return out
 
 
-def distances(h: np.ndarray, langs: list[str | None], refs: dict[str, tuple[np.ndarray | None, np.ndarray | None]]) -> tuple[np.ndarray, np.ndarray]:
-    """For each document its least distance of character classes over the languages, and of common words; 0 where its own language has no reference."""
-    out = []
-    for k, part in enumerate((h[:, COMPARED], h[:, CLASSES:])):
-        known = {lang: r[k][COMPARED] if k == 0 else r[k] for lang, r in refs.items() if r[k] is not None}
-        judged = np.fromiter((x in known for x in langs), dtype=bool, count=len(langs))
-        out.append(np.where(judged, np.stack([js_distance(part, r) for r in known.values()]).min(axis=0), 0.0) if known else np.zeros(len(h)))
-    return out[0], out[1]
+_SHARES = pa.schema([("lang", pa.string()), ("class", pa.int32()), ("bin", pa.int32()), ("n", pa.int64())])
+
 
+def _collect_shares(refs: Broadcast):
+    """Histograms of the documents' shares of each class, a bounded number of rows for each task and language."""
 
-def verdicts(texts: pa.Array, langs: list[str | None], refs: dict[str, tuple[np.ndarray | None, np.ndarray | None]]) -> dict[str, np.ndarray]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for part in textops.slices(batch):
+                m = Measured(textops.text_column(part))
+                for lang, docs in _by_lang(_langs(part)).items():
+                    common = refs.value.common.get(lang, [])
+                    used, width = [], CLASSES + len(common) + 1
+                    for kind in range(2):
+                        mine = docs[m.sizes[kind][docs] >= LEAST[kind]]
+                        counts = m.chars[mine] if kind == 0 else m.common(common, mine)
+                        share = counts / np.maximum(m.sizes[kind][mine], 1)[:, None]
+                        # shares are binned on a square-root scale: small shares keep their resolution
+                        slot = np.minimum((np.sqrt(share) * SHARE_BINS).astype(np.int64), SHARE_BINS - 1) + (np.arange(counts.shape[1]) + kind * CLASSES)[None, :] * SHARE_BINS
+                        used.append(slot.reshape(-1))
+                    sums[lang] = sums.get(lang, 0) + np.bincount(np.concatenate(used), minlength=width * SHARE_BINS)
+        for lang, counts in sums.items():
+            at = np.flatnonzero(counts)
+            yield textops.batch_of(_SHARES, [lang] * len(at), at // SHARE_BINS, at % SHARE_BINS, counts[at])
+
+    return run
+
+
+def _reference(counts: np.ndarray, kind: int) -> np.ndarray | None:
+    """Shares of classes or words from histograms of the documents' shares (class x bin)."""
+    total = counts.sum(axis=1)
+    if not len(counts) or total[0] < MIN_REFERENCE_DOCS:
+        return None
+    bins = np.arange(SHARE_BINS)
+    value = np.where(bins == 0, 0.0, ((bins + 0.5) / SHARE_BINS) ** 2)
+    upto = np.cumsum(counts, axis=1)
+    if kind == 0:
+        return value[(upto >= total[:, None] / 2).argmax(axis=1)]
+    # the mean of the middle nine tenths: most common words are missing from half of the short texts
+    low, high = 0.05 * total[:, None], 0.95 * total[:, None]
+    middle = np.clip(upto, low, high) - np.clip(upto - counts, low, high)
+    return (middle * value).sum(axis=1) / middle.sum(axis=1)
+
+
+_DISTANCES = pa.schema([("lang", pa.string()), ("kind", pa.int32()), ("length", pa.int32()), ("bin", pa.int32()), ("n", pa.int64())])
+
+
+def _collect_distances(refs: Broadcast):
+    """Histograms of the documents' distances to their languages, by kind and length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[str, int, int], np.ndarray] = {}
+        for batch in batches:
+            for part in textops.slices(batch):
+                m = Measured(textops.text_column(part))
+                for lang, docs in _by_lang(_langs(part)).items():
+                    for kind, d in enumerate(m.distances(refs.value, lang, docs)):
+                        used = ~np.isnan(d)
+                        lengths = length_class(m.sizes[kind][docs])
+                        for c in np.unique(lengths[used]):
+                            bins = np.minimum((d[used & (lengths == c)] * DISTANCE_BINS).astype(np.int64), DISTANCE_BINS - 1)
+                            key = (lang, kind, int(c))
+                            sums[key] = sums.get(key, 0) + np.bincount(bins, minlength=DISTANCE_BINS)
+        for (lang, kind, length), counts in sums.items():
+            at = np.flatnonzero(counts)
+            yield textops.batch_of(_DISTANCES, [lang] * len(at), [kind] * len(at), [length] * len(at), at, counts[at])
+
+    return run
+
+
+def references(docs: DataFrame) -> References:
+    """Common words, references and limits of every language of docs (text, lang), from all rows."""
+    rows, send = textops.narrow(docs, "text", "lang"), docs.sparkSession.sparkContext.broadcast
+    refs = References(common_words(docs))
+    found = rows.mapInArrow(_collect_shares(send(refs)), "lang string, class int, bin int, n long").groupBy("lang", "class", "bin").agg(F.sum("n").alias("n")).collect()  # languages x classes x bins, whatever the number of documents
+    tables: dict[str, np.ndarray] = {}
+    for r in found:
+        tables.setdefault(r.lang, np.zeros((CLASSES + len(refs.common.get(r.lang, [])) + 1, SHARE_BINS)))[r["class"], r.bin] = r.n
+    refs.shares = {lang: (_reference(t[:CLASSES], 0), _reference(t[CLASSES:], 1)) for lang, t in tables.items()}
+    spread = rows.mapInArrow(_collect_distances(send(refs)), "lang string, kind int, length int, bin int, n long").groupBy("lang", "kind", "length")
+    quarter = spread.agg(F.sum("n").alias("n"), F.percentile("bin", F.array(F.lit(0.25), F.lit(0.5)), F.col("n")).alias("q")).where(F.col("n") >= MIN_LIMIT_DOCS)
+    refs.limits = {(r.lang, r.kind, r.length): ((r.q[1] + 0.5) / DISTANCE_BINS, (r.q[1] - r.q[0]) / DISTANCE_BINS) for r in quarter.collect()}  # languages x kinds x lengths
+    return refs
+
+
+def verdicts(texts: pa.Array, langs: list[str | None], refs: References) -> dict[str, np.ndarray]:
     out = base_counts(texts)
-    h = histograms(*textops.utf8(texts))
-    char, word = distances(h, langs, refs)
-    chars, words = h[:, :CLASSES].sum(axis=1), h[:, CLASSES:].sum(axis=1)
-    out["char_distance"] = np.where(chars >= MIN_CHARS, char, 0.0)
-    out["word_distance"] = np.where(words >= MIN_COMMON, word, 0.0)
-    fits = lambda d, n, limit: d <= limit[0] + limit[1] / np.sqrt(np.maximum(n, 1))
-    out["kept"] = ~out["base_failed"] & fits(out["char_distance"], chars, CHAR_LIMIT) & fits(out["word_distance"], words, WORD_LIMIT)
+    m = Measured(texts)
+    distance, fits = np.full((2, len(texts)), np.nan), np.ones((2, len(texts)), dtype=bool)
+    for lang, docs in _by_lang(langs).items():
+        for kind, d in enumerate(m.distances(refs, lang, docs)):
+            distance[kind, docs] = d
+            fits[kind, docs] = ~(d > refs.limit(lang, kind, m.sizes[kind][docs]))
+    far = np.flatnonzero(~fits.all(axis=0))
+    for lang in sorted(refs.shares) if len(far) else []:  # a wrong label? another language then has to take what this one doesn't
+        good = np.stack([d <= refs.limit(lang, kind, m.sizes[kind][far]) for kind, d in enumerate(m.distances(refs, lang, far))])
+        fits[:, far] |= (good | fits[:, far]).all(axis=0)
+    out["char_distance"], out["word_distance"] = np.nan_to_num(distance)
+    out["kept"] = ~out["base_failed"] & fits.all(axis=0)
     return out
 
 
@@ -224,13 +346,13 @@ _RESULT = pa.schema([("doc_id", pa.int64()), *((k, {"long": pa.int64(), "boolean
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """Counts, distances and the verdict `kept` of every row of docs (doc_id, text, lang)."""
-    refs = references(docs)
+    """Counts, distances to the own language (0 where not used) and the verdict `kept` of every row of docs (doc_id, text, lang)."""
+    refs = docs.sparkSession.sparkContext.broadcast(references(docs))  # languages x TOP_WORDS words and a few hundred numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in textops.slices(batch):
-                v = verdicts(textops.text_column(part), _langs(part), refs)
+                v = verdicts(textops.text_column(part), _langs(part), refs.value)
                 yield textops.batch_of(_RESULT, part.column(0).cast(pa.int64()), *(v[k] for k in _COLUMNS))
 
     return textops.narrow(docs, "doc_id", "text", "lang").mapInArrow(run, "doc_id long, " + ", ".join(f"{k} {t}" for k, t in _COLUMNS.items()))
@@ -238,11 +360,11 @@ def judge(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, that pass."""
-    refs = references(docs)
+    refs = docs.sparkSession.sparkContext.broadcast(references(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in textops.slices(batch):
-                yield part.filter(pa.array(verdicts(textops.text_column(part), _langs(part), refs)["kept"]))
+                yield part.filter(pa.array(verdicts(textops.text_column(part), _langs(part), refs.value)["kept"]))
 
     return textops.narrow(docs).mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema]))
