@@ -15,16 +15,19 @@ from indexloom.llm import textops
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) for every node of edges (a, b): comp is the least node of its component."""
-    both = textops.cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b"), "edges")
+    spark = edges.sparkSession
+    both, edges_path = textops.put(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b"), "edges")
     labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("comp"))
-    labels = textops.cut(labels, "labels")
+    labels, path = textops.put(labels, "labels")
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
-        new = labels.join(near, "node").select("node", "comp", F.least("comp", "near").alias("next"))
-        new = textops.cut(new, "labels")
+        new, new_path = textops.put(labels.join(near, "node").select("node", "comp", F.least("comp", "near").alias("next")), "labels")
         jump = new.select(F.col("node").alias("next"), F.col("next").alias("far"))
         labels = new.join(jump, "next").select("node", F.least("next", "far").alias("comp"), (F.least("next", "far") != F.col("comp")).alias("changed"))
-        labels = textops.cut(labels, "labels")
+        labels, next_path = textops.put(labels, "labels")
+        textops.drop(spark, path, new_path)
+        path = next_path
         if not labels.where("changed").limit(1).count():
+            textops.drop(spark, edges_path)
             return labels.select("node", "comp")
         labels = labels.select("node", "comp")

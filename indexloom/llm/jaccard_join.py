@@ -1,22 +1,32 @@
 """Similarity join of documents on the Jaccard index of their word shingles.
 
 1. A document's distinct five-word shingles (all its words, if fewer) are hashed to 64 bits; equal
-   sets get one node, so copies are one row from here on. Each node has 200 MinHash values.
-2. Nodes that agree in one of 40 bands of five values become candidates. They are tied to the least
-   node of their band only, and the components of these stars hold every candidate pair. A pair at
+   sets get one node, so copies are one row from here on. Each node has 200 MinHash values, worked
+   out once and kept beside it.
+2. Nodes that agree in one of 40 bands of five values share a bucket and are candidates. A pair at
    the threshold 0.8 misses all bands with probability 1.3e-7.
-3. Within a component, cut into blocks of bounded numbers of nodes and shingles, every pair of
-   blocks is one unit of work. Pairs are compared by their MinHash values a few at a time and
-   dropped as soon as the posterior probability (uniform prior) of reaching the threshold falls
-   below TOLERANCE; the rest is verified exactly on the shingle sets. A unit returns, for each of
-   its nodes, the number of partners and one parent in a spanning forest: the links of a group of m
-   alike documents are all compared and counted but never written out as m*m/2 rows.
+3. Candidates are compared in units of two blocks of a bounded number of nodes and shingles, laid
+   out so that the work follows the number of candidate pairs:
+   a. nodes that share TIE_BANDS bands or more with the least node of those buckets are tied, and the
+      components of the ties are groups. In a group with no more pairs than its buckets hold, as
+      one of many near copies, all pairs are compared once. Other groups, as long chains, are let go.
+   b. in each bucket that holds nodes of several groups, pairs of different groups are compared, each
+      in the first band that it shares. Their MinHash values are moved first; texts only of nodes
+      that still have a partner.
+   Pairs are compared by their MinHash values a few at a time and dropped as soon as the posterior
+   probability (uniform prior) of reaching the threshold falls below TOLERANCE; the rest is verified
+   exactly on the shingle sets. A unit returns, for each of its nodes, the number of partners and
+   one parent in a spanning forest: the links of a group of m alike documents are all compared
+   and counted but never written out as m*m/2 rows.
 4. Components over the verified links give the classes.
 
 Words are runs of digits, letters (A-Z lower-cased) and characters beyond ASCII. Null and empty
 texts and those without words link to nothing, not even to each other. Repeated rows are copies of
-each other. A class is named by its least doc_id (null if none of its rows has an id). Extra columns
-are left out (`one_of_each` keeps them). Texts are taken whole.
+each other. A class is named by its least doc_id (null if none of its rows has an id); ties between
+rows for a class's place go to the least (doc_id, hash of the text). An empty table gives an empty
+result. Extra columns are left out (`one_of_each` keeps them), whatever their names. Texts are taken
+whole. Shingles are compared by 64-bit hashes of their words' bytes: two sets of a thousand shingles
+differ in one by such an error with probability 1e-13.
 """
 
 from __future__ import annotations
@@ -40,6 +50,7 @@ BAND_ROWS = 5
 HASHES = BANDS * BAND_ROWS
 STEPS = (16, 32, 64, 128, HASHES)
 TOLERANCE = 1e-9
+TIE_BANDS = 4
 BLOCK_NODES = 256
 BLOCK_SHINGLES = 1_000_000
 
@@ -129,39 +140,71 @@ def least_matches(k: int, threshold: float, tolerance: float = TOLERANCE) -> int
     return k
 
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("node", pa.binary()), ("n", pa.int64()), ("bands", pa.binary())])
+_SETS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("node", pa.binary()), ("n", pa.int64()), ("sig", pa.binary())])
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in textops.slices(batch, limit=1_500_000):
             h, offsets = shingle_sets(textops.text_column(part))
-            bands = band_keys(signatures(h, offsets)).astype("<u8")
-            yield textops.batch_of(_SETS, part.column(0).cast(pa.int64()), part.column(2), node_keys(h, offsets), np.diff(offsets), [b.tobytes() for b in bands])
+            sig = signatures(h, offsets).astype("<u4")
+            yield textops.batch_of(_SETS, part.column(0).cast(pa.int64()), part.column(2), node_keys(h, offsets), np.diff(offsets), [x.tobytes() for x in sig])
 
 
-_BAND_ROWS = pa.schema([("key", pa.int64()), ("nid", pa.int64())])
+def _signatures_of(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u4").reshape(-1, HASHES)
+
+
+_BAND_ROWS = pa.schema([("key", pa.int64()), ("band", pa.int32()), ("nid", pa.int64())])
 
 
 def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype="<i8")
-        yield textops.batch_of(_BAND_ROWS, keys, np.repeat(batch.column(0).to_numpy(), BANDS))
+        keys = band_keys(_signatures_of(batch.column(1))).view(np.int64)
+        yield textops.batch_of(_BAND_ROWS, keys.reshape(-1), np.tile(np.arange(BANDS, dtype=np.int32), len(keys)), np.repeat(batch.column(0).to_numpy(), BANDS))
 
 
 _LINKS = pa.schema([("nid", pa.int64()), ("parent", pa.int64()), ("links", pa.int64())])
 
 
-def compare_blocks(h: np.ndarray, offsets: np.ndarray, left: np.ndarray, right: np.ndarray, weight: np.ndarray, threshold: tuple[int, int] = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-    """Links of left x right (left < right where both are the same block): partners' weights and a forest of parents."""
-    up, down = threshold
-    size = np.diff(offsets)
-    sig = signatures(h, offsets)
+class Unit:
+    """Two blocks of nodes (or one), and which of their pairs are to be compared.
+
+    `groups` and `band` say that only pairs of different groups count that share no band before `band`.
+    """
+
+    def __init__(self, sig: np.ndarray, size: np.ndarray, left: np.ndarray, right: np.ndarray, groups: np.ndarray | None = None, band: int = -1, threshold: tuple[int, int] = THRESHOLD):
+        self.sig, self.size, self.left, self.right, self.groups, self.band, self.threshold = sig, size, left, right, groups, band, threshold
+        self.keys = band_keys(sig)[:, :band] if band > 0 else None
+
+    def pairs(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Each node of the left block with those of the right that may be as alike as the threshold."""
+        up, down = self.threshold
+        for i, u in enumerate(self.left):
+            near = self.right[i + 1 :] if self.left is self.right else self.right
+            near = near[(self.size[near] * down >= self.size[u] * up) & (self.size[u] * down >= self.size[near] * up)]
+            if self.band >= 0:
+                near = near[self.groups[near] != self.groups[u]]
+            equal, at = np.zeros(len(near), dtype=np.int64), 0
+            for k in STEPS:
+                if not near.size:
+                    break
+                equal += (self.sig[near, at:k] == self.sig[u, at:k]).sum(axis=1)
+                fit = equal >= least_matches(k, up / down)
+                near, equal, at = near[fit], equal[fit], k
+            if self.keys is not None and near.size:
+                near = near[(self.keys[near] != self.keys[u]).all(axis=1)]
+            if near.size:
+                yield int(u), near
+
+
+def verify(unit: Unit, h: np.ndarray, offsets: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The unit's links, verified on the shingle sets: partners' weights and a forest of parents."""
+    up, down = unit.threshold
     vocabulary, ids = np.unique(h, return_inverse=True)
     mark = np.zeros(len(vocabulary), dtype=bool)
-    links = np.zeros(len(size), dtype=np.int64)
-    parent = np.arange(len(size))
-    same = left is right
+    links = np.zeros(len(unit.size), dtype=np.int64)
+    parent = np.arange(len(unit.size))
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -169,103 +212,151 @@ def compare_blocks(h: np.ndarray, offsets: np.ndarray, left: np.ndarray, right:
             x = parent[x]
         return x
 
-    for i, u in enumerate(left):
-        near = right[i + 1 :] if same else right
-        near = near[(size[near] * down >= size[u] * up) & (size[u] * down >= size[near] * up)]
-        equal, at = np.zeros(len(near), dtype=np.int64), 0
-        for k in STEPS:
-            if not near.size:
-                break
-            equal += (sig[near, at:k] == sig[u, at:k]).sum(axis=1)
-            fit = equal >= least_matches(k, up / down)
-            near, equal, at = near[fit], equal[fit], k
-        if not near.size:
-            continue
+    for u, near in unit.pairs():
         mine = ids[offsets[u] : offsets[u + 1]]
         mark[mine] = True
-        n = size[near]
+        n = unit.size[near]
         at = np.arange(n.sum()) + np.repeat(offsets[near] - (np.cumsum(n) - n), n)
         common = np.add.reduceat(mark[ids[at]].astype(np.int64), np.cumsum(n) - n)
         mark[mine] = False
-        for v in near[(up + down) * common >= up * (size[u] + n)].tolist():
+        for v in near[(up + down) * common >= up * (unit.size[u] + n)].tolist():
             links[u] += weight[v]
             links[v] += weight[u]
             a, b = root(u), root(v)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-    for x in range(len(size)):
+    for x in range(len(unit.size)):
         parent[x] = root(x)
     return links, parent
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (comp, i, j); a unit ends where that key changes."""
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by the unit's four numbers (key, band, i, j); a unit ends where they change."""
     held: list[pa.RecordBatch] = []
     key = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1)
+        keys = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(4)], axis=1)
         cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
         for a, b in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(keys)]]), strict=True):
             if held and tuple(keys[a]) != key:
-                yield _unit(held)
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
                 held = []
             key = tuple(keys[a])
             held.append(batch.slice(a, b - a))
     if held:
-        yield _unit(held)
-
-
-def _unit(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-    table = pa.Table.from_batches(held).combine_chunks()
-    unit = table.to_batches()[0]
-    _, i, j, block, nid, node, weight, _ = (unit.column(k) for k in range(8))
-    h, offsets = shingle_sets(textops.text_column(unit))
-    keys = node_keys(h, offsets)
-    # a doc_id may stand for rows of different texts, and a row may be repeated: one row of the node's own set stays
-    nids, seen, good = nid.to_pylist(), set(), []
-    for k, (x, want) in enumerate(zip(nids, node.to_pylist(), strict=True)):
-        if keys[k] == want and x not in seen:
-            seen.add(x)
-            good.append(k)
-    where = np.array(good, dtype=np.int64)
-    side = block.to_numpy()[where]
-    left = where[side == i[0].as_py()]
-    right = left if i[0].as_py() == j[0].as_py() else where[side == j[0].as_py()]
-    links, parent = compare_blocks(h, offsets, left, right, weight.to_numpy())
-    linked = np.flatnonzero(links > 0)
-    names = np.array(nids, dtype=np.int64)
-    return textops.batch_of(_LINKS, names[linked], names[parent[linked]], links[linked])
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _sides(unit: pa.RecordBatch, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of the unit's two blocks; the same object twice if it is one block."""
+    block, i, j = unit.column(4).to_numpy()[rows], unit.column(2)[0].as_py(), unit.column(3)[0].as_py()
+    left = rows[block == i]
+    return left, left if i == j else rows[block == j]
+
+
+_UNIT = "key long, band int, i int, j int, block int, nid long, group long"
+_UNIT_ARROW = pa.schema([("key", pa.int64()), ("band", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), ("block", pa.int32()), ("nid", pa.int64()), ("group", pa.int64())])
+
+
+def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each unit (with n and sig) the nodes that have a partner left after the MinHash values."""
+    for unit in _units(batches):
+        left, right = _sides(unit, np.arange(unit.num_rows))
+        work = Unit(_signatures_of(unit.column(8)), unit.column(7).to_numpy(), left, right, unit.column(6).to_numpy(), unit.column(1)[0].as_py())
+        alive = np.zeros(unit.num_rows, dtype=bool)
+        for u, near in work.pairs():
+            alive[u] = True
+            alive[near] = True
+        if alive.any():
+            yield textops.batch_of(_UNIT_ARROW, *unit.filter(pa.array(alive)).columns[:7])
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of each unit (with copies, node and text)."""
+    for unit in _units(batches):
+        h, offsets = shingle_sets(textops.text_column(unit))
+        # a text's hash may stand for another text too: only rows of the node's own set count
+        good = np.flatnonzero([a == b for a, b in zip(node_keys(h, offsets), unit.column(8).to_pylist(), strict=True)])
+        left, right = _sides(unit, good)
+        work = Unit(signatures(h, offsets), np.diff(offsets), left, right, unit.column(6).to_numpy(), unit.column(1)[0].as_py())
+        links, parent = verify(work, h, offsets, unit.column(7).to_numpy())
+        linked = np.flatnonzero(links > 0)
+        names = unit.column(5).to_numpy()
+        yield textops.batch_of(_LINKS, names[linked], names[parent[linked]], links[linked])
+
+
+def _dealt(units: DataFrame) -> DataFrame:
+    """Units of one key go to partitions one after another, so that a large group's units spread evenly."""
+    partitions = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    number = F.floor(F.col("j").cast("long") * (F.col("j") + 1) / 2).cast("long") + F.col("i")
+    return units.repartitionById(partitions, F.pmod(F.pmod(F.xxhash64("key"), F.lit(partitions)) + number, F.lit(partitions)).cast("int")).sortWithinPartitions("key", "band", "i", "j")
+
+
+def _blocks(count: str, shingles: str):
+    return F.greatest(F.ceil(F.col(count) / BLOCK_NODES), F.ceil(F.col(shingles) / BLOCK_SHINGLES)).cast("int")
+
+
+def _groups(shared: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(nid, group, n) of the nodes in groups of near copies: ties' components, as far as comparing all their pairs is no more work than comparing those in their buckets."""
+    ties = shared.where("nid != hub").groupBy("nid", "hub").count().where(F.col("count") >= TIE_BANDS)
+    comps = components(ties.select(F.col("nid").alias("a"), F.col("hub").alias("b"))).select(F.col("node").alias("nid"), F.col("comp").alias("group"))
+    in_buckets = shared.join(comps, "nid").groupBy("key", "group").agg(F.count("*").alias("s")).groupBy("group").agg(F.sum(F.col("s") * F.col("s")).alias("work"))
+    dense = comps.groupBy("group").agg(F.count("*").alias("m")).join(in_buckets, "group").where(F.col("m") * F.col("m") <= F.col("work")).select("group")
+    return textops.cut(comps.join(dense, "group").join(sizes, "nid").select("nid", "group", "n"), "groups")
+
+
+def _within(groups: DataFrame) -> DataFrame:
+    """Units of all pairs of each group."""
+    sizes = groups.groupBy("group").agg(F.count("*").alias("m"), F.sum("n").alias("s")).select("group", _blocks("m", "s").alias("blocks"))
+    rows = groups.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.select(F.col("group").alias("key"), F.lit(-1).alias("band"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "nid", "group")
+
+
+def _across(shared: DataFrame, groups: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Units of the buckets that hold several groups. The largest group of a bucket has blocks of its own, which meet the others' blocks only."""
+    rows = shared.select("key", "band", "nid").join(groups.select("nid", "group"), "nid", "left").withColumn("group", F.coalesce("group", "nid")).join(sizes, "nid")
+    parts = rows.groupBy("key", "group").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
+    buckets = parts.groupBy("key").agg(F.count("*").alias("groups"), F.max(F.struct("m", "group", "s")).alias("top"), F.sum("m").alias("m"), F.sum("s").alias("s")).where("groups > 1")
+    own = F.col("top.m") > BLOCK_NODES // 4
+    buckets = buckets.select("key", F.when(own, F.col("top.group")).alias("main"), F.when(own, F.col("top.m")).otherwise(0).alias("mm"), F.when(own, F.col("top.s")).otherwise(0).alias("ms"), "m", "s")
+    buckets = buckets.select("key", "main", _blocks("mm", "ms").alias("of_main"), (F.col("m") - F.col("mm")).alias("m"), (F.col("s") - F.col("ms")).alias("s")).select("key", "main", "of_main", _blocks("m", "s").alias("of_rest"))
+    rows = rows.join(buckets, "key").withColumn("is_main", F.coalesce(F.col("group") == F.col("main"), F.lit(False)))
+    spread = F.xxhash64("nid", "key")
+    block = F.when(F.col("is_main"), F.col("of_rest") + F.pmod(spread, F.greatest("of_main", F.lit(1)))).otherwise(F.pmod(spread, F.col("of_rest"))).cast("int")
+    last = F.when(F.col("is_main"), F.col("of_rest")).otherwise(F.col("of_rest") + F.col("of_main")) - 1
+    rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    return rows.select("key", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "nid", "group")
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, nodes): rows has doc_id, text_hash and node of every row; nodes has node, nid, comp, rep_id, copies and links."""
-    sets = textops.cut(textops.narrow(docs, "doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(_set_rows, "doc_id long, text_hash long, node binary, n long, bands binary"), "sets")
-    nodes = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    nodes = textops.cut(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")
-    bands = nodes.select("nid", "bands").mapInArrow(_band_rows, "key long, nid long")
+    spark = docs.sparkSession
+    sets = textops.cut(textops.narrow(docs, "doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(_set_rows, "doc_id long, text_hash long, node binary, n long, sig binary"), "sets")
+    # equal sets meet in two steps, so that a set with thousands of copies sends no row for each task to one place
+    once = sets.where("node is not null").groupBy("node", (F.spark_partition_id() % 16).alias("salt")).agg(F.min("doc_id").alias("rep_id"), F.min(F.struct("doc_id", "text_hash")).alias("source"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    nodes = once.groupBy("node").agg(F.min("rep_id").alias("rep_id"), F.min("source").alias("source"), F.sum("copies").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    nodes, nodes_path = textops.put(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")
+    bands = nodes.select("nid", "sig").mapInArrow(_band_rows, "key long, band int, nid long")
     hubs = bands.groupBy("key").agg(F.min("nid").alias("hub"), F.count("*").alias("size")).where("size > 1").select("key", "hub")
-    # a node's hubs, BANDS at most: it is tied to the least, and so are the others, which many nodes share
-    tied = bands.join(hubs, "key").where("nid != hub").groupBy("nid").agg(F.collect_set("hub").alias("hubs")).withColumn("least", F.array_min("hubs"))
-    stars = tied.select(F.col("nid").alias("a"), F.col("least").alias("b")).unionByName(tied.select(F.explode("hubs").alias("a"), F.col("least").alias("b")).where("a != b").distinct())
-    comps = components(stars)
-
-    members = comps.withColumnRenamed("node", "nid").join(nodes.select("nid", "node", "rep_id", "copies", "n"), "nid")
-    sizes = members.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    members = members.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int"))
-    with_text = members.withColumn("id", F.coalesce("rep_id", F.lit(-1))).withColumn("no_id", F.col("rep_id").isNull()).join(docs.select(F.coalesce("doc_id", F.lit(-1)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "text"), ["id", "no_id"])
-    units = with_text.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "nid", "node", "copies", "text")
-    # units of one component go to partitions one after another, so that a large group's units spread evenly
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    number = F.floor(F.col("j").cast("long") * (F.col("j") + 1) / 2).cast("long") + F.col("i")
-    dealt = units.repartitionById(partitions, F.pmod(F.pmod(F.xxhash64("comp"), F.lit(partitions)) + number, F.lit(partitions)).cast("int"))
-    verified = textops.cut(dealt.sortWithinPartitions("comp", "i", "j").mapInArrow(_verify, "nid long, parent long, links long"), "links")
+    shared, shared_path = textops.put(bands.join(hubs, "key"), "buckets")
+    sizes = nodes.select("nid", "n")
+    groups = _groups(shared, sizes)
+
+    across = _across(shared, groups, sizes).join(nodes.select("nid", "n", "sig"), "nid").select("key", "band", "i", "j", "block", "nid", "group", "n", "sig")
+    left, left_path = textops.put(_dealt(across).mapInArrow(_prune, _UNIT), "pruned")
+    units = _within(groups).unionByName(left)
+    wanted = units.select("nid").distinct().join(nodes.select("nid", "source"), "nid").select("nid", F.col("source.doc_id").alias("_d"), F.col("source.text_hash").alias("_h"))
+    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h"))).groupBy("nid").agg(F.first("text").alias("text"))
+    full = units.join(nodes.select("nid", "copies", "node"), "nid").join(texts, "nid").select("key", "band", "i", "j", "block", "nid", "group", "copies", "node", "text")
+    verified, verified_path = textops.put(_dealt(full).mapInArrow(_verify, "nid long, parent long, links long"), "links")
     final = components(verified.where("nid != parent").select(F.col("nid").alias("a"), F.col("parent").alias("b")).distinct())
     links = verified.groupBy("nid").agg(F.sum("links").alias("links"))
     result = nodes.select("node", "nid", "rep_id", "copies").join(final.withColumnRenamed("node", "nid"), "nid", "left").join(links, "nid", "left")
-    result = result.select("node", "nid", F.coalesce("comp", "nid").alias("comp"), "rep_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
-    return sets.select("doc_id", "text_hash", "node"), textops.cut(result, "classes")
+    result = textops.cut(result.select("node", "nid", F.coalesce("comp", "nid").alias("comp"), "rep_id", "copies", F.coalesce("links", F.lit(0)).alias("links")), "classes")
+    textops.drop(spark, nodes_path, shared_path, left_path, verified_path)
+    return sets.select("doc_id", "text_hash", "node"), result
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
@@ -283,9 +374,13 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     rows, nodes = classes(docs)
     keys = ["doc_id", "text_hash"]
     best = rows.where("node is not null").join(nodes.select("node", "comp"), "node").groupBy("comp").agg(F.min(F.struct(*keys)).alias("k")).select("k.*")
-    stay = best.unionByName(rows.where("node is null").select(*keys).distinct()).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"))
-    repeated = rows.where("node is not null").groupBy(*keys).count().where("count > 1").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"))
-    same = (F.coalesce(F.col("_a.doc_id"), F.lit(-1)) == F.coalesce(F.col("_b._d"), F.lit(-1))) & (F.col("_a.doc_id").isNull() == F.col("_b._d").isNull()) & (F.xxhash64("_a.text") == F.col("_b._h"))
-    kept = docs.alias("_a").join(stay.alias("_b"), same, "left_semi")
-    once = kept.alias("_a").join(repeated.alias("_b"), same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.alias("_a").join(repeated.alias("_b"), same, "left_anti").unionByName(once)
+    copies = rows.where("node is not null").groupBy(*keys).agg(F.count("*").alias("n"))
+    null_safe = lambda a, b: (a["doc_id"].eqNullSafe(b["_d"])) & (a["text_hash"] == b["_h"])
+    named = best.withColumnsRenamed({"doc_id": "_d", "text_hash": "_h"})
+    stay = copies.join(named, null_safe(copies, named)).select("_d", "_h", (F.col("n") > 1).alias("_r"))
+    empty = rows.where("node is null").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.lit(False).alias("_r")).distinct()
+    stay = textops.cut(stay.unionByName(empty), "stay")
+    once, repeated = stay.where("not _r"), stay.where("_r")
+    same = lambda s: docs["doc_id"].eqNullSafe(s["_d"]) & (F.xxhash64(docs["text"]) == s["_h"])
+    # rows that repeat in id and text, few or none: one of each stays
+    return docs.join(once, same(once), "left_semi").unionByName(docs.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -4,6 +4,7 @@ import re
 import cases
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from indexloom.llm import jaccard_join
 from indexloom.llm.components import components
@@ -106,3 +107,68 @@ def test_one_of_each_keeps_one_row_of_every_class(spark):
     assert sum(k[0] == 4 for k in kept) == 1 and {0, 1, 3} <= {k[0] for k in kept}
     # the two rows of id 5 are different documents; the first of them and document 11 are alike
     assert len(kept) == docs.count() - 3 and sum(k[0] in (5, 11) for k in kept) == 2
+
+
+@pytest.mark.parametrize("tie", [1, 4, 1000])
+def test_op6_units_within_groups_and_across_them(spark, monkeypatch, tie):
+    """Texts of one chain, of groups of near copies and of loose pairs; whatever is tied, the links are the same."""
+    r = random.Random(8)
+    words = [f"c{i}" for i in range(400)]
+    chain = [" ".join(words[i : i + 100]) for i in range(0, 300, 3)]  # neighbours are alike, distant ones aren't
+    loose = [" ".join(r.choice(words[:200]) for _ in range(20)) for _ in range(30)]
+    texts = chain + near_copies(5, 120, 40, 3) + near_copies(6, 30, 20, 3) + loose + loose[:4]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(jaccard_join, "BLOCK_NODES", 9)
+    monkeypatch.setattr(jaccard_join, "TIE_BANDS", tie)
+    check(spark, docs)
+
+
+def chain_of(n, step=4, length=60):
+    return [(i, " ".join(f"w{j}" for j in range(i * step, i * step + length))) for i in range(n)]
+
+
+def test_a_long_chain_is_no_group(spark):
+    """Its pairs grow with the square of its length, those in its buckets don't: it is compared bucket by bucket."""
+    docs = spark.createDataFrame(chain_of(400), "doc_id long, text string")
+    sets = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(jaccard_join._set_rows, "doc_id long, text_hash long, node binary, n long, sig binary")
+    nodes = sets.select(F.col("doc_id").alias("nid"), "n", "sig").cache()
+    bands = nodes.select("nid", "sig").mapInArrow(jaccard_join._band_rows, "key long, band int, nid long")
+    shared = bands.join(bands.groupBy("key").agg(F.min("nid").alias("hub"), F.count("*").alias("size")).where("size > 1"), "key").cache()
+    sizes = nodes.select("nid", "n")
+    groups = jaccard_join._groups(shared, sizes)
+    across = jaccard_join._across(shared, groups, sizes)
+    assert groups.groupBy("group").count().where("count > 100").count() == 0
+    assert jaccard_join._within(groups).count() + across.count() <= 2 * shared.count()
+    nodes.unpersist()
+    shared.unpersist()
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    texts = near_copies(3, 80, 12, 4)
+    rows = [(7 if i % 2 else None, t) for i, t in enumerate(texts)] + [(7, texts[1])] * 30 + [(None, texts[0])] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    check(spark, docs)
+    kept = jaccard_join.one_of_each(docs).collect()
+    assert len(kept) == len({(c, n) for _, c, n in brute_classes(rows)})
+
+
+def brute_classes(rows):
+    """(place, class as a number, 0) of each row; ids don't name classes here."""
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    return [(i, find(i), 0) for i in range(len(rows))]
+
+
+def test_banding_misses_few_pairs_at_the_threshold():
+    """The chance that a pair at 0.8 shares no band, and that pruning drops it, stay as stated."""
+    assert (1 - 0.8**jaccard_join.BAND_ROWS) ** jaccard_join.BANDS < 1.4e-7
