@@ -9,11 +9,13 @@ node has a kept descendant; the text runs kept are the result.
 
 Character references are decoded, white space within a block becomes one space, blocks are joined
 by one space. Null and empty pages give an empty text, as do pages without a kept run. Repeated
-pages give repeated results. Unclosed, stray and unknown tags are read as browsers mostly do; text
-outside all tags is a text run of the page. Drawings, formulas, selections and templates are
-subtrees that are always dropped: they end with their own end tag or an ancestor's and, but for
-templates, where a block begins that can't stand in them. Pages are read whole; nesting beyond
-MAX_DEPTH is flattened. Extra columns are left out. An empty table gives an empty result.
+pages give repeated results; ties between keeping and dropping a node keep it. Unclosed, stray and
+unknown tags are read as browsers mostly do; text outside all tags is a text run of the page. Only
+scripts, styles, titles, text areas, selections and templates never count; all else, formulas,
+drawings and what stands for browsers without scripts or frames included, is for the trees to judge.
+Formulas, drawings and selections end where a block begins that can't stand in them. Pages are read
+whole, however deep their nesting, by a scanner that only moves forward: time and memory follow the
+page's length. Extra columns are left out, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,22 +32,24 @@ from pyspark.sql import DataFrame
 
 from indexloom.llm import textops
 
-MAX_DEPTH = 250
-TRAIN_PAGES = 400
+TRAIN_PAGES = 500
 TREES = 50
 DEPTH = 5
 RATE = 0.25
 BINS = 48
+SCORED = 50_000  # nodes whose features are in memory at once
 
 #: HTML's own sets of elements. Fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript textarea title iframe".split())
-DROPPED = frozenset("template svg math select".split())
-HOLDS_BLOCKS = frozenset("template foreignobject annotation-xml".split())  # blocks may stand in these
+RAW = frozenset("script style textarea title".split())  # their contents are no markup
+DROPPED = frozenset("template select".split())
+SEALED = frozenset("svg math select".split())  # end where a block begins, unless it stands in one of these:
+HOLDS_BLOCKS = frozenset("template foreignobject annotation-xml".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "body": ("head",)}
 STOPS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",), "body": ("html",)}
+LIMITS_P = ("td", "th", "table", "button", "article", "section", "div", "li", "blockquote")
 TAGS = "#text a article aside b blockquote body button code dd div dl dt em fieldset figcaption figure footer form h1 h2 h3 h4 header html i label li main nav ol p pre section span strong table tbody td th tr ul head".split()
 
 #: Groups of words in class, id and role that say what an element is for. Fixed values.
@@ -65,14 +69,30 @@ _GROUP_SETS = [frozenset(g.split()) for g in GROUPS]
 _TAG_ID = {t: i for i, t in enumerate(TAGS)}
 _OTHER = len(TAGS)
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(/?)>", re.S)
+_OPEN = re.compile(r"<(?:!--|[!?/]|[a-zA-Z])")
+_NAME = re.compile(r"[^\s/>]+")
+_STOP = re.compile(r">|=\s*[\"']")  # what ends a tag, and where a quoted value begins
 _ATTR = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _WORDS = re.compile(r"[a-z]+")
-_RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
+
+
+def _tag_end(source: str, at: int) -> int:
+    """The place of the > that ends a tag, quoted values skipped; -1 if none does. A quote that nothing closes is no quote."""
+    while m := _STOP.search(source, at):
+        if m[0] == ">":
+            return m.start()
+        close = source.find(m[0][-1], m.end())
+        at = m.end() if close < 0 else close + 1
+    return -1
 
 
-@lru_cache(20_000)
 def attribute_groups(attrs: str) -> int:
+    return _groups(attrs) if len(attrs) < 500 else _groups.__wrapped__(attrs)  # long ones aren't remembered
+
+
+@lru_cache(20_000)
+def _groups(attrs: str) -> int:
     words = set()
     for value in _ATTR.findall(attrs):
         words.update(_WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
@@ -89,150 +109,178 @@ class Forest:
         self.pages = 0
 
     def add(self, source: str) -> None:
-        page, base = self.pages, len(self.tag)
+        page = self.pages
         self.pages += 1
         stack: list[tuple[str, int]] = []
-        block = dropped = 0  # dropped: open elements of DROPPED, under which no nodes are made
+        opened: dict[str, int] = {}  # how many elements of each tag are open
+        block = 0
 
-        def node(tag: str, attrs: str, text: str | None, in_link: bool) -> int:
+        def node(tag: str, attrs: str, text: str | None) -> int:
             self.page.append(page)
             self.parent.append(stack[-1][1] if stack else -1)
             self.tag.append(_TAG_ID.get(tag, _OTHER))
             self.groups.append(attribute_groups(attrs) if attrs else 0)
             self.depth.append(len(stack))
-            self.end.append(0)
+            self.end.append(len(self.end) + 1)
             self.text.append(text)
-            self.link.append(in_link)
+            self.link.append(opened.get("a", 0) > 0)
             self.block.append(block)
             self.chars.append(len(text) if text else 0)
             self.stops.append(text.count(".") + text.count(",") if text else 0)
             return len(self.tag) - 1
 
+        def push(tag: str, n: int) -> None:
+            stack.append((tag, n))
+            opened[tag] = opened.get(tag, 0) + 1
+
         def close(to: int) -> None:
-            nonlocal dropped
-            for t, n in stack[to:]:
+            while len(stack) > to:
+                t, n = stack.pop()
+                opened[t] -= 1
                 if n >= 0:
                     self.end[n] = len(self.tag)
-                dropped -= t in DROPPED
-            del stack[to:]
 
-        node("html", "", None, False)
-        stack.append(("#page", base))
-        links = 0
+        def is_open(*tags: str) -> int:
+            return sum(opened.get(t, 0) for t in tags)
+
+        push("#page", node("html", "", None))
         at = 0
         while at < len(source):
-            m = _TOKEN.search(source, at)
+            m = _OPEN.search(source, at)
             run = source[at : m.start() if m else len(source)]
-            if dropped:
-                pass
-            elif run and not run.isspace():
-                n = node("#text", "", html.unescape(run), links > 0)
-                self.end[n] = n + 1
-            elif run:
-                n = node("#text", "", " ", links > 0)
-                self.end[n] = n + 1
+            if run and not is_open(*DROPPED):
+                node("#text", "", " " if run.isspace() else html.unescape(run))
             if not m:
                 break
-            at = m.end()
-            if m[2] is None:
+            start = m[0]
+            if start == "<!--":
+                at = source.find("-->", m.start() + 2) + 3
+                if at < 3:
+                    break
+                continue
+            name = _NAME.match(source, m.start() + 2) if start == "</" else _NAME.match(source, m.start() + 1) if start[1].isalpha() else None
+            if name is None or not name[0][0].isalpha():  # a declaration, an instruction or a stray </
+                at = source.find(">", m.end()) + 1
+                if not at:
+                    break
                 continue
-            tag = m[2].lower()
-            if tag not in INLINE:
+            tag = name[0].lower()
+            foreign = is_open("svg", "math") > 0
+            if tag not in INLINE and not foreign:
                 block += 1
-            if m[1]:
+            if start == "</":
+                at = source.find(">", name.end()) + 1
+                if opened.get(tag, 0) and tag != "#page":
+                    k = len(stack) - 1
+                    while stack[k][0] != tag:
+                        k -= 1
+                    close(k)
+                if not at:
+                    break
+                continue
+            end = _tag_end(source, name.end())
+            if end < 0:
+                break
+            attrs, at = source[name.end() : end], end + 1
+            if tag in CLOSES_P and is_open(*SEALED):
                 for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        links -= sum(t == "a" for t, _ in stack[k:])
+                    if stack[k][0] in SEALED:
                         close(k)
                         break
-                continue
-            if dropped and tag in CLOSES_P:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in HOLDS_BLOCKS or not dropped:
+                    if stack[k][0] in HOLDS_BLOCKS or stack[k][0] in CLOSES_P:
                         break
-                    if stack[k][0] in DROPPED:
-                        links -= sum(t == "a" for t, _ in stack[k:])
-                        close(k)
+                foreign = is_open("svg", "math") > 0
             if tag in VOID:
                 continue
+            itself = attrs.endswith("/") and (foreign or tag in ("svg", "math"))  # HTML's own elements don't close themselves
             if tag in RAW:
-                end = _RAW_END[tag].search(source, at)
-                at = end.end() if end else len(source)
+                if not itself:
+                    last = _RAW_END[tag].search(source, at)
+                    at = source.find(">", last.end()) + 1 if last else 0
+                    if not at:
+                        break
                 continue
-            closes = CLOSES.get(tag, ())
-            limit = STOPS.get(tag, ())
+            closes, limit = CLOSES.get(tag, ()), STOPS.get(tag, ())
             if tag in CLOSES_P:
-                closes, limit = (*closes, "p"), (*limit, "td", "th", "table", "button", "article", "section", "div", "li", "blockquote")
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in closes:
-                    links -= sum(t == "a" for t, _ in stack[k:])
-                    close(k)
-                    if tag != "tr":
+                closes, limit = (*closes, "p"), (*limit, *LIMITS_P)
+            if is_open(*closes):
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k][0] in closes:
+                        close(k)
+                        if tag != "tr":
+                            break
+                    elif stack[k][0] in limit or stack[k][0] in DROPPED:
                         break
-                elif stack[k][0] in limit or stack[k][0] in DROPPED:
-                    break
-            if dropped or tag in DROPPED:
-                if (tag in ("template", "select") or not m[4]) and (not dropped or len(stack) < 2 * MAX_DEPTH):  # HTML's own elements don't close themselves
-                    stack.append((tag, -1))
-                    dropped += tag in DROPPED
-                    links += tag == "a"
+            if is_open(*DROPPED) or tag in DROPPED:
+                if not itself:
+                    push(tag, -1)
                 continue
-            n = node(tag, m[3] or "", None, links > 0)
-            self.end[n] = n + 1
-            if not m[4] and len(stack) < MAX_DEPTH:
-                stack.append((tag, n))
-                links += tag == "a"
+            n = node(tag, attrs, None)
+            if not itself:
+                push(tag, n)
         close(0)
 
 
 FEATURES = 29 + 3 * len(GROUPS)
 
 
-def node_features(f: Forest) -> np.ndarray:
-    n = len(f.tag)
-    tag, parent, depth, end = (np.array(x, dtype=np.int64) for x in (f.tag, f.parent, f.depth, f.end))
-    page, groups, chars, stops = (np.array(x, dtype=np.int64) for x in (f.page, f.groups, f.chars, f.stops))
-    link = np.array(f.link, dtype=bool)
-    index = np.arange(n)
-    total = lambda x: (c := np.concatenate([[0], np.cumsum(x)]))[end] - c[index]  # noqa: E731  over each subtree
-    text = tag == 0
-    up = np.maximum(parent, 0)
-    n_chars, n_text, n_nodes = total(chars), total(text), end - index
-    n_link = total(np.where(link, chars, 0))
-    n_stops = total(stops)
-    n_p = total(tag == _TAG_ID["p"])
-    n_li = total(tag == _TAG_ID["li"])
-    n_a = total(tag == _TAG_ID["a"])
-    children = np.bincount(up[parent >= 0], minlength=n)
-    order = np.argsort(parent, kind="stable")
-    first = np.searchsorted(parent[order], parent)
-    rank = np.empty(n, dtype=np.int64)
-    rank[order] = index
-    place = rank - first
-    roots = np.flatnonzero(parent < 0)
-    root = roots[page]
-    page_chars, page_nodes = np.maximum(n_chars[root], 1), np.maximum(n_nodes[root], 1)
-    before = np.concatenate([[0], np.cumsum(chars)])[index] - np.concatenate([[0], np.cumsum(chars)])[root]
-    inherited, above_tag = groups.copy(), np.zeros(n, dtype=np.int64)
-    special = np.zeros(_OTHER + 1, dtype=np.int64)
-    for k, t in enumerate(("nav", "header", "footer", "aside", "form", "article", "main", "li", "ul", "a", "h1", "p", "table", "figure", "section", "button")):
-        special[_TAG_ID[t]] = 1 << k
-    above_tag = special[tag]
-    for level in range(1, int(depth.max(initial=0)) + 1):  # flags flow down, level by level
-        at = np.flatnonzero(depth == level)
-        inherited[at] |= inherited[up[at]]
-        above_tag[at] |= above_tag[up[at]]
-    sib_chars = n_chars[up] - n_chars
-    ratio = lambda a, b: a / np.maximum(b, 1)
-    columns = [
-        tag, depth, np.log1p(n_chars), ratio(n_chars, page_chars), ratio(n_chars, n_nodes), ratio(n_link, n_chars), ratio(n_stops * 20, n_chars),
-        np.log1p(n_nodes), ratio(n_nodes, page_nodes), n_p, n_li, n_a, ratio(n_chars, n_text), children, place, ratio(place, children[up]),
-        tag[up], np.log1p(n_chars[up]), ratio(n_chars, n_chars[up]), ratio(n_link[up], n_chars[up]), ratio(sib_chars, page_chars),
-        ratio(before, page_chars), above_tag & 0x1F, (above_tag >> 5) & 0x3, (above_tag >> 7) & 0xF, (above_tag >> 11) & 0x1F, n_p[up], children[up], n_stops,
-    ]
-    for k in range(len(GROUPS)):
-        columns += [(groups >> k) & 1, (groups[up] >> k) & 1, (inherited >> k) & 1]
-    return np.stack(columns, axis=1).astype(np.float32)
+def _down(values: np.ndarray, parent: np.ndarray, depth: int, join) -> np.ndarray:
+    """Each node's value joined with all its ancestors', in steps that double the way up; join(x, x) is x."""
+    up = np.where(parent < 0, np.arange(len(parent)), parent)
+    for _ in range(int(depth).bit_length()):
+        values = join(values, values[up])
+        up = up[up]
+    return values
+
+
+class Features:
+    """The features of a forest's nodes; `rows` gives some of them as a matrix."""
+
+    def __init__(self, f: Forest):
+        n = len(f.tag)
+        tag, parent, depth, end = (np.array(x, dtype=np.int64) for x in (f.tag, f.parent, f.depth, f.end))
+        page, groups, chars, stops = (np.array(x, dtype=np.int64) for x in (f.page, f.groups, f.chars, f.stops))
+        link = np.array(f.link, dtype=bool)
+        index = np.arange(n)
+        total = lambda x: (c := np.concatenate([[0], np.cumsum(x)]))[end] - c[index]  # noqa: E731  over each subtree
+        text = tag == 0
+        up = np.maximum(parent, 0)
+        n_chars, n_text, n_nodes = total(chars), total(text), end - index
+        n_link = total(np.where(link, chars, 0))
+        n_stops = total(stops)
+        n_p = total(tag == _TAG_ID["p"])
+        n_li = total(tag == _TAG_ID["li"])
+        n_a = total(tag == _TAG_ID["a"])
+        children = np.bincount(up[parent >= 0], minlength=n)
+        order = np.argsort(parent, kind="stable")
+        first = np.searchsorted(parent[order], parent)
+        rank = np.empty(n, dtype=np.int64)
+        rank[order] = index
+        place = rank - first
+        roots = np.flatnonzero(parent < 0)
+        root = roots[page]
+        page_chars, page_nodes = np.maximum(n_chars[root], 1), np.maximum(n_nodes[root], 1)
+        before = np.concatenate([[0], np.cumsum(chars)])[index] - np.concatenate([[0], np.cumsum(chars)])[root]
+        special = np.zeros(_OTHER + 1, dtype=np.int64)
+        for k, t in enumerate(("nav", "header", "footer", "aside", "form", "article", "main", "li", "ul", "a", "h1", "p", "table", "figure", "section", "button")):
+            special[_TAG_ID[t]] = 1 << k
+        deepest = depth.max(initial=0)
+        above_tag = _down(special[tag], parent, deepest, np.bitwise_or)
+        self.groups = groups, groups[up], _down(groups, parent, deepest, np.bitwise_or)
+        sib_chars = n_chars[up] - n_chars
+        ratio = lambda a, b: a / np.maximum(b, 1)
+        columns = [
+            tag, depth, np.log1p(n_chars), ratio(n_chars, page_chars), ratio(n_chars, n_nodes), ratio(n_link, n_chars), ratio(n_stops * 20, n_chars),
+            np.log1p(n_nodes), ratio(n_nodes, page_nodes), n_p, n_li, n_a, ratio(n_chars, n_text), children, place, ratio(place, children[up]),
+            tag[up], np.log1p(n_chars[up]), ratio(n_chars, n_chars[up]), ratio(n_link[up], n_chars[up]), ratio(sib_chars, page_chars),
+            ratio(before, page_chars), above_tag & 0x1F, (above_tag >> 5) & 0x3, (above_tag >> 7) & 0xF, (above_tag >> 11) & 0x1F, n_p[up], children[up], n_stops,
+        ]
+        self.columns = [c.astype(np.float32) for c in columns]
+        self.n = n
+
+    def rows(self, at) -> np.ndarray:
+        bits = [(g[at] >> k) & 1 for k in range(len(GROUPS)) for g in self.groups]
+        return np.stack([c[at] for c in self.columns] + bits, axis=1).astype(np.float32)
 
 
 class Boosted:
@@ -294,23 +342,14 @@ class Boosted:
 def decode(f: Forest, score: np.ndarray) -> np.ndarray:
     """Most probable keep/drop labels in which a dropped node has no kept descendant. score: log-odds of keeping."""
     n = len(score)
-    keep = -np.logaddexp(0, -score)
     drop = -np.logaddexp(0, score)
-    end, parent, depth = np.array(f.end), np.array(f.parent), np.array(f.depth)
     c = np.concatenate([[0], np.cumsum(drop)])
-    all_dropped = c[end] - c[:n]
-    best_keep = keep.copy()
-    value = np.empty(n)
-    for level in range(int(depth.max(initial=0)), -1, -1):
-        at = np.flatnonzero(depth == level)
-        value[at] = np.maximum(best_keep[at], all_dropped[at])
-        inner = at[parent[at] >= 0]
-        np.add.at(best_keep, parent[inner], value[inner])
-    kept = best_keep >= all_dropped
-    for level in range(1, int(depth.max(initial=0)) + 1):
-        at = np.flatnonzero(depth == level)
-        kept[at] &= kept[parent[at]]
-    return kept
+    all_dropped = c[np.array(f.end, dtype=np.int64)] - c[:n]
+    best, without = (-np.logaddexp(0, -score)).tolist(), all_dropped.tolist()  # best: of the subtree, if the node is kept
+    for i in range(n - 1, -1, -1):  # children come after their parents
+        if (p := f.parent[i]) >= 0:
+            best[p] += max(best[i], without[i])
+    return _down(np.array(best) >= all_dropped, np.array(f.parent, dtype=np.int64), max(f.depth, default=0), np.logical_and)
 
 
 # --- training pages -------------------------------------------------------------------------------
@@ -348,7 +387,13 @@ class _Writer:
         return self.element(["nav", "div", "ul"], ("nav", "menu", "breadcrumb", "navbar"), self.r.choice(["<ul>{}</ul>", "{}"]).format(inner)) if self.named else self.element(["nav", "ul"], (), inner)
 
     def header(self) -> str:
-        return self.element(["header", "div"] if self.named else ["header"], ("header", "masthead", "topbar"), self.r.choice(["<h1>{}</h1>", "<a href='/'>{}</a>", "{}", "<p>{}</p>"]).format(self.words(1, 6)) + self.r.choice(["", self.nav()]))
+        return self.element(["header", "div"] if self.named else ["header"], ("header", "masthead", "topbar"), self.r.choice(["<h1>{}</h1>", "<a href='/'>{}</a>", "{}", "<p>{}</p>"]).format(self.words(1, 6)) + self.r.choice(["", self.nav(), self.drawing()]))
+
+    def drawing(self) -> str:
+        return self.r.choice(["<svg class=icon><path d='M0'/></svg>", f"<svg><title>{self.words(1, 2)}</title><path/></svg>", f"<svg><text>{self.words(1, 2)}</text></svg>"])
+
+    def no_script(self) -> str:
+        return f"<noscript>{self.r.choice(['{}', '<p>{}</p>', '<div>{}</div>', '<iframe src=x>{}</iframe>']).format(self.sentences(1, 2))}</noscript>"
 
     def footer(self) -> str:
         return self.element(["footer", "div"] if self.named else ["footer"], ("footer", "copyright", "legal", "colophon"), f"&copy; {self.words(1, 3)} &middot; {self.sentences(1, 3)}" + self.r.choice(["", self.links(1, 5), f"<p>{self.sentences(1, 2)}</p>"]))
@@ -381,7 +426,8 @@ class _Writer:
         else:
             cut = self.words(1, 3)
             tag = self.r.choice(["b", "em", "a", "i", "code", "span", "strong"])
-            body = f"{self.main_run(self.sentences(0, 3))} <{tag}>{self.main_run(cut)}</{tag}> {self.main_run(t)}"
+            inner = f"<{tag}>{self.main_run(cut)}</{tag}>" if self.r.random() < 0.85 else self.r.choice([f"<math><mi>{self.main_run(cut)}</mi></math>", f"<svg><text>{self.main_run(cut)}</text></svg>", f"<noscript>{self.main_run(cut)}</noscript>"])
+            body = f"{self.main_run(self.sentences(0, 3))} {inner} {self.main_run(t)}"
         return self.r.choice([f"<p>{body}</p>"] * 5 + [f"<p>{body}", f"<p><b>{body}<br>", f"<div>{body}</div>"])
 
     def block(self) -> str:
@@ -400,7 +446,8 @@ class _Writer:
         return "<table>" + "".join("<tr>" + "".join(f"<td>{self.main_run(self.words(1, 4))}</td>" for _ in range(3)) + "</tr>" for _ in range(self.r.randint(1, 4))) + "</table>"
 
     def article(self) -> str:
-        inner = [self.r.choice([f"<h1>{self.main_run(self.words(1, 10))}</h1>"] * 5 + [f"<header><h1>{self.main_run(self.words(1, 10))}</h1></header>", ""])]
+        head = self.r.choice(["h1", "h1", "h1", "h2"])
+        inner = [self.r.choice([f"<{head}>{self.main_run(self.words(1, 10))}</{head}>"] * 5 + [f"<header><{head}>{self.main_run(self.words(1, 10))}</{head}></header>", ""])]
         inner += [self.block() for _ in range(self.r.choice([0, 1, 2, 3, 5, 8, 13, 20]))] or [self.paragraph()]
         for extra in (self.ad, self.notice, self.form, self.side):
             if self.r.random() < 0.1:
@@ -412,7 +459,7 @@ class _Writer:
 
     def page(self) -> str:
         maybe = lambda p, f: f() if self.r.random() < p else ""
-        before = [maybe(0.6, self.header), maybe(0.7, self.nav), maybe(0.5, self.ad), maybe(0.3, self.notice), maybe(0.2, self.side), maybe(0.15, self.form)]
+        before = [maybe(0.6, self.header), maybe(0.7, self.nav), maybe(0.5, self.ad), maybe(0.3, self.notice), maybe(0.2, self.side), maybe(0.15, self.form), maybe(0.1, self.no_script), maybe(0.1, self.drawing)]
         after = [maybe(0.3, self.comments), maybe(0.3, self.side), maybe(0.2, self.ad), maybe(0.15, self.form), maybe(0.2, self.notice), maybe(0.8, self.footer)]
         self.r.shuffle(before)
         middle = "".join(before) + self.article() + "".join(after)
@@ -433,15 +480,17 @@ def trained(pages: int = TRAIN_PAGES, seed: int = 7) -> Boosted:
     c = np.concatenate([[0], np.cumsum(main)])
     y = (c[np.array(f.end)] > c[: len(main)]).astype(np.float64)
     blank = np.array([t is not None and not t.strip() for t in f.text])
-    x = node_features(f)
-    return Boosted().fit(x[~blank], y[~blank])
+    return Boosted().fit(Features(f).rows(~blank), y[~blank])
 
 
 def main_texts(sources: list[str | None], model: Boosted) -> list[str]:
+    if not sources:
+        return []
     f = Forest()
     for s in sources:
         f.add(s or "")
-    kept = decode(f, model.score(node_features(f)))
+    x = Features(f)
+    kept = decode(f, np.concatenate([model.score(x.rows(slice(a, a + SCORED))) for a in range(0, x.n, SCORED)]))
     # blank runs go with what stands around them: they only part words
     out: list[list[str]] = [[] for _ in sources]
     last = [-1] * len(sources)

@@ -77,4 +77,45 @@ def test_edge_cases(spark, model):
     assert all(r.n_chars == len(r.text) for r in got)
     by = {r.page_id: r.text for r in got}
     assert by[1] == "" and by[2] == "" and by[8] == "" and len(by[9]) == 20_000 * 12 - 1
+    assert by[6] in ("<<>>&&bogus;", "") and by[7] in ("x", "")
     assert html_main.extract(pages.limit(0)).count() == 0
+
+
+PARA = "A sentence of some length, with words. And another one follows it, longer still. " * 3
+
+
+@pytest.mark.parametrize("tag", ["div", "span", "b", "section", "blockquote"])
+@pytest.mark.parametrize("depth", [100, 260, 3000])
+def test_deep_articles_come_whole(model, tag, depth):
+    nest = f"<{tag}>" * depth + f"<p>{PARA}</p>" + f"</{tag}>" * depth
+    page = f"<body><nav><ul><li><a href=/>Home</a></ul></nav><article><h1>Title</h1><p>{PARA}</p>{nest}<p>{PARA}</p></article><footer><p>&copy; 2024</p></footer>"
+    assert html_main.main_texts([page], model) == [" ".join(f"Title {PARA}{PARA}{PARA}".split())]
+
+
+def test_formulas_and_text_for_other_browsers_stay_in_the_article(model):
+    inner = "Let <math><mi>x</mi><mo>=</mo><mn>5</mn></math> be five, <svg><text>so</text></svg> it is <noscript>true</noscript> then."
+    page = f"<body><nav><a href=/>Home</a></nav><article><h1>Title</h1><p>{PARA}</p><p>{inner}</p><p>{PARA}</p></article><footer>&copy; 2024</footer>"
+    assert html_main.main_texts([page], model) == [" ".join(f"Title {PARA} Let x=5 be five, so it is true then. {PARA}".split())]
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a '\"", "<a b=\"", "<a b='c\" ", "\"'", "<p>", "<b>", "<p><b><li>", "</i>", "<div></span>", "<!--", "<!-- x --", "</script", "<script></script ", "<svg><path ", "<select><b>", "<foreignobject><b><div>", "&amp;&", "<", "<td><tr>", "class= <x class=", "<p class=\"class=\" class='>"])
+def test_time_follows_length(model, piece):
+    import time
+
+    spent = []
+    for size in (250_000, 1_000_000):
+        page = "<article><p>words, and words.</p>" + piece * (size // len(piece))
+        began = time.process_time()
+        f = html_main.Forest()
+        f.add(page)
+        spent.append(time.process_time() - began)
+        if piece in ("<a ", "\"'", "<a '\""):
+            html_main.main_texts([page], model)
+            assert time.process_time() - began < 4
+    assert spent[1] < 12 * max(spent[0], 0.05)
+
+
+def test_stray_marks_lose_no_text(model):
+    page = f"<article><h1>One</h1><p>{PARA}</p><p title=\"x\"y' z='>{PARA}</p><p>1 < 2 </ > <3 &lt;b&gt;</p><a href=/x/>link</a><div/><p>{PARA}</p></article>"
+    (got,) = html_main.main_texts([page], model)
+    assert got == " ".join(f"One {PARA} {PARA} 1 < 2 <3 <b> link {PARA}".split())
