@@ -2,25 +2,28 @@
 
 For each language a variable-order context tree over bytes is grown from a bounded sample of its
 labelled documents and then frozen: the empty context, all one-byte contexts seen, the most frequent
-two-byte contexts and the three-byte contexts that occur at least MIN_COUNT times, as many as keep
-the table of code lengths within TABLE_BYTES, however many languages there are. A byte's code length
-in a context is that of its count there, or the escape's (method C: distinct successors over total
-plus distinct) plus its code length one byte shorter; the empty context escapes to 256 equal bytes.
-Under frozen statistics this depends on the context and the byte alone, so each context's 256 code
-lengths for all languages are worked out once, and a text's exact code length is the sum of the
-looked-up values over all its bytes.
+two-byte contexts and, below those, the three-byte contexts that occur at least MIN_COUNT times, up
+to CONTEXTS for each language, however many languages there are. A tree keeps only what it has seen:
+a context's bytes with their code lengths, and its escape. A byte's code length in a context is that
+of its count there, or the escape's (method C: distinct successors over total plus distinct) plus
+its code length one byte shorter; the empty context escapes to 256 equal bytes. Under frozen
+statistics this depends on the context and the byte alone, so a slice's distinct runs of four
+bytes are looked up once in each tree, and a text's exact code length is the sum over all its bytes.
 
 Texts are lower-cased, digits become 0. Null texts and texts without a letter are `und` with score
 0. Ties go to the language that sorts first. Repeated rows are learnt as often as the sample holds
 them. Rows without a language or text are not learnt. With nothing to learn every text is `und`.
-Extra columns are left out. Texts are scored whole.
+Extra columns are left out, whatever their names. Texts are scored whole. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -32,7 +35,7 @@ SAMPLE_DOCS = 400  # labelled documents of a language that the trees are grown f
 SAMPLE_CHARS = 20_000  # drawn documents are learnt whole up to this length, longer ones in windows of this size together
 WINDOWS = 8  # spread evenly over a long document
 MIN_COUNT = 4
-TABLE_BYTES = 64_000_000  # of the table of code lengths that goes to every worker
+CONTEXTS = 20_000  # of a language; a tree of so many takes about a MB, and goes to every worker
 
 _RESULT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -49,50 +52,23 @@ def folded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return _FOLD[buf], offsets
 
 
-class Model:
-    """Frozen code lengths in bits: `cost[context, byte, language]`, and how contexts are found."""
-
-    def __init__(self, samples: dict[str, list[str]]):
-        self.langs = sorted(samples)
-        if not self.langs:
-            return
-        data = [folded(pa.array(samples[k], type=pa.large_string())) for k in self.langs]
-        grams = [[self._count(buf, offsets, n) for n in range(1, 5)] for buf, offsets in data]
-        order0 = np.stack([self._code(np.full(256, 8.0), g[0]) for g in grams])  # language, byte
-        most = max(256, TABLE_BYTES // (1024 * len(self.langs)))  # contexts that the table can hold
-        self.one = np.unique(np.concatenate([g[1][0] >> 8 for g in grams]))
-        self.two = np.array(sorted(self._frequent([g[2] for g in grams], 1)[: most // 2]), dtype=np.int64)
-        known = set(self.two.tolist())
-        deep = [c for c in self._frequent([g[3] for g in grams], MIN_COUNT) if c & 0xFFFF in known][: max(0, most - len(self.two) - len(self.one))]
-        self.three = np.array(sorted(deep), dtype=np.int64)
-        table = [order0[None]]
-        table.append(np.stack([self._level(self.one, g[1], order0[k][None].repeat(len(self.one), 0)) for k, g in enumerate(grams)], axis=1))
-        parent = np.searchsorted(self.one, self.two & 0xFF)
-        known = self.one[np.minimum(parent, len(self.one) - 1)] == (self.two & 0xFF) if len(self.one) else np.zeros(len(self.two), bool)
-        below = lambda k: np.where(known[:, None], table[1][np.minimum(parent, max(len(self.one) - 1, 0)), k], order0[k][None]) if len(self.one) else order0[k][None].repeat(len(self.two), 0)
-        table.append(np.stack([self._level(self.two, g[2], below(k)) for k, g in enumerate(grams)], axis=1) if len(self.two) else np.zeros((0, len(grams), 256)))
-        parent = np.searchsorted(self.two, self.three & 0xFFFF)
-        table.append(np.stack([self._level(self.three, g[3], table[2][parent, k]) for k, g in enumerate(grams)], axis=1) if len(self.three) else np.zeros((0, len(grams), 256)))
-        self.cost = np.ascontiguousarray(np.concatenate(table).transpose(0, 2, 1), dtype=np.float32)
-        # lookups: one byte -> context; two bytes -> context; (two-byte context, byte before) -> context
-        self.find1 = np.zeros(256, dtype=np.int32)
-        self.find1[self.one] = 1 + np.arange(len(self.one))
-        base2 = 1 + len(self.one)
-        self.find2 = np.tile(self.find1, 256).astype(np.int32)  # index: older byte * 256 + newer byte
-        self.find2[self.two] = base2 + np.arange(len(self.two))
-        base3 = base2 + len(self.two)
-        self.slot = np.zeros(65536, dtype=np.int32)  # of a two-byte context among those that have deeper ones
-        pairs = np.unique(self.three & 0xFFFF)
-        self.slot[pairs] = 1 + np.arange(len(pairs))
-        self.find3 = np.zeros((len(pairs) + 1, 256), dtype=np.int32)
-        self.find3[self.slot[self.three & 0xFFFF], self.three >> 16] = base3 + np.arange(len(self.three))
-
-    @staticmethod
-    def _frequent(grams: list[tuple[np.ndarray, np.ndarray]], least: int) -> list[int]:
-        """Contexts (all but the last byte of the grams) by their number over all languages, the most frequent first."""
-        context, inverse = np.unique(np.concatenate([g[0] >> 8 for g in grams]), return_inverse=True)
-        total = np.bincount(inverse, weights=np.concatenate([g[1] for g in grams]), minlength=len(context))
-        return [int(context[k]) for k in np.lexsort((context, -total)) if total[k] >= least]
+class Tree:
+    """One language's contexts of one to three bytes, and what it has seen after each."""
+
+    def __init__(self, samples: list[str]):
+        buf, offsets = folded(pa.array(samples, type=pa.large_string()))
+        grams = [self._count(buf, offsets, n) for n in range(1, 5)]
+        self.empty = np.full(256, 8.0)
+        if len(grams[0][0]):
+            total, distinct = grams[0][1].sum(), len(grams[0][0])
+            self.empty += np.log2((total + distinct) / distinct)
+            self.empty[grams[0][0]] = np.log2((total + distinct) / grams[0][1])
+        one = np.unique(grams[1][0] >> 8)
+        two = np.sort(self._frequent(grams[2], 1)[: CONTEXTS // 2])
+        deep = self._frequent(grams[3], MIN_COUNT)
+        three = np.sort(deep[np.isin(deep & 0xFFFF, two)][: max(0, CONTEXTS - len(one) - len(two))])
+        self.contexts = [one, two, three]
+        self.levels = [self._level(c, g) for c, g in zip(self.contexts, grams[1:], strict=True)]
 
     @staticmethod
     def _count(buf: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,48 +83,64 @@ class Model:
         return np.unique(code[doc[:k] == doc[n - 1 :]], return_counts=True)
 
     @staticmethod
-    def _code(shorter: np.ndarray, gram: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        total, distinct = gram[1].sum(), len(gram[0])
-        if not distinct:
-            return shorter.copy()
-        out = shorter + np.log2((total + distinct) / distinct)
-        out[gram[0]] = np.log2((total + distinct) / gram[1])
-        return out
+    def _frequent(gram: tuple[np.ndarray, np.ndarray], least: int) -> np.ndarray:
+        """Contexts (all but the last byte of the grams), the most frequent first."""
+        context, inverse = np.unique(gram[0] >> 8, return_inverse=True)
+        total = np.bincount(inverse, weights=gram[1], minlength=len(context))
+        order = np.lexsort((context, -total))
+        return context[order[total[order] >= least]]
 
     @staticmethod
-    def _level(contexts: np.ndarray, gram: tuple[np.ndarray, np.ndarray], shorter: np.ndarray) -> np.ndarray:
-        """Code lengths in each context for one language; a context that it hasn't seen passes on the shorter one's."""
-        at = np.searchsorted(contexts, gram[0] >> 8)
-        at = np.minimum(at, max(len(contexts) - 1, 0))
-        mine = contexts[at] == gram[0] >> 8 if len(contexts) else np.zeros(0, bool)
-        at, byte, count = at[mine], (gram[0] & 0xFF)[mine], gram[1][mine]
-        total = np.bincount(at, weights=count, minlength=len(contexts))
-        distinct = np.bincount(at, minlength=len(contexts))
-        seen = distinct > 0
-        out = shorter + np.where(seen, np.log2(np.where(seen, total + distinct, 1) / np.where(seen, distinct, 1)), 0.0)[:, None]
-        out[at, byte] = np.log2((total + distinct)[at] / count)
+    def _level(contexts: np.ndarray, gram: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(escape of each context, runs of context and byte that were seen, their code lengths)."""
+        mine = np.isin(gram[0] >> 8, contexts)
+        run, count = gram[0][mine], gram[1][mine]
+        at = np.searchsorted(contexts, run >> 8)
+        total, distinct = np.bincount(at, weights=count, minlength=len(contexts)), np.bincount(at, minlength=len(contexts))
+        return np.log2((total + distinct) / np.maximum(distinct, 1)).astype(np.float32), run.astype(np.uint32), np.log2((total + distinct)[at] / count).astype(np.float32)
+
+    def cost(self, codes: np.ndarray, order: int = 3) -> np.ndarray:
+        """Code lengths in bits of the lowest byte of each code (ascending) behind its `order` higher bytes."""
+        out = self.empty[codes & 0xFF]
+        for k in range(order):
+            contexts, (escape, runs, cost) = self.contexts[k], self.levels[k]
+            if len(contexts):
+                run = codes & ((1 << 8 * (k + 2)) - 1)
+                at = np.minimum(np.searchsorted(contexts, run >> 8), len(contexts) - 1)
+                known = contexts[at] == run >> 8
+                place = np.minimum(np.searchsorted(runs, run), len(runs) - 1)
+                out = np.where(known, np.where(runs[place] == run, cost[place], escape[at] + out), out)
         return out
 
+
+class Model:
+    """Frozen trees of all languages."""
+
+    def __init__(self, trees: dict[str, Tree]):
+        self.langs = sorted(trees)
+        self.trees = [trees[k] for k in self.langs]
+
     def bits(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Exact code length of each document for each language; contexts don't reach across documents."""
         docs, n = len(offsets) - 1, len(buf)
         out = np.zeros((docs, len(self.langs)))
         if not n:
             return out
-        b = buf.astype(np.int32)
+        code = buf.astype(np.uint32)
+        for k in range(1, 4):
+            code[k:] |= buf[:-k].astype(np.uint32) << np.uint32(8 * k)
         place = np.arange(n) - np.repeat(offsets[:-1], np.diff(offsets))
-        context = np.zeros(n, dtype=np.int32)
-        context[1:] = self.find1[b[:-1]]
-        if n > 2:
-            pair = b[:-2] * 256 + b[1:-1]
-            context[2:] = np.where(place[2:] >= 2, self.find2[pair], context[2:])
-            if n > 3:
-                deep = self.find3[self.slot[pair[1:]], b[:-3]]
-                context[3:] = np.where((deep > 0) & (place[3:] >= 3), deep, context[3:])
-        context[place == 0] = 0
-        costs = self.cost.reshape(-1, len(self.langs))[context.astype(np.int64) * 256 + b]
+        parts = []  # positions, what stands there once each, which of it stands at each position, bytes of context
+        for order in range(4):
+            at = np.flatnonzero(place == order) if order < 3 else np.flatnonzero(place >= 3)
+            distinct, inverse = np.unique(code[at] & np.uint32((1 << 8 * (order + 1)) - 1), return_inverse=True)
+            parts.append((at, distinct.astype(np.int64), inverse, order))
         full = np.flatnonzero(np.diff(offsets))
-        out[full] = np.add.reduceat(costs, offsets[:-1][full], axis=0, dtype=np.float64)
+        costs = np.empty(n, dtype=np.float32)
+        for lang, tree in enumerate(self.trees):
+            for at, distinct, inverse, order in parts:
+                costs[at] = tree.cost(distinct, order).astype(np.float32)[inverse]
+            out[full, lang] = np.add.reduceat(costs, offsets[:-1][full], dtype=np.float64)
         return out
 
 
@@ -159,13 +151,16 @@ def _windows(sample_chars: int) -> Column:
     return F.when(n <= sample_chars, F.array("text")).otherwise(F.array(*(F.substring("text", start(F.lit(i)), F.lit(size)) for i in range(WINDOWS))))
 
 
+def _grown(group: pd.DataFrame) -> pd.DataFrame:
+    """One language's sample becomes its tree."""
+    return pd.DataFrame({"lang": [group["lang"].iloc[0]], "tree": [pickle.dumps(Tree([t for texts in group["texts"] for t in texts]))]})
+
+
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model:
-    """Grows the trees from about sample_docs documents of each language, whatever their lengths, and at most sample_chars characters of each."""
+    """Grows the trees from about sample_docs documents of each language (twice that at most), whatever their lengths, and at most sample_chars characters of each; a task grows a language's."""
     rows = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0) & ~held_out()).select("doc_id", "lang", "text")
-    samples: dict[str, list] = {}
-    for r in textops.bounded_sample(rows, "lang", ["doc_id"], sample_docs).select("lang", "rank", _windows(sample_chars).alias("texts")).collect():
-        samples.setdefault(r.lang, []).append((r["rank"], r.texts))
-    return Model({lang: [t for _, texts in sorted(held) for t in texts] for lang, held in samples.items()})
+    few = textops.bounded_sample(rows, "lang", ["doc_id", "text"], sample_docs).select("lang", _windows(sample_chars).alias("texts"))
+    return Model({r.lang: pickle.loads(r.tree) for r in few.groupBy("lang").applyInPandas(_grown, "lang string, tree binary").collect()})
 
 
 def _predict(model) -> object:
@@ -193,5 +188,5 @@ def _predict(model) -> object:
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """lang_pred and score of every row of docs (doc_id, text, lang); the trees come from docs itself unless given."""
-    sent = docs.sparkSession.sparkContext.broadcast(model or learn(docs))  # at most TABLE_BYTES
+    sent = docs.sparkSession.sparkContext.broadcast(model or learn(docs))  # about a MB for each language
     return textops.narrow(docs, "doc_id", "text", held_out().alias("held_out")).mapInArrow(_predict(sent), "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double")

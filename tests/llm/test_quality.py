@@ -103,7 +103,7 @@ def test_op5_held_out_accuracy(spark):
 
 def test_op5_code_length_equals_walk_down_the_tree():
     samples = {"a": ["the cat sat on the mat, the hat", "that is the one"] * 3, "b": ["el gato y la gata", "una casa más"] * 3}
-    m = ppm_lang.Model(samples)
+    m = ppm_lang.Model({k: ppm_lang.Tree(v) for k, v in samples.items()})
     texts = ["the gato más", "x", "", "zz the cat", "más"]
     got = m.bits(*ppm_lang.folded(pa.array(texts, type=pa.large_string())))
     for k, lang in enumerate(m.langs):
@@ -114,7 +114,7 @@ def test_op5_code_length_equals_walk_down_the_tree():
                 for i in range(n, len(b)):
                     counts.setdefault(b[i - n : i], {}).setdefault(b[i], 0)
                     counts[b[i - n : i]][b[i]] += 1
-        deep = {int(c).to_bytes(3, "big") for c in m.three}
+        deep = {int(c).to_bytes(3, "big") for c in m.trees[k].contexts[2]}
 
         def cost(context, byte):
             here = counts.get(context, {}) if len(context) < 3 or context in deep else {}
