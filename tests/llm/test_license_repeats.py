@@ -2,9 +2,12 @@
 
 import random
 import re
+import time
 
 import cases
+import numpy as np
 import pytest
+import test_license
 
 from indexloom.llm import license_scan
 
@@ -52,3 +55,65 @@ def test_planted_lines_equal_brute_force(spark):
     want = {r.doc_id: sorted(f[1:] for f in brute(r.text, lines)) for r in docs.select("doc_id", "text").collect()}
     got = {r.doc_id: sorted((f.start, f.end) for f in r.finds) for r in license_scan.find_licenses(docs).collect()}
     assert sum(map(len, want.values())) >= 46 and got == want
+
+
+INDEX = license_scan.Index(license_scan.TEMPLATES)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 10, 100, 1000])
+def test_n_adjacent_notices_give_n_finds(n):
+    text = "Released under the MIT License " * n
+    finds = license_scan.scan(test_license.hashes(text), INDEX)
+    assert [(INDEX.names[f[0]], f[3], f[4]) for f in finds] == [("MIT notice", 5 * k, 5 * k + 5) for k in range(n)]
+
+
+def test_time_follows_the_number_of_notices():
+    spent = []
+    for n in (1000, 4000):
+        words = test_license.hashes("some words between them. Released under the MIT License. " * n)
+        began = time.process_time()
+        assert len(license_scan.scan(words, INDEX)) == n
+        spent.append(time.process_time() - began)
+    assert spent[1] < 7 * spent[0]
+
+
+def unbanded(template, text):
+    """The best local alignment over all places, by the plain table: (score, matched words, start, end)."""
+    n = len(text)
+    score, matched, start = (np.zeros(n + 1, dtype=int) for _ in range(3))
+    best = (0, 0, 0, 0)
+    for word in template:
+        s, m, b = np.zeros(n + 1, dtype=int), np.zeros(n + 1, dtype=int), np.zeros(n + 1, dtype=int)
+        for j in range(1, n + 1):
+            same = text[j - 1] == word
+            options = [(score[j - 1] + (license_scan.MATCH if same else license_scan.MISMATCH), matched[j - 1] + same, b0 if (b0 := start[j - 1]) and score[j - 1] > 0 else j)]
+            options += [(score[j] + license_scan.GAP, matched[j], start[j]), (s[j - 1] + license_scan.GAP, m[j - 1], b[j - 1])]
+            s[j], m[j], b[j] = max(options, key=lambda o: o[0])
+            if s[j] <= 0:
+                s[j], m[j], b[j] = 0, 0, 0
+            elif same and s[j] > best[0]:
+                best = (s[j], m[j], b[j] - 1, j)
+        score, matched, start = s, m, b
+    return best
+
+
+@pytest.mark.parametrize("name", ["Apache-2.0 header", "ISC text", "BSD-3-Clause clause", "LGPL header", "GPL header", "Zlib text"])
+def test_altered_texts_equal_an_unbanded_alignment(name):
+    r = random.Random(name)
+    template = INDEX.words[INDEX.names.index(name)]
+    for _ in range(4):
+        words, k = [], 0
+        for w in template.tolist():
+            k += 1
+            if r.random() < 0.04:
+                continue
+            if r.random() < 0.05:
+                words.append(r.getrandbits(60))
+            words.append(r.getrandbits(60) if r.random() < 0.03 else w)
+        text = np.array([r.getrandbits(60) for _ in range(r.randint(0, 40))] + words + [r.getrandbits(60) for _ in range(r.randint(0, 40))], dtype=np.uint64)
+        want = unbanded(template, text)
+        got = [f for f in license_scan.scan(text, INDEX) if INDEX.names[f[0]] == name]
+        if want[1] >= license_scan.MIN_COVERAGE * len(template):
+            assert [(f[1], f[3], f[4]) for f in got] == [want[1:]] and abs(got[0][2] - want[1] / len(template)) < 1e-12
+        else:
+            assert got == []
