@@ -42,6 +42,15 @@ def library(path: str):
     return tok
 
 
+@lru_cache(2)
+def splits_words(path: str) -> bool:
+    """Do this vocabulary's tokens keep within words, by its own ending for words and a splitting rule that drops white space?"""
+    tok = library(path)
+    if tok.pre_tokenizer is None or getattr(tok.model, "end_of_word_suffix", None) != "</w>":
+        return False
+    return tok.encode("a b", add_special_tokens=False).ids == tok.encode(" a \n b ", add_special_tokens=False).ids and not any(set(" \t\n\r\v\f") & set(t) for t in tok.get_vocab())
+
+
 #: A word of Latin letters with sentence marks or symbols behind it splits there, by the vocabulary's own rule, and its letters may be lower-cased.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*#$%&|]*)\Z")
 _LETTERS = re.compile(r"[a-zß-öø-ÿ]+\Z")

@@ -31,18 +31,58 @@ def test_op9_equals_library(spark, tok, make):
 
 
 def test_chunks_are_reused_and_joins_repaired(spark):
-    text = " ".join(f"w{i * i % 977}" for i in range(3000))
+    text = " ".join("".join(chr(97 + (i * i * k) % 26) for k in range(1, 3 + i % 9)) for i in range(9000))
     docs = spark.createDataFrame([(i, text) for i in range(6)], "doc_id long, text string").coalesce(1)
     rows = chunk_bpe.encode_decode(docs).collect()
-    assert rows[0].n_repaired > 3 and rows[3].n_reused >= rows[3].n_chunks - 1
+    assert 3 < rows[0].n_repaired <= rows[0].n_joins and rows[0].n_grown == 0 and all(r.n_reused == r.n_chunks for r in rows[1:])
     assert len({bytes(r.ids) for r in rows}) == 1
 
 
-def test_a_window_that_disagrees_grows_until_it_agrees():
-    enc = chunk_bpe.ChunkEncoder(public_path())
+def test_an_encoder_serves_all_tasks_of_a_worker():
+    assert chunk_bpe.encoder(public_path()) is chunk_bpe.encoder(public_path())
+
+
+def across_spaces():
+    """A vocabulary made by hand, without any splitting: its tokens cross spaces, so chunks, joins and windows do disagree."""
+    from tokenizers.models import BPE
+
+    merges = ["a b", "ab ␣", "ab␣ c", "c d", "cd ␣", "cd␣ ab␣", "b ␣", "␣ ␣", "d a", "da b", "cd␣ab␣ cd␣", "ab␣c d"]
+    merges = [tuple(m.split(" ")) for m in merges]
+    letters = ["a", "b", "c", "d", "e", "␣"]
+    vocab = {t: i for i, t in enumerate(dict.fromkeys(letters + ["".join(m) for m in merges]))}
+    real = lambda t: t.replace("␣", " ")
+    return Tokenizer(BPE({real(t): i for t, i in vocab.items()}, [(real(x), real(y)) for x, y in merges]))
+
+
+def test_bodies_by_the_library_alone_give_the_same():
+    import pyarrow as pa
+
+    tok = Tokenizer.from_file(public_path())
+    texts = pa.array([t or "" for t in cases.TEXTS] * 2, type=pa.large_string())
+    a, b = chunk_bpe.ChunkEncoder(tok, bits=5).encode(texts), chunk_bpe.encoder(public_path()).encode(texts)
+    assert a[0].tolist() == b[0].tolist() and a[1].tolist() == b[1].tolist() and chunk_bpe.encoder(public_path()).words is not None
+    assert a[2]["n_joins"].sum() > 10
+
+
+def test_windows_grow_until_they_agree():
+    import random
+
+    import pyarrow as pa
+
+    tok, r = across_spaces(), random.Random(2)
+    encoder = chunk_bpe.ChunkEncoder(tok, bits=3)
+    texts = ["".join(r.choice(["ab", "cd", "abcd", "da", "e", "dab"]) + r.choice([" ", " ", "  ", ""]) for _ in range(r.randint(0, 120))) for _ in range(60)]
+    got, at, numbers = encoder.encode(pa.array(texts, type=pa.large_string()))
+    for k, t in enumerate(texts):
+        assert got[at[k] : at[k + 1]].tolist() == ids(tok, t)
+    assert numbers["n_grown"].sum() > 20 and numbers["n_repaired"].sum() > 20 and numbers["n_joins"].sum() > numbers["n_grown"].sum()
+
+
+def test_a_window_that_agrees_stays():
+    enc = chunk_bpe.encoder(public_path())
     raw = b"one two three"
-    low, high, got = enc._repair(raw, 4, 7, 0, len(raw))
-    assert raw[low:high].decode().strip() == "two" and got == enc._library_ids("two")
+    low, high, got = enc._grow(raw, 4, 7, 0, len(raw))
+    assert (low, high) == (4, 7) and got == enc._ids("two")
 
 
 @pytest.mark.parametrize("bits", [False, True])
