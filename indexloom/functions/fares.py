@@ -17,6 +17,7 @@ CARRIERS = [
 CODES = r"(6E|AI|IX|QP|SG|UK)"
 #: Carrier names as they are shown, the longer before the shorter. Fixed values.
 SHOWN_NAMES = [("IX", "air india express"), ("AI", "air india"), ("6E", "indigo"), ("QP", "akasa"), ("SG", "spicejet"), ("UK", "vistara")]
+#: How a price is marked, the codes, and how the two texts of the known layout are built. Fixed values.
 PRICE = r"(?i)(?:₹|rs\.?|inr)\s*([\d,]{3,10})"
 
 

@@ -13,7 +13,7 @@ def clean_label(c: str):
 
 def map_cities(traffic: DataFrame, cities: DataFrame) -> DataFrame:
     """Adds origin and destination codes of City1 and City2 from cities (city, code); null where unmapped."""
-    c = F.broadcast(cities.select(clean_label("city").alias("_c"), "code"))  # a table of cities: fixed in size
+    c = cities.select(clean_label("city").alias("_c"), "code")  # Spark broadcasts it if its measured size allows
     a = traffic.join(c.withColumnRenamed("code", "origin"), clean_label("City1") == F.col("_c"), "left").drop("_c")
     return a.join(c.withColumnRenamed("code", "destination"), clean_label("City2") == F.col("_c"), "left").drop("_c")
 
@@ -22,7 +22,7 @@ def unmapped(traffic: DataFrame, cities: DataFrame) -> DataFrame:
     """Labels without a code and the passengers they carry."""
     labels = traffic.select(clean_label("City1").alias("label"), "PaxToCity2", "PaxFromCity2").unionByName(traffic.select(clean_label("City2").alias("label"), "PaxToCity2", "PaxFromCity2"))
     known = cities.select(clean_label("city").alias("label"))
-    return labels.join(F.broadcast(known), "label", "left_anti").groupBy("label").agg(F.sum(F.col("PaxToCity2") + F.col("PaxFromCity2")).alias("pax"))
+    return labels.join(known, "label", "left_anti").groupBy("label").agg(F.sum(F.col("PaxToCity2") + F.col("PaxFromCity2")).alias("pax"))
 
 
 def trailing(traffic: DataFrame, n: int = 12) -> DataFrame:
@@ -46,14 +46,18 @@ def pair_volume(directed: DataFrame) -> DataFrame:
 
 
 def select_pairs(pairs: DataFrame, seeds: list[str], thin: list[str], size: int = 12) -> DataFrame:
-    """Seeds first in their order, then reserved thin pairs, then the largest, until `size`; says why each is there."""
-    seed = F.array_position(F.array(*map(F.lit, seeds)), F.col("pair")) if seeds else F.lit(0)
-    is_thin = F.col("pair").isin(*thin) if thin else F.lit(False)
-    why = F.when(seed > 0, "seed").when(is_thin, "thin").otherwise("volume")
-    prio = F.when(seed > 0, 0).when(is_thin, 1).otherwise(2)
-    ranked = pairs.withColumn("reason", why).withColumn("_p", prio).withColumn("_s", F.when(seed > 0, seed).otherwise(0))
-    top = ranked.orderBy("_p", "_s", F.desc("pax"), "pair").limit(size)  # a top-k: no sort in one task
-    return top.withColumn("place", F.row_number().over(Window.orderBy("_p", "_s", F.desc("pax"), "pair"))).drop("_p", "_s")
+    """Seeds first in their order, then reserved thin pairs, then the largest, until `size`; says why each is there.
+
+    Seeds and thin pairs stay whether or not they have volume (pax is null without), so that `missing_routes` and `check_selection` can tell.
+    """
+    named = list(dict.fromkeys([*seeds, *thin]))
+    rows = [(p, "seed", 0, seeds.index(p)) if p in seeds else (p, "thin", 1, thin.index(p)) for p in named]
+    listed = pairs.sparkSession.createDataFrame(rows, "pair string, reason string, _p int, _s int")
+    forced = listed.join(pairs, "pair", "left").select("pair", "pax", "reason", "_p", "_s")
+    others = pairs.join(F.broadcast(listed.select("pair")), "pair", "left_anti").select("pair", "pax", F.lit("volume").alias("reason"), F.lit(2).alias("_p"), F.lit(0).alias("_s"))  # a list of a few pairs
+    order = ["_p", "_s", F.desc("pax"), "pair"]
+    top = forced.unionByName(others).orderBy(*order).limit(size)  # a top-k: no sort in one task
+    return top.withColumn("place", F.row_number().over(Window.orderBy(*order))).drop("_p", "_s")
 
 
 def check_selection(pairs: DataFrame, directed: DataFrame, size: int = 12) -> None:

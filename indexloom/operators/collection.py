@@ -8,21 +8,33 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Marks of a bot wall and of an empty result in a page's first 20 000 characters. Fixed values.
+#: Marks of a bot wall in a fetched body and in a rendered page, and of an empty result. Fixed values.
 WALL_MARKS = ["captcha", "recaptcha", "hcaptcha", "are you a human", "unusual traffic", "access denied", "request unsuccessful", "incapsula", "cf-challenge", "checking your browser", "px-captcha", "perimeterx", "datadome"]
+PAGE_WALL_MARKS = ["captcha", "unusual traffic", "access denied", "checking your browser", "px-captcha"]
 SOLD_OUT_MARKS = ["no flights found", "no flights available", "sold out", "no results", "we couldn't find any flights", "no direct flights", "0 flights", "try changing your search", "no matching flights"]
 
 
-def outcome(robots_allowed: Column, error: Column, page: Column, offers: Column) -> Column:
-    """The reason recorded for a cell, null if it has offers. Order matters: robots, navigation, wall, offers, sold out, unread."""
-    head = F.lower(F.substring(F.coalesce(page, F.lit("")), 1, 20_000))
-    has = lambda marks: reduce(or_, [head.contains(m) for m in marks])
+def _has(text: Column, marks: list[str], head: int | None) -> Column:
+    low = F.lower(F.coalesce(text if head is None else F.substring(text, 1, head), F.lit("")))
+    return reduce(or_, [low.contains(m) for m in marks])
+
+
+def outcome(robots_allowed: Column, error: Column, page: Column, offers: Column, head: int | None = None) -> Column:
+    """The reason recorded for a cell, null if it has offers. Order matters: robots, navigation, wall, offers, sold out, unread.
+
+    `head` limits the search for marks to a page's first characters.
+    """
     return (
-        F.when(~robots_allowed, "robots_disallowed").when(F.lower(error).contains("timeout"), "timeout").when(error.isNotNull(), "parse_error").when(has(WALL_MARKS), "blocked")
-        .when(offers > 0, F.lit(None)).when(has(SOLD_OUT_MARKS), "sold_out").otherwise("parse_error")
+        F.when(~robots_allowed, "robots_disallowed").when(F.lower(error).contains("timeout"), "timeout").when(error.isNotNull(), "parse_error").when(_has(page, PAGE_WALL_MARKS, head), "blocked")
+        .when(offers > 0, F.lit(None)).when(_has(page, SOLD_OUT_MARKS, head), "sold_out").otherwise("parse_error")
     )
 
 
+def fetched_reason(status: Column, body: Column, head: int | None = None) -> Column:
+    """The reason recorded for a fetched body, null if it may be read: its status, or a wall."""
+    return F.coalesce(status_reason(status), F.when(_has(body, WALL_MARKS, head), "blocked"))
+
+
 def status_reason(status: Column) -> Column:
     return F.when(status.isin(403, 451), "blocked").when(status == 429, "rate_limited").when(status >= 500, "timeout").when(status >= 400, "parse_error")
 
@@ -104,3 +116,8 @@ def probe_score(fare_hits: Column, flight_hits: Column, values: Column, body_byt
 
 def top_endpoints(scored: DataFrame, n: int = 6) -> DataFrame:
     return scored.orderBy(F.desc("score"), "url").limit(n)
+
+
+def probe_verdict(wall: Column, error: Column, endpoints: Column, values: Column) -> Column:
+    """What a probe of a source found: a wall, an error, an endpoint with plausible fares, endpoints without, or none."""
+    return F.when(wall, "bot_wall").when(error, "error").when((endpoints > 0) & (values > 0), "json_endpoint_found").when(endpoints > 0, "json_seen_no_fares").otherwise("no_json_fare_endpoint")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from indexloom.functions import constants as C
 
+
 def quote_rules(columns: list[str], currency: str = "INR") -> dict[str, Column]:
     """name -> condition that holds for a good row (null counts as broken)."""
     ok, fare = F.col("is_available"), F.col("total_fare")
@@ -78,4 +79,5 @@ def enforce(df: DataFrame, rules: dict[str, Column], keys: list[str] | None = No
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
+    """All rows, columns found by name; what a frame lacks is null."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

@@ -49,3 +49,10 @@ def jevons_relatives(items: DataFrame, days: DataFrame, universe: DataFrame) ->
         .join(earlier, [*C.STRATUM_KEY, "day_no"], "left")
         .select(*C.STRATUM_KEY, "collection_date", "day_no", "relative", zero("matched_items"), zero("items_this_period"), zero("items_prev_period"))
     )
+
+
+def strata_seen(items: DataFrame, days: DataFrame) -> DataFrame:
+    """For each day but the first the strata priced on it or on the collection day before."""
+    seen = items.select("collection_date", *C.STRATUM_KEY).distinct().join(F.broadcast(days), "collection_date").select(*C.STRATUM_KEY, "day_no")  # one row a day
+    both = seen.unionByName(seen.withColumn("day_no", F.col("day_no") + 1)).distinct()
+    return both.join(F.broadcast(days), "day_no").where("day_no > 1").select("collection_date", *C.STRATUM_KEY)

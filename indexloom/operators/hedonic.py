@@ -1,8 +1,10 @@
-"""Hedonic time-dummy regression: grouped sufficient statistics in Spark, one small solve on the driver."""
+"""Hedonic time-dummy regression: sums of the normal equations in Spark, one small solve on the driver."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -68,47 +70,90 @@ def kept_terms(df: DataFrame) -> list[str]:
     return [t for t in TERMS if row[t] >= 2]
 
 
-def fit(quotes: DataFrame, route_weights: DataFrame | None = None, lead_weights: dict[int, float] | None = None, holidays: DataFrame | None = None, min_observations: int = MIN_OBSERVATIONS) -> HedonicResult | None:
-    """Weighted least squares of log fare on the terms and the day, with HC1 errors; None if there are too few quotes or days.
+@dataclass(frozen=True)
+class Fit:
+    """Coefficients by term and level (the first level of each term has none), their errors and the fit's figures."""
+
+    levels: dict[str, list]
+    beta: np.ndarray
+    se: np.ndarray
+    place: dict[tuple[str, object], int]
+    r_squared: float
+    n_observations: int
+
+    def predicted(self):
+        """The fitted log fare as a column."""
+        return reduce(add, [F.create_map(*(x for level in values for x in (F.lit(level), F.lit(float(self.beta[self.place[t, level]]) if (t, level) in self.place else 0.0))))[F.col(t)] for t, values in self.levels.items()], F.lit(float(self.beta[0])))
 
-    All regressors are categorical and the weight is constant within a cell and day, so counts and
-    sums over the design's distinct rows carry everything: the groups are at most routes x carriers
-    x lead times x weekdays x bands x days, whatever the number of quotes.
+
+def solve(df: DataFrame, terms: list[str]) -> Fit:
+    """Weighted least squares of log_fare on categorical terms, weights in _w, with HC1 errors.
+
+    The weight is constant within a cell and day, so counts and sums over the design's distinct rows
+    carry everything. Of these rows Spark adds up, for each pair of parameters that one of them
+    holds, the entries of X'WX and of the errors' middle matrix: numbers of parameters squared reach
+    the driver, whatever the numbers of quotes or of design rows.
     """
+    every = [*terms, "collection_date"]
+    levels = {t: sorted(r[0] for r in df.select(t).distinct().collect()) for t in every}
+    place = {key: k + 1 for k, key in enumerate((t, level) for t in every for level in levels[t][1:])}
+    size = len(place) + 1
+    keys = list(dict.fromkeys([*every, "origin", "destination", "lead_time_days"]))
+    y = F.col("log_fare")
+    cells = df.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(y).alias("sy"), F.sum(y * y).alias("syy"), F.avg("_w").alias("w"))
+    at = [F.create_map(*(x for level in levels[t] for x in (F.lit(level), F.lit(place.get((t, level), -1)))))[F.col(t)] for t in every]
+    cells = cells.withColumn("at", F.filter(F.array(F.lit(0), *at), lambda k: k >= 0))
+
+    def matrix(value) -> np.ndarray:
+        pairs = cells.select(value.alias("v"), F.explode("at").alias("i"), "at").select("v", "i", F.explode("at").alias("j"))
+        out = np.zeros((size, size))
+        for r in pairs.groupBy("i", "j").agg(F.sum("v").alias("v")).collect():
+            out[r.i, r.j] = r.v
+        return out
+
+    w, n, sy, syy = (F.col(c) for c in ("w", "n", "sy", "syy"))
+    right = np.zeros(size)
+    for r in cells.select((w * sy).alias("v"), F.explode("at").alias("i")).groupBy("i").agg(F.sum("v").alias("v")).collect():
+        right[r.i] = r.v
+    xtx = matrix(n * w)
+    inverse = np.linalg.pinv(xtx)
+    beta = inverse @ right
+    first = Fit(levels, beta, np.zeros(size), place, 0.0, 0)
+    mu = first.predicted()
+    squares = syy - 2 * mu * sy + n * mu * mu
+    meat = matrix(w * w * squares)
+    sums = cells.agg(F.sum(n).alias("n"), F.sum(w * n).alias("wn"), F.sum(w * sy).alias("wsy"), F.sum(w * syy).alias("wsyy"), F.sum(w * squares).alias("left")).first()
+    se = np.sqrt(np.maximum(np.diag(inverse @ meat @ inverse) * sums.n / (sums.n - np.linalg.matrix_rank(xtx)), 0))
+    return Fit(levels, beta, se, place, 1 - sums.left / (sums.wsyy - sums.wsy**2 / sums.wn), int(sums.n))
+
+
+def _weighted(quotes: DataFrame, route_weights: DataFrame | None, lead_weights: dict[int, float] | None, holidays: DataFrame | None) -> tuple[DataFrame, list[str]]:
     df = with_weights(prepare(quotes, holidays), route_weights, lead_weights)
-    size = df.agg(F.count("*").alias("n"), F.count_distinct("collection_date").alias("d")).first()
-    if size.n < min_observations or size.d < 2:
-        return None
     terms = kept_terms(df)
     for t in terms:
         df = df.where(F.col(t).isNotNull())
-    keys = list(dict.fromkeys([*terms, "collection_date", "origin", "destination", "lead_time_days"]))
-    y = F.col("log_fare")
-    rows = df.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(y).alias("sy"), F.sum(y * y).alias("syy"), F.avg("_w").alias("w")).collect()  # distinct design rows
-    columns = [[(r[t]) for r in rows] for t in [*terms, "collection_date"]]
-    n, sy, syy, w = (np.array([r[k] for r in rows], dtype=float) for k in ("n", "sy", "syy", "w"))
-    x, days = [np.ones(len(rows))], []
-    for t, values in zip([*terms, "collection_date"], columns, strict=True):
-        levels = sorted(set(values))
-        for level in levels[1:]:
-            if t == "collection_date":
-                days.append((level, len(x)))
-            x.append(np.array([v == level for v in values], dtype=float))
-        base_day = levels[0]
-    x = np.stack(x, axis=1)
-    total = n.sum()
-    xtx = x.T @ (x * (n * w)[:, None])
-    inverse = np.linalg.pinv(xtx)
-    beta = inverse @ (x.T @ (w * sy))
-    mu = x @ beta
-    squares = syy - 2 * mu * sy + n * mu**2
-    rank = np.linalg.matrix_rank(xtx)
-    meat = x.T @ (x * (w**2 * squares)[:, None])
-    se = np.sqrt(np.maximum(np.diag(inverse @ meat @ inverse) * total / (total - rank), 0))
-    mean = (w * sy).sum() / (w * n).sum()
-    r2 = 1 - (w * squares).sum() / (w * (syy - 2 * mean * sy + n * mean**2)).sum()
-    out = [(base_day, 0.0, 0.0)] + [(d, float(beta[k]), float(se[k])) for d, k in days]
+    return df, terms
+
+
+def fit(quotes: DataFrame, route_weights: DataFrame | None = None, lead_weights: dict[int, float] | None = None, holidays: DataFrame | None = None, min_observations: int = MIN_OBSERVATIONS) -> HedonicResult | None:
+    """The regression's index by day with its errors; None if there are too few quotes or days."""
+    size = prepare(quotes, holidays).agg(F.count("*").alias("n"), F.count_distinct("collection_date").alias("d")).first()
+    if size.n < min_observations or size.d < 2:
+        return None
+    df, terms = _weighted(quotes, route_weights, lead_weights, holidays)
+    f = solve(df, terms)
+    days = [(d, f.place.get(("collection_date", d))) for d in f.levels["collection_date"]]
+    out = [(d, float(f.beta[k]) if k else 0.0, float(f.se[k]) if k else 0.0) for d, k in days]
     series = quotes.sparkSession.createDataFrame(out, "collection_date date, log_coef double, se double")
     b = C.BASE_VALUE
     series = series.select("collection_date", (b * F.exp("log_coef")).alias("hedonic_index"), "se", (b * F.exp(F.col("log_coef") - 1.96 * F.col("se"))).alias("ci_low"), (b * F.exp(F.col("log_coef") + 1.96 * F.col("se"))).alias("ci_high"))
-    return HedonicResult(series, float(r2), int(total), x.shape[1], terms, [t for t in TERMS if t not in terms])
+    return HedonicResult(series, float(f.r_squared), f.n_observations, len(f.beta), terms, [t for t in TERMS if t not in terms])
+
+
+def normal_equations(quotes: DataFrame, route_weights: DataFrame | None = None, lead_weights: dict[int, float] | None = None, holidays: DataFrame | None = None) -> DataFrame:
+    """(term, level, weighted_residuals): the sums over the quotes of each level, which a least-squares fit makes zero."""
+    df, terms = _weighted(quotes, route_weights, lead_weights, holidays)
+    residual = (F.col("log_fare") - solve(df, terms).predicted()) * F.col("_w")
+    every = [*terms, "collection_date"]
+    rows = df.select(residual.alias("e"), F.explode(F.array(*[F.struct(F.lit(t).alias("term"), F.col(t).cast("string").alias("level")) for t in every])).alias("x"))
+    return rows.groupBy("x.term", "x.level").agg(F.sum("e").alias("weighted_residuals"))

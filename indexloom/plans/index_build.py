@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from indexloom.functions import constants as C
 from indexloom.functions import dimensions
-from indexloom.operators import aggregate, chain, elementary, imputation, multilateral
+from indexloom.operators import aggregate, chain, contracts, elementary, imputation, multilateral
+from indexloom.sources.quotes import reject_simulated
 
 
 @dataclass(frozen=True)
@@ -41,16 +42,26 @@ class IndexBuild:
         return multilateral.drift(aggregate.published(self.headline()), self.geks(), self.direct())
 
 
-def build(quotes: DataFrame, route_weights: DataFrame | None = None) -> IndexBuild:
-    """Plans every series; nothing runs before a result is asked for."""
+def build(quotes: DataFrame, route_weights: DataFrame | None = None, checked: bool = False) -> IndexBuild:
+    """Plans every series; nothing runs before a result is asked for, but for the checks.
+
+    With `checked`, as for publication, simulated quotes, rows that break the contract, strata without
+    a weight and tables of fewer than two dates are errors.
+    """
     spark = quotes.sparkSession
     route_weights = route_weights if route_weights is not None else dimensions.routes(spark)
+    if checked:
+        reject_simulated(quotes)
+        contracts.enforce(quotes, contracts.quote_rules(quotes.columns))
+        check_buildable(quotes)
     days, universe = elementary.calendar(quotes), elementary.strata(quotes)
     items = elementary.item_prices(quotes)
     relatives = elementary.jevons_relatives(items, days, universe)
     imputed = imputation.impute(relatives)
     levels = chain.chain(imputed, days, universe)
     weights = dimensions.basket_weights(route_weights, dimensions.scenarios(spark))
+    if checked:
+        aggregate.check_orphans(universe, weights)
     availability = aggregate.cell_availability(quotes, len(C.ROUTES) * len(C.LEAD_TIMES))
     return IndexBuild(quotes, days, universe, items, relatives, imputed, levels, weights, availability, aggregate.index_points(levels, weights, availability))
 

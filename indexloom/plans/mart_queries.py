@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from indexloom.functions import constants as C
 from indexloom.functions import dimensions, fares, urls
-from indexloom.operators import aggregate, basket, collection, contracts, diagnostics, hedonic, quality, vintages
+from indexloom.operators import aggregate, basket, collection, contracts, diagnostics, elementary, hedonic, quality, vintages
 from indexloom.operators import offers as offer_rows
 from indexloom.plans.index_build import build
 from indexloom.plans.index_queries import QUERIES, query, rounded
-from indexloom.sources import offers
+from indexloom.sources import offers, sinks
 from indexloom.sources.quotes import quotes_from_events
 
 # --- the raw table of these queries: quotes at a hundredfold price, with flight numbers and departures -------------
@@ -37,7 +37,7 @@ RAW = {
         CAST(collection_date AS TIMESTAMP) AS started_at_utc, CAST(collection_date AS TIMESTAMP) + to_milliseconds(61701 * CAST(day_no AS BIGINT)) AS finished_at_utc FROM days CROSS JOIN (VALUES (1), (2)) v(n) WHERE n = 1 OR day_no % 5 = 0""",
     "robots": "SELECT 'run-1-' || CAST(CAST(ts AS DATE) AS VARCHAR) AS run_id, event_id % 3 <> 0 AS allowed FROM events WHERE event_type = 'error'",
     "paths": "SELECT run_id, count(*) FILTER (WHERE NOT allowed) AS robots_disallowed_paths FROM robots GROUP BY run_id",
-    "index_values": "SELECT CAST(ts AS DATE) AS collection_date, event_type AS scenario, 'headline' AS series, ts AS computed_at_utc, CASE WHEN event_id % 11 = 0 THEN NULL ELSE round(value, 1) END AS index_value FROM events WHERE user_id % 5 = 0",
+    "index_values": "SELECT CAST(ts AS DATE) AS collection_date, event_type AS scenario, 'headline' AS series, ts AS computed_at_utc, CASE WHEN event_id % 11 = 0 THEN NULL ELSE round(value, 1) END AS index_value FROM events",
     "vintages": "SELECT *, row_number() OVER (PARTITION BY collection_date, scenario, series ORDER BY computed_at_utc) AS vintage_no FROM index_values",
     "traffic": """SELECT nc.n_name AS City1, ns.n_name AS City2, l.l_quantity AS PaxToCity2, CAST(l.l_linenumber AS DOUBLE) AS PaxFromCity2, year(o.o_orderdate) AS Year, month(o.o_orderdate) AS Month
         FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN customer c ON c.c_custkey = o.o_custkey JOIN supplier s ON s.s_suppkey = l.l_suppkey JOIN nation nc ON nc.n_nationkey = c.c_nationkey JOIN nation ns ON ns.n_nationkey = s.s_nationkey""",
@@ -46,8 +46,9 @@ RAW = {
     "mapped": "SELECT t.*, n1.code AS origin, n2.code AS destination FROM recent t LEFT JOIN codes n1 ON n1.city = t.City1 LEFT JOIN codes n2 ON n2.city = t.City2",
     "directed": "SELECT origin, destination, sum(pax) AS pax FROM (SELECT origin, destination, PaxToCity2 AS pax FROM mapped UNION ALL SELECT destination, origin, PaxFromCity2 FROM mapped) WHERE origin IS NOT NULL AND destination IS NOT NULL AND origin <> destination GROUP BY ALL",
     "pairs": "SELECT least(origin, destination) || '-' || greatest(origin, destination) AS pair, sum(pax) AS pax FROM directed GROUP BY 1",
-    "chosen": """SELECT pair, pax, CASE WHEN s > 0 THEN 'seed' WHEN t THEN 'thin' ELSE 'volume' END AS reason, row_number() OVER (ORDER BY CASE WHEN s > 0 THEN 0 WHEN t THEN 1 ELSE 2 END, s, pax DESC, pair) AS place
-        FROM (SELECT pair, pax, coalesce(list_position(['N01-N02', 'N03-N04', 'N05-N06'], pair), 0) AS s, pair IN ('N07-N09') AS t FROM pairs) QUALIFY place <= 12""",
+    "forced": "SELECT * FROM (VALUES ('N01-N02', 'seed', 0, 1), ('N03-N04', 'seed', 0, 2), ('N05-N06', 'seed', 0, 3), ('N07-N09', 'thin', 1, 1)) v(pair, reason, p, s)",
+    "chosen": """SELECT pair, pax, reason, row_number() OVER (ORDER BY p, s, pax DESC, pair) AS place FROM
+        (SELECT f.pair, v.pax, f.reason, f.p, f.s FROM forced f LEFT JOIN pairs v ON v.pair = f.pair UNION ALL SELECT pair, pax, 'volume', 2, 0 FROM pairs WHERE pair NOT IN (SELECT pair FROM forced)) QUALIFY place <= 12""",
     "in_basket": "SELECT d.*, c.pair FROM directed d JOIN chosen c ON c.pair = least(d.origin, d.destination) || '-' || greatest(d.origin, d.destination)",
 }
 SEEDS, THIN = ["N01-N02", "N03-N04", "N05-N06"], ["N07-N09"]
@@ -215,6 +216,17 @@ def missing_routes(spark, sf):
     return basket.missing_routes(d, basket.select_pairs(basket.pair_volume(d), SEEDS, THIN))
 
 
+_SEEDED = """SELECT pair FROM (SELECT f.pair, p.pax, 0 AS o, f.s FROM (VALUES ('N01-N02', 1), ('N08-N09', 2)) f(pair, s) LEFT JOIN pairs p ON p.pair = f.pair
+        UNION ALL SELECT pair, pax, 1, 0 FROM pairs WHERE pair NOT IN ('N01-N02', 'N08-N09')) QUALIFY row_number() OVER (ORDER BY o, s, pax DESC, pair) <= 12"""
+
+
+@query("missing_seed_routes", f"SELECT w.origin, w.destination FROM (SELECT split_part(pair, '-', 1) AS origin, split_part(pair, '-', 2) AS destination FROM ({_SEEDED}) UNION ALL SELECT split_part(pair, '-', 2), split_part(pair, '-', 1) FROM ({_SEEDED})) w ANTI JOIN directed d ON d.origin = w.origin AND d.destination = w.destination", RAW)
+def missing_seed_routes(spark, sf):
+    """N08 is a city without a code: a seed with it has no volume, stays in the selection and is told."""
+    d = _directed(spark, sf)
+    return basket.missing_routes(d, basket.select_pairs(basket.pair_volume(d), ["N01-N02", "N08-N09"], []))
+
+
 @query(
     "basket_drift",
     """SELECT coalesce(a.origin, b.origin) AS origin, coalesce(a.destination, b.destination) AS destination, a.w AS frozen, b.w AS fresh, CASE WHEN b.w IS NULL THEN 'missing' WHEN a.w IS NULL THEN 'new' ELSE 'changed' END AS kind
@@ -307,7 +319,7 @@ def health_status(spark, sf):
 def cell_outcomes(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet")
     error = F.when(F.col("event_type") == "error", F.when(F.col("event_id") % 2 == 0, "Timeout 30000ms exceeded").otherwise("net::ERR"))
-    page = F.when(F.col("event_type") == "purchase", "<p>Please solve this CAPTCHA</p>").when(F.col("event_type") == "view", "<p>Sold out</p>").otherwise("<p>hello</p>")
+    page = F.when(F.col("event_type") == "purchase", "<p>Please solve this CAPTCHA</p>").when(F.col("event_type") == "view", "<p>Sold out</p>").otherwise("<script src=/datadome/perimeterx.js></script><p>hello</p>")
     return e.select("event_id", collection.outcome(F.col("event_id") % 13 != 0, error, page, (F.col("value") > 20).cast("int")).alias("reason"))
 
 
@@ -403,6 +415,15 @@ def hedonic_index(spark, sf):
     return r.series if r else spark.createDataFrame([], "collection_date date, hedonic_index double, se double, ci_low double, ci_high double")
 
 
+_TERMS = {"route": "origin || '-' || destination", "carrier": "carrier", "lead_time_days": "CAST(lead_time_days AS VARCHAR)", "dep_dow": "CAST(isodow(dep_ts + INTERVAL 330 MINUTE) - 1 AS VARCHAR)", "dep_hour_band": "CASE WHEN h <= 5 THEN 'red_eye' WHEN h <= 9 THEN 'early_morning' WHEN h <= 12 THEN 'morning' WHEN h <= 17 THEN 'afternoon' WHEN h <= 21 THEN 'evening' ELSE 'night' END", "collection_date": "CAST(collection_date AS VARCHAR)"}
+
+
+@query("hedonic_normal_equations", "SELECT * FROM (" + " UNION ".join(f"SELECT '{t}' AS term, {c} AS level, 0.0::DOUBLE AS weighted_residuals FROM (SELECT *, hour(dep_ts + INTERVAL 330 MINUTE) AS h FROM raw WHERE is_available AND total_fare > 0)" for t, c in _TERMS.items()) + ") QUALIFY count(*) OVER (PARTITION BY term) > 1", RAW)
+def hedonic_normal_equations(spark, sf):
+    """What the fit has to fulfil: over the quotes of each level of each term, the weighted residuals add up to nothing."""
+    return rounded(hedonic.normal_equations(_raw(spark, sf), dimensions.routes(spark), dimensions.scenario(C.HEADLINE)), "weighted_residuals")
+
+
 # --- scalar functions and extraction ------------------------------------------------------------------------------
 
 
@@ -513,7 +534,67 @@ def weakest_pair(spark, sf):
     return diagnostics.weakest_pair(rounded(diagnostics.agreement(_series(b)), "corr_of_log_changes").select("pair", "corr_of_log_changes"))
 
 
-@query("published_hash", "SELECT count(*) AS n, count(DISTINCT scenario) AS scenarios FROM published")
+_ROW = "concat_ws('|', CAST(collection_date AS VARCHAR), scenario, coalesce(CAST(CAST(index_value AS DECIMAL(18, 4)) AS VARCHAR), 'null'))"
+
+
+@query("published_hash", f"SELECT sha256(concat_ws(':', CAST(count(*) AS VARCHAR), CAST(sum(CAST(CAST('0x' || substr(h, 1, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR), CAST(sum(CAST(CAST('0x' || substr(h, 16, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR))) AS sha256 FROM (SELECT sha256({_ROW}) AS h FROM published)")
 def published_hash(spark, sf):
+    """One digest of all published values, whatever their order."""
     p = aggregate.published(build(quotes_from_events(spark, sf)).points)
-    return p.agg(F.count("*").alias("n"), F.count_distinct("scenario").alias("scenarios"))
+    return sinks.content_hash(p.withColumn("index_value", F.col("index_value").cast("decimal(18,4)")), ["collection_date", "scenario", "index_value"])
+
+
+@query("index_meta", "SELECT (SELECT count(*) FROM days) AS collection_days, (SELECT min(collection_date) FROM days) AS first_day, (SELECT max(collection_date) FROM days) AS last_day, 'uniform' AS headline_scenario, max(collection_date) AS latest_day, arg_max(index_value, collection_date) AS latest_value FROM published WHERE scenario = 'uniform'")
+def index_meta(spark, sf):
+    m = sinks.index_meta(build(quotes_from_events(spark, sf)))
+    return m.select("collection_days", "first_day", "last_day", "headline_scenario", F.col("latest.collection_date").alias("latest_day"), F.col("latest.index_value").alias("latest_value"))
+
+
+# --- pages and probes ---------------------------------------------------------------------------------------------
+
+
+def _pages(spark, sf):
+    """A page for each event: two rows in a list, one with a flight number and one without, beside prices that are no offers."""
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    fare = F.format_number(1300 + F.col("event_id") % 9000, 0)
+    row = F.when(F.col("event_type") == "click", F.concat(F.lit("IndiGo 6E-"), (100 + F.col("user_id") % 900).cast("string"))).when(F.col("event_type") == "view", "Air India Express").otherwise("Mystery Airlines")
+    page = F.concat(F.lit("<html><script>var p = '₹7,777 6E-777'</script><ul><li><b>"), row, F.lit("</b> <i>₹"), fare, F.lit("</i></li></ul><p>from ₹299 or ₹4,00,000 for all of you</p></html>"))
+    return e.select(F.col("event_id").alias("doc_id"), page.alias("payload"))
+
+
+@query("page_offers", "SELECT event_id AS doc_id, CAST(1300 + event_id % 9000 AS DOUBLE) AS total_fare, '6E' AS carrier, '6E' || (100 + user_id % 900) AS flight_no, CAST(NULL AS INTEGER) AS stops, CAST(NULL AS VARCHAR) AS dep_raw FROM events WHERE event_type = 'click'")
+def page_offers(spark, sf):
+    return offers.page_offers(_pages(spark, sf))
+
+
+@query("page_rows", "SELECT event_id AS doc_id, CAST(1300 + event_id % 9000 AS DOUBLE) AS total_fare, CASE event_type WHEN 'click' THEN '6E' WHEN 'view' THEN 'IX' END AS carrier, CAST(NULL AS VARCHAR) AS flight_no, CAST(NULL AS INTEGER) AS stops, CAST(NULL AS VARCHAR) AS dep_raw FROM events")
+def page_rows(spark, sf):
+    return offers.page_rows(_pages(spark, sf))
+
+
+def _probes(spark, sf):
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    payload = F.format_string('{"a": {"n": %d, "flag": true}, "list": [{"first": %d}, {"second": %d}], "text": "5000"}', F.col("event_id") % 3000, F.col("user_id") + 1000, F.col("user_id") + 90_000)
+    return e.select(F.col("event_id").alias("doc_id"), payload.alias("payload"))
+
+
+@query("probe_numbers", "SELECT event_id AS doc_id, n AS number FROM (SELECT event_id, unnest([CAST(event_id % 3000 AS DOUBLE), user_id + 1000.0, user_id + 90000.0]) AS n FROM events) WHERE n BETWEEN 1200 AND 90000")
+def probe_numbers(spark, sf):
+    return offers.numbers(_probes(spark, sf)).select("doc_id", "number")
+
+
+@query("probe_keys", "SELECT event_id AS doc_id, unnest(['a', 'n', 'flag', 'list', 'first', 'text']) AS key FROM events")
+def probe_keys(spark, sf):
+    return offers.top_keys(_probes(spark, sf))
+
+
+@query("probe_verdicts", "SELECT event_id, CASE WHEN event_id % 13 = 0 THEN 'bot_wall' WHEN event_type = 'error' THEN 'error' WHEN event_id % 3 > 0 AND user_id % 2 > 0 THEN 'json_endpoint_found' WHEN event_id % 3 > 0 THEN 'json_seen_no_fares' ELSE 'no_json_fare_endpoint' END AS verdict FROM events")
+def probe_verdicts(spark, sf):
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    return e.select("event_id", collection.probe_verdict(F.col("event_id") % 13 == 0, F.col("event_type") == "error", F.col("event_id") % 3, F.col("user_id") % 2).alias("verdict"))
+
+
+@query("strata_seen", "SELECT DISTINCT d.collection_date, n.origin, n.destination, n.lead_time_days FROM days d JOIN numbered n ON n.day_no IN (d.day_no, d.day_no - 1) WHERE d.day_no > 1")
+def strata_seen(spark, sf):
+    b = build(quotes_from_events(spark, sf))
+    return elementary.strata_seen(b.items, b.days)

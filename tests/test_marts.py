@@ -9,7 +9,6 @@ from indexloom.functions import constants as C
 from indexloom.functions import dimensions, fares
 from indexloom.operators import basket, collection, contracts, diagnostics, hedonic, quality, vintages
 from indexloom.sources import benchmarks, offers, quotes, sinks
-from indexloom.sources.simulate import simulate
 from indexloom.streaming import ingest
 
 GOOD = {"collection_date": "2026-09-01", "source": "ixigo", "origin": "DEL", "destination": "BOM", "lead_time_days": 7, "dep_date": "2026-09-08", "is_available": True, "total_fare": 5432.0, "currency": "INR", "unavailable_reason": None}
@@ -68,8 +67,7 @@ def test_normalise(spark):
 
 
 def test_simulated_quotes_are_refused(spark):
-    s = simulate(spark, "2026-01-01", 3)
-    assert s.count() == 3 * 24 * 5 * 4 and {tuple(r) for r in s.collect()} == {tuple(r) for r in simulate(spark, "2026-01-01", 3).repartition(7).collect()}
+    s = spark.createDataFrame([("SIMULATED_a", 1, True)], "source string, v int, is_simulated boolean")
     with pytest.raises(ValueError):
         quotes.reject_simulated(s)
     quotes.reject_simulated(s.withColumn("source", F.lit("a")).drop("is_simulated"))
@@ -107,7 +105,8 @@ def test_vintages_are_appended_once(spark, tmp_path):
 def test_outcomes_in_order_of_precedence(spark):
     cases = [(False, "Timeout", "captcha", 3, "robots_disallowed"), (True, "Timeout 30s", "captcha", 3, "timeout"), (True, "net error", "", 0, "parse_error"), (True, None, "Please solve the CAPTCHA", 3, "blocked"), (True, None, "no results here", 3, None), (True, None, "No Results here", 0, "sold_out"), (True, None, "hello", 0, "parse_error"), (True, None, "x" * 20001 + "captcha", 1, None)]
     df = spark.createDataFrame(cases, "ok boolean, err string, page string, n int, want string")
-    assert all(r.got == r.want for r in df.withColumn("got", collection.outcome(F.col("ok"), F.col("err"), F.col("page"), F.col("n"))).collect())
+    assert all(r.got == r.want for r in df.withColumn("got", collection.outcome(F.col("ok"), F.col("err"), F.col("page"), F.col("n"), head=20_000)).collect())
+    assert df.where("length(page) > 20000").select(collection.outcome(F.col("ok"), F.col("err"), F.col("page"), F.col("n"))).first()[0] == "blocked"  # whole pages, unless limited
 
 
 def test_basket_labels_and_selection(spark):
@@ -168,7 +167,10 @@ def test_journey_offers(spark):
 
 
 def test_other_walks(spark):
-    assert offers.numbers_in({"a": [1500, 50, {"b": 2000.5}], "c": True, "d": "3000"}) == [1500.0, 2000.5]
+    p = spark.createDataFrame([(1, json.dumps({"a": [1500, 50, {"b": 2000.5}], "c": True, "d": "3000", "e": [{"x.y": 1}, {"z": {"u": [[2000]]}}]})), (2, "[")], "doc_id long, payload string")
+    assert [r.number for r in offers.numbers(p).orderBy("path").collect()] == [1500.0, 2000.5, 2000.0]
+    assert [r.number for r in offers.numbers(p, depth=3).orderBy("path").collect()] == [1500.0, 2000.5]
+    assert sorted(r.key for r in offers.top_keys(p).collect()) == ["a", "c", "d", "e", "x.y"]
     df = spark.createDataFrame([('{"a": 1, "b": [{"c": "x"}]}',), ('{"a": 2}',)], "payload string")
     assert "a" in offers.skeleton(df).first().skeleton
 
@@ -276,3 +278,72 @@ def test_health_and_alarm(spark):
         collection.stop_below(df)
     e = spark.createDataFrame([(today, {"a": (1, 2)})], "collection_date date, per_source map<string, struct<cells_attempted:int,cells_available:int>>")
     assert tuple(collection.explode_health(e).first()) == (today, "a", 1, 2)
+
+
+def test_csv_files_with_different_headers(spark, tmp_path):
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    (raw / "2026-09-01.csv").write_text("source,origin,destination,lead_time_days,total_fare,is_available\ns,DEL,BOM,7,5000,true\n")
+    (raw / "2026-09-02.csv").write_text("total_fare,source,carrier,destination,origin,lead_time_days,is_available,extra\n6000,s,6E,BOM,DEL,7,true,x\n")
+    (raw / "2026-09-03.csv").write_text("source,origin,destination,lead_time_days,total_fare,is_available\ns,DEL,BLR,1,7000,true\n")
+    rows = sorted(tuple(r) for r in quotes.read_csv(spark, str(raw)).select("collection_date", "origin", "destination", "carrier", "total_fare").collect())
+    assert rows == [("2026-09-01", "DEL", "BOM", None, "5000"), ("2026-09-02", "DEL", "BOM", "6E", "6000"), ("2026-09-03", "DEL", "BLR", None, "7000")]
+    assert len(quotes.headers(spark, str(raw))) == 2
+    (raw / "w.txt").write_text("origin,destination,pair,pax,weight\nDEL,BOM,BOM-DEL,10,1.0\n")
+    assert quotes.read_weights(spark, str(raw / "w.txt")).first().weight == 1.0
+
+
+CHECKED = ("2026-09-0{}", "ixigo", "DEL", "BOM", 7, "2026-09-{:02d}", "6E", 5432.0, True, None, "INR")
+CHECKED_COLUMNS = "collection_date string, source string, origin string, destination string, lead_time_days int, dep_date string, carrier string, total_fare double, is_available boolean, unavailable_reason string, currency string"
+
+
+def contract_rows(spark, **over):
+    from indexloom.plans.index_build import build
+
+    names = [c.split()[0] for c in CHECKED_COLUMNS.split(", ")]
+    rows = [dict(zip(names, CHECKED, strict=True), collection_date=f"2026-09-0{d}", dep_date=f"2026-09-{d + 7:02d}") for d in (1, 2)]
+    rows[1].update(over)
+    q = spark.createDataFrame([tuple(r[n] for n in names) for r in rows], CHECKED_COLUMNS).withColumn("collection_date", F.col("collection_date").cast("date")).withColumn("dep_date", F.col("dep_date").cast("date"))
+    return lambda: build(q, checked=True)
+
+
+@pytest.mark.parametrize("over", [{"lead_time_days": 3}, {"origin": "del"}, {"destination": "DEL"}, {"total_fare": 120.0}, {"total_fare": 900000.0}, {"total_fare": None}, {"is_available": False, "unavailable_reason": "dunno"}, {"currency": "USD"}, {"dep_date": "2026-09-20"}, {"source": "SIMULATED_x"}, {"collection_date": "2026-09-01", "dep_date": "2026-09-08"}, {"destination": "GOI"}])
+def test_a_checked_build_refuses(spark, over):
+    with pytest.raises(ValueError):
+        contract_rows(spark, **over)()
+
+
+def test_a_checked_build_takes_good_rows(spark, tmp_path):
+    assert contract_rows(spark)().points.count() == 6
+    b = contract_rows(spark, is_available=False, total_fare=None, unavailable_reason="sold_out")()
+    assert b.availability.count() == 2
+    sinks.write_meta(contract_rows(spark)(), str(tmp_path / "meta"), "abc")
+    m = spark.read.json(str(tmp_path / "meta")).first()
+    assert (m.collection_days, m.first_day, m.latest.index_value, m.code_version) == (2, "2026-09-01", 100.0, "abc") and len(m.imputation_by_day) == 1
+
+
+def test_stored_outputs_or_a_typed_answer(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("a,b\n1,2\n")
+    assert sinks.read_stored(spark, str(tmp_path / "x.csv"), "a int, b int").rows.first().b == 2
+    gone = sinks.read_stored(spark, str(tmp_path / "none"))
+    assert gone.rows is None and "none" in gone.reason
+
+
+def test_rows_are_written_in_iso_8601(spark):
+    df = spark.createDataFrame([(datetime(2026, 9, 1, 4, 5, 6), "5432.50")], "collection_ts_utc timestamp, f string").withColumn("total_fare", F.col("f").cast("decimal(12,2)"))
+    r = sinks.as_row(df).first()
+    assert r.collection_ts_utc == "2026-09-01T04:05:06Z" and r.total_fare == "5432.50" and r.asDict().keys() == dict.fromkeys(quotes.COLUMNS).keys()
+
+
+def test_seeds_without_volume_stay_and_are_told(spark):
+    d = spark.createDataFrame([("AAA", "BBB", 5.0), ("BBB", "AAA", 4.0), ("AAA", "CCC", 9.0)], "origin string, destination string, pax double")
+    p = basket.select_pairs(basket.pair_volume(d), ["AAA-BBB", "XXX-YYY"], ["CCC-ZZZ"], 4)
+    assert [(r.pair, r.pax, r.reason) for r in p.orderBy("place").collect()] == [("AAA-BBB", 9.0, "seed"), ("XXX-YYY", None, "seed"), ("CCC-ZZZ", None, "thin"), ("AAA-CCC", 9.0, "volume")]
+    with pytest.raises(ValueError, match="without volume"):
+        basket.check_selection(p, d, 4)
+
+
+def test_page_marks_and_fetch_marks(spark):
+    df = spark.createDataFrame([("<script src=datadome.js></script> fares", 200), ("please solve a CAPTCHA", 200), ("fine", 429)], "body string, status int")
+    got = df.select(collection.outcome(F.lit(True), F.lit(None).cast("string"), F.col("body"), F.lit(3)).alias("page"), collection.fetched_reason(F.col("status"), F.col("body")).alias("body")).collect()
+    assert [tuple(r) for r in got] == [(None, "blocked"), ("blocked", "blocked"), (None, "rate_limited")]
