@@ -38,6 +38,8 @@ _SECRET = re.compile(r"""(?<![A-Za-z0-9_])(?:token|secret|api[_-]?key|password|p
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+().-])(?:\([0-9]{2,5}\)\x20?|0)[0-9]{2,4}(?:[\x20./-][0-9]{2,5}){1,4}(?![0-9])")
 
+_CONTEXT = re.compile(r"[^\W\d_]+")
+
 #: Lengths of account numbers by country code. Fixed values.
 IBAN_LENGTHS = {
     c: n
@@ -148,13 +150,10 @@ def _proposals(text: str, has_digit: bool) -> Iterator[tuple[str, int, int, bool
 def find_spans(text: str | None, has_digit: bool = True) -> list[tuple[str, int, int, float, bool]]:
     """(kind, start, end, score, checked) of all spans kept, by kind as listed in KINDS, then by start."""
     out = []
-    lowered = None
     for kind, start, end, checked in _proposals(text or "", has_digit):
         score, by_check, by_context, words = SCORES[kind]
-        if lowered is None:
-            lowered = text.lower() if len(text.lower()) == len(text) else text
-        near = lowered[max(0, start - CONTEXT_CHARS) : start] + " " + lowered[end : end + CONTEXT_CHARS]
-        score += by_check * checked + by_context * bool(set(re.findall(r"[^\W\d_]+", near)).intersection(words))
+        near = f"{text[max(0, start - CONTEXT_CHARS) : start]} {text[end : end + CONTEXT_CHARS]}".lower()
+        score += by_check * checked + by_context * bool(set(_CONTEXT.findall(near)).intersection(words))
         if kind in BASE_KINDS or score >= THRESHOLD:
             out.append((kind, start, end, round(min(score, 1.0), 3), checked))
     order = {k: i for i, k in enumerate(KINDS)}

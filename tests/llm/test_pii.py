@@ -74,3 +74,10 @@ def test_redaction_keeps_columns_and_rows(spark):
     assert out.columns == docs.columns and out.count() == docs.count()
     row = [r for r in out.collect() if r.doc_id == 7][0]
     assert row.text == "mail me: [EMAIL], call [PHONE], card [CARD], ip [IP] or 1.2.3.256" and row.n_chars == len(row.text)
+
+
+def test_context_words_count_in_any_spelling_of_case():
+    """A capital I with a dot, whose lower case is two characters, changes nothing around it."""
+    score = lambda t: {k: s for k, _, _, s, _ in pii.find_spans(t)}["card"]
+    assert score("\u0130 CARD 4111 1111 1111 1111") == score("I CARD 4111 1111 1111 1111") == 1.0
+    assert score("\u0130 x 4111 1111 1111 1111") == 0.8
