@@ -1,7 +1,13 @@
 """From raw documents to token ids: five stages, each written as Parquet and reread as the next one's input.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return the columns
-of documents; each works on all rows that the stage before it kept.
+of documents, extra ones included, whatever their names; each works on all rows that the stage before
+it kept.
+
+Null and empty texts, and those without words, fail the quality rules and go there. Of repeated rows,
+and of texts that are alike, the one with the least (doc_id, hash of the text) stays; rows that share
+an id, or have none, are told apart by their texts. Ties are settled so in every stage that has any.
+Texts are taken whole, however long. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -43,7 +49,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = textops.cut(stage(spark, docs, sf_dir), name)
+        docs, path = textops.put(stage(spark, docs, sf_dir), name)
+        if before:
+            textops.drop(spark, before)  # the stage that read it is written
+        before = path
     return docs

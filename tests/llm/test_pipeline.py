@@ -1,5 +1,6 @@
 import hashlib
 
+import cases
 import corpus_pipeline
 import numpy as np
 import test_decontam
@@ -49,3 +50,21 @@ def test_stages_take_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "/root/testdata/sf0.001")
     assert docs.count() == 0
+
+
+def test_edge_cases_pass_all_stages(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows, shared and missing ids, clashing columns; every document of the library's edge cases."""
+    good = " ".join(f"plain words of number {i} and mail me at jo{i}@example.com" for i in range(12))
+    docs = cases.documents(spark)
+    more = spark.createDataFrame([(50, good, "en", "s", 1), (50, good, "en", "s", 1), (51, good, "en", "s", 1), (None, good + " more of it", None, None, None), (None, good + " more of it", None, None, None)], cases.SCHEMA)
+    docs = docs.unionByName(more, allowMissingColumns=True)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, cases.PASSAGE)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    stage_docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        stage_docs = stage(spark, stage_docs, str(tmp_path))
+        assert sorted(stage_docs.columns) == sorted(docs.columns)
+    kept = [(r.doc_id, r.text) for r in stage_docs.collect()]
+    assert not any(x in (0, 1, 2, 3, 11) for x, _ in kept) and sum("plain words" in t for _, t in kept) == 1
+    assert all("@example.com" not in t for _, t in kept if "plain words" in t)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(kept)
