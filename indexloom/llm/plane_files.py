@@ -31,7 +31,7 @@ from indexloom.llm.wordcode import coder, public_path
 BLOCK_IDS = 1 << 16
 SEGMENT_IDS = 1 << 20  # a segment ends with the document that reaches this number of ids
 END_ID = 2
-CACHE_WORDS, CACHE_PIECES = 300_000, 500_000  # of each worker
+CACHE_WORDS = 500_000  # of each worker
 MAGIC = b"PLN1"
 _HEAD = struct.Struct("<4sBIQ")  # magic, planes of a block, ids of a block, ids
 _FOOT = struct.Struct("<QI4s")  # place of the index, blocks, magic
@@ -115,7 +115,7 @@ def _unpack_docs(raw: bytes, n: int) -> tuple[list, np.ndarray]:
 
 def _writer(path: str, end_id: int, bits: bool, block: int, segment: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, shard = coder(path, CACHE_WORDS, CACHE_PIECES), TaskContext.get().partitionId()
+        words, shard = coder(path, CACHE_WORDS), TaskContext.get().partitionId()
         keys, lengths, parts, held, before, seq = [], [], [], 0, 0, 0
 
         def close():

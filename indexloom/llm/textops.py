@@ -79,6 +79,10 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 
 
+def lower_ascii(buf: np.ndarray) -> np.ndarray:
+    return _LOWER[buf]
+
+
 def hashed(values: pa.Array) -> np.ndarray:
     """64-bit hashes of binary values. xxHash mixes each byte with its place and length, so that no pattern of letters cancels out."""
     return np.fromiter(map(xxhash.xxh3_64_intdigest, values.to_pylist()), dtype=np.uint64, count=len(values))
@@ -92,7 +96,7 @@ class Words:
     """
 
     def __init__(self, buf: np.ndarray, offsets: np.ndarray, word_byte: np.ndarray = WORD_BYTE, lower: bool = True):
-        buf = _LOWER[buf] if lower else buf
+        buf = lower_ascii(buf) if lower else buf
         n = len(buf)
         self.size = n
         inside = np.zeros(n + 2, dtype=bool)

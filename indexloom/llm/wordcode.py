@@ -9,7 +9,7 @@ asked only about words that the worker hasn't met.
 from __future__ import annotations
 
 import os
-import re
+import string
 from functools import lru_cache
 from itertools import chain
 
@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_WORDS = 100_000  # a worker's memory of words and of their pieces is emptied beyond these numbers; results don't depend on them
-CACHE_PIECES = 250_000
+from indexloom.llm import textops
+
+CACHE_WORDS = 250_000  # a worker's memory of words is emptied beyond this number; results don't depend on it
 
 
 def _grown(x: np.ndarray, size: int) -> np.ndarray:
@@ -51,39 +52,59 @@ def splits_words(path: str) -> bool:
     return tok.encode("a b", add_special_tokens=False).ids == tok.encode(" a \n b ", add_special_tokens=False).ids and not any(set(" \t\n\r\v\f") & set(t) for t in tok.get_vocab())
 
 
-#: A word of Latin letters with sentence marks or symbols behind it splits there, by the vocabulary's own rule, and its letters may be lower-cased.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*#$%&|]*)\Z")
-_LETTERS = re.compile(r"[a-zß-öø-ÿ]+\Z")
+@lru_cache(2)
+def classes(path: str) -> np.ndarray:
+    """Per byte 1 for a lower-case letter, 2 for a digit, 3 for a mark, 0 for all else: where two of these meet, this vocabulary splits.
+
+    Marks are the ASCII ones that the library itself is seen to split from letters and digits, on both
+    sides and before the ends of contractions; the apostrophe is none.
+    """
+    tok, kind = library(path), np.zeros(256, dtype=np.uint8)
+    same = lambda a, b: tok.encode(a, add_special_tokens=False).ids == tok.encode(b, add_special_tokens=False).ids
+    if not same("aBc Zz", "abc zz") or not same("ab12cd3", "ab 12 cd 3"):
+        return kind
+    kind[0x61:0x7B], kind[0x30:0x3A] = 1, 2
+    for c in string.punctuation:
+        around = [(f"{x}{c}{y}", f"{x} {c} {y}") for x in ("ab", "7", "") for y in ("cd", "s", "ll", "7", "")]
+        twice = [(f"ab{c}{c}s", f"ab {c}{c} s"), (f"ab{c}'s", f"ab {c}'s"), (f"ab'{c}s", f"ab'{c} s")]
+        if c != "'" and all(same(x, y) for x, y in around + twice):
+            kind[ord(c)] = 3
+    return kind
+
+
+_LETTERS = r"^[a-zß-öø-ÿ]+$"
+_ASK = 20_000  # words that the library is asked about at once
 
 
 class WordCoder:
-    """Remembers words as pairs of pieces, and the ids of pieces; the library is asked about new pieces only."""
+    """Remembers the ids of words; the library is asked about new words only.
+
+    ASCII letters are lower-cased and spaces put between letters, digits and marks first, as the
+    vocabulary itself lower-cases and splits there, so a word with a capital or a full stop isn't
+    another word. Documents that hold a special token, in whatever case, are taken as they are.
+    """
 
-    def __init__(self, path: str, most_words: int = CACHE_WORDS, most_pieces: int = CACHE_PIECES):
-        self.most_words, self.most_pieces = most_words, most_pieces
+    def __init__(self, path: str, most_words: int = CACHE_WORDS):
+        self.most_words = most_words
         self.tok = library(path)
+        self.by_words = splits_words(path)
+        self.kind = classes(path)
+        self.special = sorted({t.content.encode().lower() for t in self.tok.get_added_tokens_decoder().values()} - {b""})
         size = self.tok.get_vocab_size()
         strings = [self.tok.id_to_token(i) or "" for i in range(size)]
         self.token_text = pa.array(strings, type=pa.string())
         self.ends_word = np.fromiter((t.endswith("</w>") for t in strings), dtype=bool, count=size)
-        self.words: dict[str, int] = {}
-        self.forget_pieces()
-
-    def forget_words(self) -> None:
-        self.words = {}
-        self.first = np.zeros(1 << 14, dtype=np.int32)
-        self.second = np.zeros(1 << 14, dtype=np.int32)
+        self.forget()
 
-    def forget_pieces(self) -> None:
-        self.forget_words()
-        self.pieces: dict[str, int] = {"": 0}
+    def forget(self) -> None:
+        self.words: dict[str, int] = {}
         self.pool = np.zeros(1 << 16, dtype=np.int32)
         self.used = 0
         self.at = np.zeros(1 << 14, dtype=np.int32)
         self.length = np.zeros(1 << 14, dtype=np.int32)
 
     def _library_ids(self, part: list[str], letters: bool) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, lengths) of pieces. Runs of letters end in one end-of-word token each, so many of them can be asked about as one text."""
+        """(ids, lengths) of words. Runs of letters end in one end-of-word token each, so many of them can be asked about as one text."""
         if letters:
             texts = [" ".join(part[k : k + 1000]) for k in range(0, len(part), 1000)]
             ids = np.concatenate([np.array(e.ids, dtype=np.int32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)])
@@ -94,60 +115,69 @@ class WordCoder:
         lengths = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
         return np.fromiter(chain.from_iterable(got), dtype=np.int32, count=int(lengths.sum())), lengths
 
-    def _learn_pieces(self, new: list[str]) -> None:
-        plain = [p for p in new if _LETTERS.match(p)]
-        rest = [p for p in new if not _LETTERS.match(p)]
-        for part, letters in [(plain[k : k + 20_000], True) for k in range(0, len(plain), 20_000)] + [(rest[k : k + 20_000], False) for k in range(0, len(rest), 20_000)]:
-            ids, lengths = self._library_ids(part, letters)
-            total, first = len(ids), len(self.pieces)
-            self.pool = _grown(self.pool, self.used + total)
-            self.at, self.length = _grown(self.at, first + len(part)), _grown(self.length, first + len(part))
-            self.pool[self.used : self.used + total] = ids
-            self.at[first : first + len(part)] = self.used + np.cumsum(lengths) - lengths
-            self.length[first : first + len(part)] = lengths
-            self.pieces.update(zip(part, range(first, first + len(part)), strict=True))
-            self.used += total
-
-    def _learn_words(self, new: list[str]) -> None:
-        pairs = [(m[1].lower(), m[2]) if (m := _PLAIN.match(w)) else (w, "") for w in new]
-        unknown = list({p for pair in pairs for p in pair}.difference(self.pieces))
-        self._learn_pieces(sorted(unknown))
-        low = len(self.words)
-        self.first, self.second = _grown(self.first, low + len(new)), _grown(self.second, low + len(new))
-        get = self.pieces.__getitem__
-        self.first[low : low + len(new)] = np.fromiter((get(a) for a, _ in pairs), dtype=np.int32, count=len(new))
-        self.second[low : low + len(new)] = np.fromiter((get(b) for _, b in pairs), dtype=np.int32, count=len(new))
-        self.words.update(zip(new, range(low, low + len(new)), strict=True))
+    def _learn(self, new: pa.Array) -> None:
+        plain = pc.match_substring_regex(new, _LETTERS)
+        for words, letters in ((new.filter(plain).to_pylist(), True), (new.filter(pc.invert(plain)).to_pylist(), False)):
+            for k in range(0, len(words), _ASK):
+                part = words[k : k + _ASK]
+                ids, lengths = self._library_ids(part, letters)
+                first, total = len(self.words), len(ids)
+                self.pool = _grown(self.pool, self.used + total)
+                self.at, self.length = _grown(self.at, first + len(part)), _grown(self.length, first + len(part))
+                self.pool[self.used : self.used + total] = ids
+                self.at[first : first + len(part)] = self.used + np.cumsum(lengths) - lengths
+                self.length[first : first + len(part)] = lengths
+                self.words.update(zip(part, range(first, first + len(part)), strict=True))
+                self.used += total
+
+    def _spaced(self, texts: pa.Array) -> pa.Array:
+        """The texts in lower case with their words apart."""
+        buf, offsets = textops.utf8(texts)
+        if not len(buf) or not self.kind.any():
+            return texts
+        low = textops.lower_ascii(buf)
+        kind = self.kind[low]
+        meet = (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
+        raw = low.tobytes()
+        for token in self.special:
+            at = raw.find(token)
+            while at >= 0:
+                doc = int(np.searchsorted(offsets, at, side="right")) - 1
+                start, end = int(offsets[doc]), int(offsets[doc + 1])
+                low[start:end] = buf[start:end]
+                meet[max(start - 1, 0) : end] = False
+                at = raw.find(token, end)
+        cuts = np.flatnonzero(meet) + 1
+        low = np.insert(low, cuts, 0x20)
+        offsets = offsets + np.searchsorted(cuts, offsets)
+        return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offsets), pa.py_buffer(low))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, offsets) of large_string texts without nulls."""
-        split = pc.ascii_split_whitespace(texts)
+        """(ids, offsets) of large_string texts without nulls. A vocabulary whose tokens cross words is left to the library alone."""
+        if not self.by_words:
+            ids, lengths = self._library_ids(texts.to_pylist(), False)
+            return ids, np.concatenate([[0], np.cumsum(lengths)])
+        split = pc.ascii_split_whitespace(self._spaced(texts))
         coded = split.values.dictionary_encode()
-        values = coded.dictionary.to_pylist()
         row = split.offsets.to_numpy()
-        if len(self.pieces) > self.most_pieces:
-            self.forget_pieces()
         if len(self.words) > self.most_words:
-            self.forget_words()
+            self.forget()
+        values = coded.dictionary.to_pylist()
         slots = list(map(self.words.get, values))
         new = [k for k, x in enumerate(slots) if x is None]
         if new:
-            low = len(self.words)
-            self._learn_words([values[k] for k in new])
-            for k, x in zip(new, range(low, low + len(new)), strict=True):
-                slots[k] = x
+            self._learn(coded.dictionary.take(pa.array(new, type=pa.int64())))
+            for k in new:
+                slots[k] = self.words[values[k]]
         del values
         word = np.array(slots, dtype=np.int32)[coded.indices.to_numpy(zero_copy_only=False)]
-        pieces = np.empty(2 * len(word), dtype=np.int32)
-        pieces[0::2], pieces[1::2] = self.first[word], self.second[word]
-        lengths = self.length[pieces]
-        ends = np.zeros(len(pieces) + 1, dtype=np.int64)
+        lengths = self.length[word]
+        ends = np.zeros(len(word) + 1, dtype=np.int64)
         np.cumsum(lengths, out=ends[1:])
         # 32-bit places do: neither a slice's ids nor the pool come near 2**31
-        place = np.repeat(self.at[pieces] - ends[:-1].astype(np.int32), lengths)
+        place = np.repeat(self.at[word] - ends[:-1].astype(np.int32), lengths)
         place += np.arange(ends[-1], dtype=np.int32)
-        ids = self.pool[place]
-        return ids, ends[2 * (row - row[0])]
+        return self.pool[place], ends[row - row[0]]
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
         """The library's decode() of each range of ids: this vocabulary has no decoder, so tokens are joined by a space."""
@@ -156,6 +186,6 @@ class WordCoder:
 
 
 @lru_cache(2)
-def coder(path: str, most_words: int = CACHE_WORDS, most_pieces: int = CACHE_PIECES) -> WordCoder:
+def coder(path: str, most_words: int = CACHE_WORDS) -> WordCoder:
     """One coder for each Python worker and vocabulary."""
-    return WordCoder(path, most_words, most_pieces)
+    return WordCoder(path, most_words)
