@@ -41,6 +41,11 @@ def detect_carrier(c: Column) -> Column:
     return out.otherwise(none_if_empty(F.regexp_extract(F.upper(c), rf"\b{CODES}\b", 1)))
 
 
+def names_carrier(c: Column) -> Column:
+    """Whether a text names any carrier, in one pass."""
+    return c.rlike("|".join(pattern for _, pattern in CARRIERS) + rf"|\b{CODES}\b")
+
+
 def carrier_shown(c: Column) -> Column:
     low = F.lower(c)
     out = F.when(F.lit(False), F.lit(None).cast("string"))

@@ -158,6 +158,13 @@ def test_page_offers(spark):
     assert (4100.0, None) in found and all(f not in (299.0, 400000.0) for f, _ in found)
 
 
+def test_offers_within_offers_and_prices_that_are_objects(spark):
+    price = {"Airline": "IndiGo", "fare": {"amount": 0, "value": 5400}}
+    docs = [(1, json.dumps({"a": price})), (2, json.dumps({"a": {**price, "options": [{"carrier": "AI 202", "TotalFare": 6100}]}})), (3, "["), (4, None)]
+    got = sorted((r.doc_id, r.total_fare, r.carrier, r.flight_no) for r in offers.json_offers(spark.createDataFrame(docs, "doc_id long, payload string")).collect())
+    assert got == [(1, 5400.0, "6E", None), (2, 6100.0, "AI", "AI202")]
+
+
 def test_journey_offers(spark):
     it = lambda sd, key, b="1": {"SD": sd, "segMatchingKey": key, "SeatAv": "9", "FareTypeUI": "x", "b": [{"stp": b}]}
     known = {"CFee": 300, "j": [{"s": [it("Non-Stop|6324|10|DEL-BOM||", "DELBOMThu-10Sep202604:0006:15SG 510"), it("1 stop|7000|2|BOM-DEL||", "BOMDELThu-10Sep202604:0006:15SG 511"), it("Non-Stop||1|DEL-BOM||", "DELBOMThu-10Sep202604:0006:15SG 512"), it("direct flight|5000|1|DEL-BOM||", "", "2")]}]}
