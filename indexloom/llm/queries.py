@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import permutations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from indexloom.llm import chunk_bpe, decontam, html_main, jaccard_join, knn_quality, license_scan, pii, plane_files, ppm_lang, quality_rules, textops
+from indexloom.llm import chunk_bpe, decontam, filter_audit, html_main, jaccard_join, knn_quality, license_scan, pii, plane_files, ppm_lang, quality_rules, textops
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,8 +56,12 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.find_licenses(_docs(spark, sf_dir)).drop("finds")
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_plane_files, op3_suffix_decontam, op4_knn_quality, op5_ppm_lang, op6_jaccard_join, op7_quality_rules, op8_html_main, op9_chunk_bpe, op10_license_scan)}
+    return {f.__name__: f for f in (op1_pii, op2_plane_files, op3_suffix_decontam, op4_knn_quality, op5_ppm_lang, op6_jaccard_join, op7_quality_rules, op8_html_main, op9_chunk_bpe, op10_license_scan, op12_filter_audit)}
 
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
@@ -87,7 +92,22 @@ degree AS (SELECT a AS rid, count(*) AS n FROM links GROUP BY a)
 SELECT s.doc_id, n.class_id, CASE WHEN len(s.s) = 0 THEN s.doc_id ELSE min(s.doc_id) OVER (PARTITION BY array_to_string(s.s, '|')) END AS rep_id, coalesce(g.n, 0) AS n_links, n.class_size
 FROM sets s JOIN named n ON n.rid = s.rid LEFT JOIN degree g ON g.rid = s.rid"""
 
+_ORDERS = ", ".join(f"('{''.join(p)}')" for p in permutations("ABCDE"))
+
+_OP12 = rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+least AS (SELECT t, min(doc_id) AS first FROM d GROUP BY t),
+failed AS (SELECT d.part, coalesce(m.good, false) AS good, coalesce(m.toxic, false) AS toxic, concat(CASE WHEN len(w) < 200 THEN 'A' ELSE '' END, CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END,
+    CASE WHEN 100 * length(regexp_replace(d.t, '[^A-Z]+', '', 'g')) > 2 * length(d.t) THEN 'C' ELSE '' END, CASE WHEN regexp_matches(d.t, '[#$%&*|]') THEN 'D' ELSE '' END, CASE WHEN d.doc_id > l.first THEN 'E' ELSE '' END) AS f
+    FROM d JOIN least l ON l.t = d.t LEFT JOIN marks m ON m.doc_id = d.doc_id),
+steps AS (SELECT o AS filter_order, CAST(s AS INTEGER) AS step, substring(o, s, 1) AS letter, left(o, s - 1) AS earlier FROM (VALUES {_ORDERS}) v(o) CROSS JOIN range(1, 6) r(s)),
+placed AS (SELECT failed.*, steps.*, contains(f, letter) AS fails, length(translate(f, earlier, '')) < length(f) AS gone FROM failed CROSS JOIN steps)
+SELECT part, filter_order, step, count(*) FILTER (WHERE NOT fails AND NOT gone) AS kept, count(*) FILTER (WHERE fails AND NOT gone) AS removed, count(*) FILTER (WHERE fails AND gone) AS redundant, count(*) FILTER (WHERE f = letter) AS unique_fails,
+    count(*) FILTER (WHERE fails AND NOT gone AND good) AS good_lost, count(*) FILTER (WHERE fails AND NOT gone AND toxic) AS toxic_lost, CAST(sum(count(*) FILTER (WHERE fails AND NOT gone)) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+FROM placed GROUP BY part, filter_order, step, letter"""
+
 
 def oracle_sql() -> dict[str, str]:
-    """Decontamination and the similarity join by plain joins; the rest is beyond SQL and tested against brute force."""
-    return {"op3_suffix_decontam": _OP3, "op6_jaccard_join": _OP6}
+    """Decontamination, the similarity join and the filters' audit by plain joins; the rest is beyond SQL and tested against brute force."""
+    return {"op3_suffix_decontam": _OP3, "op6_jaccard_join": _OP6, "op12_filter_audit": _OP12}
