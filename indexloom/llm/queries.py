@@ -7,7 +7,7 @@ from itertools import permutations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from indexloom.llm import chunk_bpe, decontam, filter_audit, html_main, jaccard_join, knn_quality, license_scan, pii, plane_files, ppm_lang, quality_rules, textops, url_filter
+from indexloom.llm import chunk_bpe, collocations, decontam, filter_audit, html_main, jaccard_join, knn_quality, license_scan, pii, plane_files, ppm_lang, quality_rules, textops, url_filter
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,8 +64,12 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_docs(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_plane_files, op3_suffix_decontam, op4_knn_quality, op5_ppm_lang, op6_jaccard_join, op7_quality_rules, op8_html_main, op9_chunk_bpe, op10_license_scan, op11_url_filter, op12_filter_audit)}
+    return {f.__name__: f for f in (op1_pii, op2_plane_files, op3_suffix_decontam, op4_knn_quality, op5_ppm_lang, op6_jaccard_join, op7_quality_rules, op8_html_main, op9_chunk_bpe, op10_license_scan, op11_url_filter, op12_filter_audit, op13_collocations)}
 
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
@@ -111,7 +115,17 @@ SELECT part, filter_order, step, count(*) FILTER (WHERE NOT fails AND NOT gone)
     count(*) FILTER (WHERE fails AND NOT gone AND good) AS good_lost, count(*) FILTER (WHERE fails AND NOT gone AND toxic) AS toxic_lost, CAST(sum(count(*) FILTER (WHERE fails AND NOT gone)) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
 FROM placed GROUP BY part, filter_order, step, letter"""
 
+_OP13 = r"""
+WITH p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+f AS (SELECT lang, g, k, count(*) AS n FROM (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS g FROM p CROSS JOIN range(1, 4) r(k) WHERE len(w) >= k) GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, g, k, n AS a, string_split(g, ' ') AS w FROM f WHERE k > 1 AND n >= 10),
+cuts AS (SELECT c.*, cut, x.n AS l, y.n AS r, CAST((1000000::HUGEINT * a * a) // (x.n::HUGEINT * y.n) AS BIGINT) AS score FROM (SELECT *, unnest(range(1, k)) AS cut FROM c) c JOIN f x ON x.lang = c.lang AND x.g = array_to_string(w[1:cut], ' ') JOIN f y ON y.lang = c.lang AND y.g = array_to_string(w[cut + 1:], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+kept AS (SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = b.lang AND c.k > b.k AND 100 * c.a >= 50 * b.a AND contains(' ' || c.g || ' ', ' ' || b.g || ' ')))
+SELECT k.lang, row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, encode(g)) AS rank, g AS phrase, a, l, r, t.n, score FROM kept k JOIN totals t ON t.lang = k.lang QUALIFY rank <= 2000"""
+
 
 def oracle_sql() -> dict[str, str]:
-    """Decontamination, the similarity join and the filters' audit by plain joins; the rest is beyond SQL and tested against brute force."""
-    return {"op3_suffix_decontam": _OP3, "op6_jaccard_join": _OP6, "op12_filter_audit": _OP12}
+    """Decontamination, the similarity join the filters' audit and collocations by plain joins; the rest is beyond SQL and tested against brute force."""
+    return {"op3_suffix_decontam": _OP3, "op6_jaccard_join": _OP6, "op12_filter_audit": _OP12, "op13_collocations": _OP13}
