@@ -50,13 +50,19 @@ def check_basket(weights: DataFrame) -> None:
         raise ValueError(f"basket weights don't sum to 1: {bad}")
 
 
-def cells(spark: SparkSession, day: str) -> DataFrame:
-    """The basket's cells on a collection day: each route at each lead time, with its departure date and label."""
-    leads = spark.createDataFrame([(x,) for x in C.LEAD_TIMES], "lead_time_days int")
-    out = routes(spark).select("origin", "destination").crossJoin(leads).withColumn("collection_date", F.lit(day).cast("date"))
+def cells_on(days: DataFrame) -> DataFrame:
+    """The basket's cells on every collection day of `days` (collection_date): each route at each lead time, with its departure date and label."""
+    spark = days.sparkSession
+    basket = routes(spark).select("origin", "destination").withColumn("lead_time_days", F.explode(F.array(*map(F.lit, C.LEAD_TIMES))))  # 120 rows
+    out = days.crossJoin(F.broadcast(basket)).select("origin", "destination", "lead_time_days", "collection_date")
     return out.withColumn("dep_date", F.date_add("collection_date", F.col("lead_time_days"))).withColumn("cell", cell_label())
 
 
+def cells(spark: SparkSession, day: str) -> DataFrame:
+    """The basket's cells on one collection day."""
+    return cells_on(spark.createDataFrame([(day,)], "day string").select(F.col("day").cast("date").alias("collection_date")))
+
+
 def cell_label():
     return F.format_string("%s->%s/T+%d", "origin", "destination", "lead_time_days")
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from indexloom.plans import index_queries, mart_queries  # noqa: F401  registers its queries
+from indexloom.plans import file_queries, index_queries, mart_queries  # noqa: F401  registers its queries
 
 
 def _all() -> dict[str, tuple]:

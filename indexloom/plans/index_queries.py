@@ -76,16 +76,6 @@ def stratum_levels(spark, sf):
     return rounded(_built(spark, sf).levels, "stratum_index", places=2)
 
 
-@query("basket_weights", "SELECT scenario, origin, destination, lead_time_days, round(weight, 9) AS weight FROM weights")
-def basket_weights(spark, sf):
-    return rounded(dimensions.basket_weights(dimensions.routes(spark), dimensions.scenarios(spark)), "weight", places=9)
-
-
-@query("basket_cells", "SELECT r.origin, r.destination, l.lead_time_days, DATE '2024-01-10' AS collection_date, CAST(DATE '2024-01-10' + CAST(l.lead_time_days AS INTEGER) AS DATE) AS dep_date, r.origin || '->' || r.destination || '/T+' || l.lead_time_days AS cell FROM routes r CROSS JOIN (SELECT DISTINCT lead_time_days FROM scenarios) l")
-def basket_cells(spark, sf):
-    return dimensions.cells(spark, "2024-01-10")
-
-
 @query("cell_availability", "SELECT collection_date, cells_priced, cells_in_basket, round(availability_rate, 6) AS availability_rate, cells_blocked, cells_sold_out FROM availability")
 def cell_availability(spark, sf):
     return rounded(_built(spark, sf).availability, "availability_rate")

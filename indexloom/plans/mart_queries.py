@@ -468,16 +468,6 @@ def json_offers(spark, sf):
 _CITY = "CASE {c} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in urls.CITY_NAMES.items()) + " ELSE {c} END"
 
 
-@query(
-    "search_urls",
-    f"""SELECT origin, destination, lead_time_days, 'https://flight.easemytrip.com/FlightList/Index?srch=' || origin || '-' || {_CITY.format(c="origin")} || '-India|' || destination || '-' || {_CITY.format(c="destination")} || '-India|' || strftime(DATE '2024-01-10' + CAST(lead_time_days AS INTEGER), '%d/%m/%Y') || '&px=1-0-0&cbn=0&ar=undefined&isow=true&isdm=true&lang=en-us&IsDoubleSeat=false&CCODE=IN&curr=INR' AS url, false AS is_fare_endpoint FROM weights WHERE scenario = 'uniform'""",
-)
-def search_urls(spark, sf):
-    c = dimensions.cells(spark, "2024-01-10")
-    url = urls.search_url(F.lit("easemytrip"), F.col("origin"), F.col("destination"), F.col("dep_date"))
-    return c.select(*C.STRATUM_KEY, url.alias("url")).withColumn("is_fare_endpoint", urls.is_fare_endpoint(F.lit("easemytrip"), F.col("url")))
-
-
 @query(
     "quotes_from_offers",
     """SELECT quote_id, total_fare, row_number() OVER (PARTITION BY collection_date, source, origin, destination, lead_time_days ORDER BY total_fare, quote_id) = 1 AS is_cheapest_in_cell, dep_date FROM (SELECT quote_id, collection_date, source, origin, destination, lead_time_days, round(total_fare, 2) AS total_fare, CAST(collection_date + CAST(lead_time_days AS INTEGER) AS DATE) AS dep_date FROM quotes) WHERE total_fare > 0""",

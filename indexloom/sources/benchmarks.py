@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from indexloom.sources import by_header
 
 TRAFFIC = "City1 string, City2 string, PaxToCity2 double, PaxFromCity2 double, Year int, Month int"
 
@@ -33,7 +36,8 @@ def normalise_export(df: DataFrame) -> DataFrame:
 
 
 def read_traffic(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(TRAFFIC).option("header", True).csv(path).withColumn("ym", F.col("Year") * 100 + F.col("Month"))
+    """Traffic between cities by month, from CSV files in any order of their columns, with ym = Year * 100 + Month."""
+    return by_header.read(spark, path, TRAFFIC, required=tuple(T.StructType.fromDDL(TRAFFIC).fieldNames()), pattern=None).withColumn("ym", F.col("Year") * 100 + F.col("Month"))
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:

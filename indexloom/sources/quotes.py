@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from indexloom.functions import constants as C
+from indexloom.sources import by_header
 
 MONEY = T.DecimalType(12, 2)
 QUOTE = T.StructType(
@@ -40,39 +40,28 @@ QUOTE = T.StructType(
     ]
 )
 COLUMNS = QUOTE.fieldNames()
+TEXT = T.StructType([T.StructField(c, T.StringType()) for c in COLUMNS])
+WEIGHTS = "origin string, destination string, pair string, pax double, weight double"
 
 
-def headers(spark: SparkSession, folder: str) -> dict[str, list[str]]:
-    """Header line -> the CSV files of a folder that begin with it. One row a file comes to the driver, as files are listed there anyway."""
-    lines = spark.read.option("pathGlobFilter", "*.csv").text(folder).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("place"), "value")
-    first = lines.where("start = 0").groupBy("file").agg(F.min_by("value", "place").alias("header"))
-    out: dict[str, list[str]] = {}
-    for r in first.orderBy("file").collect():
-        out.setdefault(r.header, []).append(r.file)
-    return out
-
-
-def read_csv(spark: SparkSession, folder: str) -> DataFrame:
-    """All CSV files of a folder as strings under the quote columns; a missing collection date is taken from the file's name.
+def read_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """All CSV files of a folder, or the named ones, as strings under the quote columns, bound by the names in each file's header.
 
-    Files may have different headers: those with the same one are read together, columns are found
-    by name, and what a file lacks is null.
+    A missing collection date is taken from the file's name; what else a file lacks is null.
     """
-    raw = spark.read.option("header", True).option("mode", "PERMISSIVE")
-    parts = [raw.csv(files) for _, files in sorted(headers(spark, folder).items())]
-    if not parts:
-        raise ValueError(f"no quotes in {folder}")
-    stem = F.regexp_extract(F.col("_metadata.file_name"), r"(\d{4}-\d{2}-\d{2})", 1)
-    for k, df in enumerate(parts):
-        given = F.col("collection_date") if "collection_date" in df.columns else F.lit(None).cast("string")
-        df = df.withColumn("collection_date", F.coalesce(given, F.nullif(stem, F.lit(""))))
-        parts[k] = df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in COLUMNS])
-    return reduce(DataFrame.unionByName, parts)
+    try:
+        rows = by_header.read(spark, paths, TEXT, file=True)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        raise ValueError(f"no quotes in {paths}") from None
+    stem = F.regexp_extract(by_header.FILE, r"(\d{4}-\d{2}-\d{2})", 1)
+    return rows.withColumn("collection_date", F.coalesce("collection_date", F.nullif(stem, F.lit("")))).select(*COLUMNS)
 
 
 def read_weights(spark: SparkSession, path: str) -> DataFrame:
-    """Route weights (origin, destination, pair, pax, weight) from a CSV file with a header."""
-    return spark.read.schema("origin string, destination string, pair string, pax double, weight double").option("header", True).csv(path)
+    """Route weights from a CSV file with a header, in any order of its columns; pair and passengers may be missing."""
+    return by_header.read(spark, path, WEIGHTS, required=("origin", "destination", "weight"), pattern=None)
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, columns: list[str], **options: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from indexloom.functions import constants as C
 from indexloom.operators import aggregate, imputation, vintages
 from indexloom.plans.index_build import IndexBuild
+from indexloom.sources import by_header
 from indexloom.sources.quotes import COLUMNS
 
 
@@ -104,10 +105,9 @@ class Stored:
 
 
 def read_stored(spark: SparkSession, path: str, schema: str | None = None) -> Stored:
-    """A stored output (CSV with header, of the given types), or a typed answer that it is missing."""
-    reader = spark.read.option("header", True)
+    """A stored output (CSV with header): its columns as texts, or those of the schema by their names, or a typed answer that it is missing."""
     try:
-        return Stored((reader.schema(schema) if schema else reader).csv(path))
+        return Stored(by_header.read(spark, path, schema, pattern=None) if schema else spark.read.option("header", True).csv(path))
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise

@@ -9,6 +9,7 @@ from indexloom.functions import constants as C
 from indexloom.functions import dimensions, fares
 from indexloom.operators import basket, collection, contracts, diagnostics, hedonic, quality, vintages
 from indexloom.sources import benchmarks, offers, quotes, sinks
+from indexloom.sources import by_header
 from indexloom.streaming import ingest
 
 GOOD = {"collection_date": "2026-09-01", "source": "ixigo", "origin": "DEL", "destination": "BOM", "lead_time_days": 7, "dep_date": "2026-09-08", "is_available": True, "total_fare": 5432.0, "currency": "INR", "unavailable_reason": None}
@@ -253,7 +254,7 @@ def test_csv_round_trip_resume_and_stream(spark, tmp_path):
     cells = dimensions.cells(spark, "2026-09-01").withColumn("source", F.lit("s"))
     assert collection.still_to_collect(cells, done).count() == 118
     seen = []
-    q = ingest.run(ingest.quote_stream(spark, folder), str(tmp_path / "store"), str(tmp_path / "cp"), lambda df, days: seen.append((df.count(), days)))
+    q = ingest.run(ingest.quote_files(spark, folder), str(tmp_path / "store"), str(tmp_path / "cp"), lambda df, days: seen.append((df.count(), days)))
     q.awaitTermination()
     assert seen and seen[-1][0] == 4 and seen[-1][1] == [date(2026, 9, 1)]
 
@@ -263,7 +264,8 @@ def test_windowed_counts_stream(spark, tmp_path):
     src.mkdir()
     lines = [",".join(quotes.COLUMNS)] + [f"r,1,2026-09-01 0{h}:30:00,2026-09-01,s,u,DEL,BOM,7" + "," * 14 + "true,," for h in (1, 1, 2)]
     (src / "a.csv").write_text("\n".join(lines))
-    q = ingest.windowed_counts(ingest.quote_stream(spark, str(src))).writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
+    ingest.run(ingest.quote_files(spark, str(src)), str(tmp_path / "store"), str(tmp_path / "landing")).awaitTermination()
+    q = ingest.windowed_counts(ingest.landed(spark, str(tmp_path / "store"))).writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r.window.start.hour, r.quotes) for r in spark.table("counts").collect()) == [(1, 2), (2, 1)]
 
@@ -295,7 +297,7 @@ def test_csv_files_with_different_headers(spark, tmp_path):
     (raw / "2026-09-03.csv").write_text("source,origin,destination,lead_time_days,total_fare,is_available\ns,DEL,BLR,1,7000,true\n")
     rows = sorted(tuple(r) for r in quotes.read_csv(spark, str(raw)).select("collection_date", "origin", "destination", "carrier", "total_fare").collect())
     assert rows == [("2026-09-01", "DEL", "BOM", None, "5000"), ("2026-09-02", "DEL", "BOM", "6E", "6000"), ("2026-09-03", "DEL", "BLR", None, "7000")]
-    assert len(quotes.headers(spark, str(raw))) == 2
+    assert len(by_header.headers(spark, str(raw))) == 2
     (raw / "w.txt").write_text("origin,destination,pair,pax,weight\nDEL,BOM,BOM-DEL,10,1.0\n")
     assert quotes.read_weights(spark, str(raw / "w.txt")).first().weight == 1.0
 
