@@ -424,6 +424,25 @@ def hedonic_normal_equations(spark, sf):
     return rounded(hedonic.normal_equations(_raw(spark, sf), dimensions.routes(spark), dimensions.scenario(C.HEADLINE)), "weighted_residuals")
 
 
+_ONE = {
+    "weighted": """SELECT *, hour(dep_ts + INTERVAL 330 MINUTE) AS h, w / avg(w) OVER () AS weight FROM (SELECT q.*, r.weight * s.lead_weight / count(*) OVER (PARTITION BY q.collection_date, q.origin, q.destination, q.lead_time_days) AS w
+        FROM raw q JOIN routes r ON r.origin = q.origin AND r.destination = q.destination JOIN scenarios s ON s.scenario = 'near_term_heavy' AND s.lead_time_days = q.lead_time_days WHERE q.is_available AND q.total_fare > 0)"""
+}
+_ONE["named_levels"] = "SELECT weight, ln(total_fare) AS y, [" + ", ".join(f"{{'k': {k}, 't': '{t}', 'l': {c}}}" for k, (t, c) in enumerate(_TERMS.items())) + "] AS x FROM weighted"
+_SUMS = "count(*) AS n, round(sum(weight), 6) AS weight, round(sum(weight * y), 6) AS weighted_log_fare"
+
+
+@query(
+    "hedonic_gram",
+    f"""SELECT NULL AS term_a, NULL AS level_a, NULL AS term_b, NULL AS level_b, {_SUMS} FROM named_levels UNION ALL SELECT a.t, a.l, NULL, NULL, {_SUMS} FROM (SELECT *, unnest(x) AS a FROM named_levels) GROUP BY a.t, a.l
+    UNION ALL SELECT a.t, a.l, b.t, b.l, {_SUMS} FROM (SELECT *, unnest(x) AS b FROM (SELECT *, unnest(x) AS a FROM named_levels)) WHERE a.k < b.k GROUP BY a.t, a.l, b.t, b.l""",
+    RAW | _ONE,
+)
+def hedonic_gram(spark, sf):
+    """The sums that the regression is solved from, under a scenario that weighs lead times differently."""
+    return rounded(hedonic.level_pairs(_raw(spark, sf), dimensions.routes(spark), dimensions.scenario("near_term_heavy")), "weight", "weighted_log_fare")
+
+
 # --- scalar functions and extraction ------------------------------------------------------------------------------
 
 
