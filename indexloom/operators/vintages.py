@@ -15,6 +15,12 @@ def latest(values: DataFrame) -> DataFrame:
     return best.select(*KEY, "v.*")
 
 
+def keep_latest(rows: DataFrame, key: list[str], by: str) -> DataFrame:
+    """Of the rows of each key the one with the greatest value of `by`."""
+    rest = [c for c in rows.columns if c not in key]
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), by).alias("v")).select(*key, *[F.col("v")[c].alias(c) for c in rest]).select(*rows.columns)
+
+
 def numbered(values: DataFrame) -> DataFrame:
     w = Window.partitionBy(*KEY)
     return values.withColumn("vintage_no", F.row_number().over(w.orderBy("computed_at_utc"))).withColumn("vintages", F.count("*").over(w))
