@@ -83,8 +83,9 @@ doc_windows AS (SELECT rid, p, n, array_to_string(w[p:p + n - 1], ' ') AS k FROM
 hits AS (SELECT x.rid, x.p, x.n, i.item_id FROM doc_windows x JOIN item_windows i ON i.n = x.n AND i.k = x.k),
 covered AS (SELECT rid, count(DISTINCT q) AS n_hit FROM (SELECT rid, unnest(range(p, p + n)) AS q FROM hits) GROUP BY rid),
 placed AS (SELECT x.rid, x.p, i.q, i.n, i.iid, i.item_id FROM doc_windows x JOIN item_places i ON i.n = x.n AND i.k = x.k),
-runs AS (SELECT DISTINCT rid, coalesce(CAST(item_id AS VARCHAR), '') AS item, min(q) - 1 AS item_start, min(p) - 1 AS doc_start, max(q) - min(q) + max(n) AS n_words FROM (SELECT *, q - row_number() OVER (PARTITION BY rid, iid, p - q ORDER BY q) AS g FROM placed) GROUP BY rid, iid, item_id, p - q, g),
-longest AS (SELECT rid, max(n_words) AS longest_match, string_agg(item || ':' || item_start || ':' || doc_start || ':' || n_words, ',' ORDER BY doc_start, item, item_start, n_words) AS matches FROM runs GROUP BY rid),
+runs AS (SELECT rid, iid, coalesce(CAST(item_id AS VARCHAR), '') AS item, min(q) - 1 AS item_start, min(p) - 1 AS doc_start, max(q) - min(q) + max(n) AS n_words FROM (SELECT *, q - row_number() OVER (PARTITION BY rid, iid, p - q ORDER BY q) AS g FROM placed) GROUP BY rid, iid, item_id, p - q, g),
+reaching AS (SELECT DISTINCT rid, iid, item, item_start, doc_start, n_words FROM (SELECT *, max(doc_start + n_words) OVER (PARTITION BY rid, iid ORDER BY doc_start RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY rid, iid, doc_start ORDER BY n_words DESC, item_start) = 1)) WHERE before IS NULL OR doc_start + n_words > before),
+longest AS (SELECT rid, max(n_words) AS longest_match, string_agg(item || ':' || item_start || ':' || doc_start || ':' || n_words, ',' ORDER BY doc_start, item, item_start, n_words) AS matches FROM (SELECT DISTINCT rid, item, item_start, doc_start, n_words FROM reaching) GROUP BY rid),
 found AS (SELECT rid, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS names FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS i FROM hits WHERE item_id IS NOT NULL) GROUP BY rid)
 SELECT d.doc_id, len(d.w) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(f.n_items, 0) AS n_items, sha256(coalesce(f.names, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated, coalesce(g.longest_match, 0) AS longest_match, coalesce(g.matches, '') AS matches
 FROM d LEFT JOIN covered c ON c.rid = d.rid LEFT JOIN found f ON f.rid = d.rid LEFT JOIN longest g ON g.rid = d.rid"""
