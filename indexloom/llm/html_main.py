@@ -69,6 +69,8 @@ _GROUP_SETS = [frozenset(g.split()) for g in GROUPS]
 _TAG_ID = {t: i for i, t in enumerate(TAGS)}
 _OTHER = len(TAGS)
 
+_HOLD_P = tuple({*HOLDS_BLOCKS, *CLOSES_P} - {*SEALED})
+
 _OPEN = re.compile(r"<(?:!--|[!?/]|[a-zA-Z])")
 _NAME = re.compile(r"[^\s/>]+")
 _STOP = re.compile(r">|=\s*[\"']")  # what ends a tag, and where a quoted value begins
@@ -113,6 +115,7 @@ class Forest:
         self.pages += 1
         stack: list[tuple[str, int]] = []
         opened: dict[str, int] = {}  # how many elements of each tag are open
+        places: dict[str, list[int]] = {}  # and where they stand in the stack
         block = 0
 
         def node(tag: str, attrs: str, text: str | None) -> int:
@@ -130,6 +133,7 @@ class Forest:
             return len(self.tag) - 1
 
         def push(tag: str, n: int) -> None:
+            places.setdefault(tag, []).append(len(stack))
             stack.append((tag, n))
             opened[tag] = opened.get(tag, 0) + 1
 
@@ -137,12 +141,17 @@ class Forest:
             while len(stack) > to:
                 t, n = stack.pop()
                 opened[t] -= 1
+                places[t].pop()
                 if n >= 0:
                     self.end[n] = len(self.tag)
 
         def is_open(*tags: str) -> int:
             return sum(opened.get(t, 0) for t in tags)
 
+        def innermost(tags) -> int:
+            """Where the innermost open element of these tags stands; -1 if none is open."""
+            return max((places[t][-1] for t in tags if opened.get(t)), default=-1)
+
         push("#page", node("html", "", None))
         at = 0
         while at < len(source):
@@ -171,10 +180,7 @@ class Forest:
             if start == "</":
                 at = source.find(">", name.end()) + 1
                 if opened.get(tag, 0) and tag != "#page":
-                    k = len(stack) - 1
-                    while stack[k][0] != tag:
-                        k -= 1
-                    close(k)
+                    close(places[tag][-1])
                 if not at:
                     break
                 continue
@@ -183,12 +189,9 @@ class Forest:
                 break
             attrs, at = source[name.end() : end], end + 1
             if tag in CLOSES_P and is_open(*SEALED):
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in SEALED:
-                        close(k)
-                        break
-                    if stack[k][0] in HOLDS_BLOCKS or stack[k][0] in CLOSES_P:
-                        break
+                sealed = innermost(SEALED)
+                if sealed > innermost(_HOLD_P):
+                    close(sealed)
                 foreign = is_open("svg", "math") > 0
             if tag in VOID:
                 continue
@@ -203,14 +206,13 @@ class Forest:
             closes, limit = CLOSES.get(tag, ()), STOPS.get(tag, ())
             if tag in CLOSES_P:
                 closes, limit = (*closes, "p"), (*limit, *LIMITS_P)
-            if is_open(*closes):
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in closes:
-                        close(k)
-                        if tag != "tr":
-                            break
-                    elif stack[k][0] in limit or stack[k][0] in DROPPED:
-                        break
+            while is_open(*closes):
+                k = innermost(closes)
+                if k < innermost(t for t in (*limit, *DROPPED) if t not in closes):
+                    break
+                close(k)
+                if tag != "tr":
+                    break
             if is_open(*DROPPED) or tag in DROPPED:
                 if not itself:
                     push(tag, -1)
