@@ -34,15 +34,34 @@ def bilateral_matrix(items: DataFrame, days: DataFrame, window: int) -> DataFram
     return half.unionByName(back).unionByName(same)
 
 
-def window_levels(matrix: DataFrame, n_days: int, window: int) -> DataFrame:
+def window_levels(matrix: DataFrame, n_days: int, window: int, first_end: int | None = None) -> DataFrame:
     """ln GEKS level of day t in the window that ends on day e, against the window's first day: the mean over link days k of ln P(k, t) - ln P(k, first)."""
-    ends = matrix.sparkSession.range(window, n_days + 1).select(F.col("id").cast("int").alias("e"))
+    ends = matrix.sparkSession.range(first_end or window, n_days + 1).select(F.col("id").cast("int").alias("e"))
     start = F.col("e") - (window - 1)
     inside = matrix.join(F.broadcast(ends), (F.col("a") <= F.col("e")) & (F.col("a") >= start) & (F.col("b") <= F.col("e")) & (F.col("b") >= start))
     first = inside.where(F.col("b") == start).select("e", F.col("a"), F.col("ln_p").alias("ln_first"))
     return inside.join(first, ["e", "a"]).groupBy("e", F.col("b").alias("t")).agg(F.avg(F.col("ln_p") - F.col("ln_first")).alias("ln_g"))
 
 
+def splice(levels: DataFrame, window: int, known: list[tuple[int, float | None]] | None = None) -> DataFrame:
+    """(day_no, lv): ln levels of all days, or of those behind the `known` ones, the last days before the first window's end."""
+    per_window = levels.groupBy("e").agg(F.map_from_entries(F.collect_list(F.struct("t", "ln_g"))).alias("m"))
+    rows = per_window.groupBy().agg(F.collect_list(F.struct("e", "m")).alias("w"))  # days x window numbers
+    ordered = rows.select(F.expr("array_sort(w, (x, y) -> x.e - y.e)").alias("w"))
+    if known is None:
+        start, todo = f"transform(sequence(1, {window}), t -> named_struct('t', cast(t as int), 'lv', element_at(w[0].m, cast(t as int))))", "slice(w, 2, greatest(size(w) - 1, 0))"
+    else:
+        start, todo = "array(" + ", ".join(f"named_struct('t', {t:d}, 'lv', cast({'null' if lv is None else repr(lv)} as double))" for t, lv in [(-window, None), *known]) + ")", "w"  # the first, in no window, makes levels nullable
+    mean = "aggregate(filter(acc, p -> p.t > x.e - {w} and p.t < x.e and p.lv is not null and element_at(x.m, p.t) is not null), named_struct('s', cast(0 as double), 'n', 0), (q, p) -> named_struct('s', q.s + p.lv - element_at(x.m, p.t), 'n', q.n + 1), q -> case when q.n > 0 then q.s / q.n end)".format(w=window)
+    fold = f"aggregate({todo}, {start}, (acc, x) -> concat(acc, array(named_struct('t', cast(x.e as int), 'lv', element_at(x.m, cast(x.e as int)) + {mean}))))"
+    out = ordered.select(F.explode(F.expr(fold)).alias("p")).select(F.col("p.t").alias("day_no"), F.col("p.lv").alias("lv"))
+    return out.where(F.col("day_no") > max(t for t, _ in known)) if known else out
+
+
+def geks_window(n_days: int, window: int) -> int:
+    return min(max(3, window), n_days)
+
+
 def geks_index(items: DataFrame, days: DataFrame, window: int = 25) -> DataFrame:
     """Rolling-window GEKS with a mean splice.
 
@@ -53,16 +72,9 @@ def geks_index(items: DataFrame, days: DataFrame, window: int = 25) -> DataFrame
     n_days = days.count()
     if n_days < 2:
         return days.limit(0).select("collection_date", F.lit(None).cast("double").alias("geks_index"))
-    window = min(max(3, window), n_days)
-    levels = window_levels(bilateral_matrix(items, days, window), n_days, window)
-    per_window = levels.groupBy("e").agg(F.map_from_entries(F.collect_list(F.struct("t", "ln_g"))).alias("m"))
-    rows = per_window.groupBy().agg(F.collect_list(F.struct("e", "m")).alias("w"))  # days x window numbers
-    ordered = rows.select(F.expr("array_sort(w, (x, y) -> x.e - y.e)").alias("w"))
-    start = f"transform(sequence(1, {window}), t -> named_struct('t', cast(t as int), 'lv', element_at(w[0].m, cast(t as int))))"
-    mean = "aggregate(filter(acc, p -> p.t > x.e - {w} and p.t < x.e and p.lv is not null and element_at(x.m, p.t) is not null), named_struct('s', cast(0 as double), 'n', 0), (q, p) -> named_struct('s', q.s + p.lv - element_at(x.m, p.t), 'n', q.n + 1), q -> case when q.n > 0 then q.s / q.n end)".format(w=window)
-    fold = f"aggregate(slice(w, 2, greatest(size(w) - 1, 0)), {start}, (acc, x) -> concat(acc, array(named_struct('t', cast(x.e as int), 'lv', element_at(x.m, cast(x.e as int)) + {mean}))))"
-    out = ordered.select(F.explode(F.expr(fold)).alias("p")).select(F.col("p.t").alias("day_no"), (C.BASE_VALUE * F.exp("p.lv")).alias("geks_index"))
-    return days.join(out, "day_no", "left").select("collection_date", "geks_index")
+    window = geks_window(n_days, window)
+    out = splice(window_levels(bilateral_matrix(items, days, window), n_days, window), window)
+    return days.join(out, "day_no", "left").select("collection_date", (C.BASE_VALUE * F.exp("lv")).alias("geks_index"))
 
 
 def drift(chained: DataFrame, geks: DataFrame, direct: DataFrame) -> DataFrame:

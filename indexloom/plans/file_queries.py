@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from indexloom.functions import constants as C
 from indexloom.functions import dimensions, urls
 from indexloom.operators import aggregate, elementary
+from indexloom.plans.incremental import IncrementalIndex
 from indexloom.plans.index_build import build
-from indexloom.plans.index_queries import query, rounded
+from indexloom.plans.index_queries import QUERY_SQL, query, rounded
 from indexloom.plans.mart_queries import _CITY, RAW, _raw, _traffic
 from indexloom.sources import benchmarks, quotes, sinks, store
 from indexloom.sources.quotes import quotes_from_events
@@ -102,3 +105,27 @@ def search_urls(spark, sf):
     cells = dimensions.cells_on(elementary.calendar(quotes_from_events(spark, sf)).select("collection_date")).withColumn("source", F.explode(F.array(F.lit("easemytrip"), F.lit("cleartrip"))))
     url = urls.search_url(F.col("source"), F.col("origin"), F.col("destination"), F.col("dep_date"))
     return cells.select("collection_date", *C.STRATUM_KEY, "source", url.alias("url")).withColumn("is_fare_endpoint", urls.is_fare_endpoint(F.col("source"), F.col("url")))
+
+
+_LATE = ("2024-01-09", "2024-01-20", "2024-01-28")
+
+
+def _late_index(spark: SparkSession, sf: str) -> IncrementalIndex:
+    """An index that first misses one day, half of another and a part of a third, and then gets them."""
+    q = quotes_from_events(spark, sf)
+    index = IncrementalIndex(spark, store.shared(spark, "index"))
+    missing = (F.col("collection_date") == F.lit(_LATE[0])) | F.col("collection_date").isin(*_LATE[1:]) & (F.col("quote_id") % 2 == 0)
+    index.update(q.where(~missing))
+    index.update(q, [datetime.date.fromisoformat(d) for d in _LATE[1:]])
+    index.update(q, [datetime.date.fromisoformat(_LATE[0])])
+    return index
+
+
+@query("late_levels", QUERY_SQL["stratum_levels"])
+def late_levels(spark, sf):
+    return rounded(_late_index(spark, sf).levels(), "stratum_index", places=2)
+
+
+@query("late_geks", QUERY_SQL["geks_index"])
+def late_geks(spark, sf):
+    return rounded(_late_index(spark, sf).geks(), "geks_index")

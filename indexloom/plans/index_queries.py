@@ -13,11 +13,13 @@ from indexloom.plans.index_sql import statement
 from indexloom.sources.quotes import quotes_from_events
 
 QUERIES: dict[str, tuple] = {}
+QUERY_SQL: dict[str, str] = {}  # each query's own statement, without its building blocks
 
 
 def query(name: str, sql: str | None = None, extra: dict[str, str] | None = None):
     def put(f):
         QUERIES[name] = (f, statement(sql, extra) if sql else None)
+        QUERY_SQL[name] = sql
         return f
 
     return put
