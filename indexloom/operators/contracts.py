@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from indexloom.functions import constants as C
+from indexloom.sources import store
 
 
 def quote_rules(columns: list[str], currency: str = "INR") -> dict[str, Column]:
@@ -78,6 +80,32 @@ def enforce(df: DataFrame, rules: dict[str, Column], keys: list[str] | None = No
     return df
 
 
+def measures(rules: dict[str, Column], more: dict[str, Column] | None = None) -> dict[str, Column]:
+    """Aggregates that tell of a contract while rows pass: how many there are and how many break each rule, and whatever more is asked for."""
+    return {"rows": F.count(F.lit(1)), **{f"broken_{n}": F.count_if(~F.coalesce(c, F.lit(False))) for n, c in rules.items()}, **(more or {})}
+
+
+def write_checked(df: DataFrame, path: str, rules: dict[str, Column], more: dict[str, Column] | None = None, judge: Callable[[dict], None] | None = None) -> DataFrame:
+    """Writes df as Parquet and returns it reread, if no row breaks a rule and `judge` takes the other measures.
+
+    The rows are read once: what is written is measured on its way. It is written beside `path`, which it
+    gets only when it holds; otherwise it is dropped and the error names every broken rule.
+    """
+    spark, staged, seen = df.sparkSession, f"{path}.staged", Observation()
+    df.observe(seen, *[c.alias(n) for n, c in measures(rules, more).items()]).write.mode("overwrite").parquet(staged)
+    try:
+        found = seen.get
+        if broken := sorted((n.removeprefix("broken_"), found[n]) for n in found if n.startswith("broken_") and found[n]):
+            raise ValueError("contract broken: " + ", ".join(f"{r} ({n})" for r, n in broken))
+        if judge:
+            judge(found)
+        store.rename(spark, staged, path)
+    except BaseException:
+        store.drop(spark, staged)
+        raise
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     """All rows, columns found by name; what a frame lacks is null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from indexloom.functions import constants as C
 from indexloom.functions import dimensions, urls
-from indexloom.operators import aggregate, elementary
+from indexloom.operators import aggregate, basket, elementary
 from indexloom.plans.incremental import IncrementalIndex
 from indexloom.plans.index_build import build
 from indexloom.plans.index_queries import QUERY_SQL, query, rounded
-from indexloom.plans.mart_queries import _CITY, RAW, _raw, _traffic
-from indexloom.sources import benchmarks, quotes, sinks, store
+from indexloom.plans.mart_queries import _CITY, _VALUE, RAW, SEEDS, THIN, _directed, _raw, _traffic
+from indexloom.sources import benchmarks, frozen, quotes, sinks, store
 from indexloom.sources.quotes import quotes_from_events
 from indexloom.streaming import ingest
 
@@ -129,3 +129,26 @@ def late_levels(spark, sf):
 @query("late_geks", QUERY_SQL["geks_index"])
 def late_geks(spark, sf):
     return rounded(_late_index(spark, sf).geks(), "geks_index")
+
+
+_LEAVES = {
+    "frozen_routes": "SELECT origin, destination, pair, CAST(pax AS DECIMAL(20, 2)) AS pax, CAST(pax / sum(pax) OVER () AS DECIMAL(10, 8)) AS weight FROM in_basket",
+    "leaf": f"SELECT origin, destination, sha256({' || '.join(_VALUE.format(c) for c in ('origin', 'destination', 'pair', 'pax', 'weight'))}) AS sha256 FROM frozen_routes",
+    "branch": "SELECT origin, sha256(string_agg(length(destination) || ':' || destination || sha256, '' ORDER BY destination)) AS sha256 FROM leaf GROUP BY origin",
+    "top": "SELECT sha256(string_agg(length(origin) || ':' || origin || sha256, '' ORDER BY origin)) AS basket_sha256 FROM branch",
+}
+
+
+@query("frozen_basket", "SELECT kind, l.origin, l.destination, l.sha256, t.basket_sha256 FROM leaf l CROSS JOIN top t CROSS JOIN (VALUES ('csv'), ('json'), ('yaml')) v(kind)", RAW | _LEAVES)
+def frozen_basket(spark, sf):
+    """The basket frozen in three kinds of files and read back: every route's hash, and the root that each file holds."""
+    folder = store.shared(spark, "basket")
+    d = _directed(spark, sf)
+    frozen.freeze(basket.basket_routes(d, basket.select_pairs(basket.pair_volume(d), SEEDS, THIN)), folder, 1)
+    out = None
+    for kind in ("csv", "json", "yaml"):
+        rows = frozen.read_frozen(spark, folder, kind)
+        frozen.check_frozen(rows)
+        part = frozen.leaves(rows).join(rows.select("origin", "destination", "basket_sha256"), ["origin", "destination"]).withColumn("kind", F.lit(kind))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from indexloom.functions import constants as C
 from indexloom.functions import dimensions, fares, urls
-from indexloom.operators import aggregate, basket, collection, contracts, diagnostics, elementary, hedonic, quality, vintages
+from indexloom.operators import aggregate, basket, collection, contracts, diagnostics, elementary, hedonic, imputation, quality, vintages
 from indexloom.operators import offers as offer_rows
 from indexloom.plans.index_build import build
-from indexloom.plans.index_queries import QUERIES, query, rounded
+from indexloom.plans.index_queries import QUERIES, QUERY_SQL, query, rounded
 from indexloom.sources import offers, sinks
 from indexloom.sources.quotes import quotes_from_events
 
@@ -543,7 +543,8 @@ def weakest_pair(spark, sf):
     return diagnostics.weakest_pair(rounded(diagnostics.agreement(_series(b)), "corr_of_log_changes").select("pair", "corr_of_log_changes"))
 
 
-_ROW = "concat_ws('|', CAST(collection_date AS VARCHAR), scenario, coalesce(CAST(CAST(index_value AS DECIMAL(18, 4)) AS VARCHAR), 'null'))"
+_VALUE = "CASE WHEN {0} IS NULL THEN 'n' ELSE length(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR) END"
+_ROW = " || ".join(_VALUE.format(c) for c in ("collection_date", "scenario", "CAST(index_value AS DECIMAL(18, 4))"))
 
 
 @query("published_hash", f"SELECT sha256(concat_ws(':', CAST(count(*) AS VARCHAR), CAST(sum(CAST(CAST('0x' || substr(h, 1, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR), CAST(sum(CAST(CAST('0x' || substr(h, 16, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR))) AS sha256 FROM (SELECT sha256({_ROW}) AS h FROM published)")
@@ -553,10 +554,24 @@ def published_hash(spark, sf):
     return sinks.content_hash(p.withColumn("index_value", F.col("index_value").cast("decimal(18,4)")), ["collection_date", "scenario", "index_value"])
 
 
-@query("index_meta", "SELECT (SELECT count(*) FROM days) AS collection_days, (SELECT min(collection_date) FROM days) AS first_day, (SELECT max(collection_date) FROM days) AS last_day, 'uniform' AS headline_scenario, max(collection_date) AS latest_day, arg_max(index_value, collection_date) AS latest_value FROM published WHERE scenario = 'uniform'")
+_META = {
+    "meta_band": QUERY_SQL["scenario_band"], "meta_drift": QUERY_SQL["drift_diagnostic"], "meta_tiers": QUERY_SQL["imputation_summary"],
+    "meta_head": "SELECT (SELECT count(*) FROM days) AS collection_days, (SELECT min(collection_date) FROM days) AS first_day, (SELECT max(collection_date) FROM days) AS last_day, 'uniform' AS headline_scenario, max(collection_date) AS latest_day, arg_max(index_value, collection_date) AS latest_value FROM published WHERE scenario = 'uniform'",
+    "meta_newest": "SELECT collection_date AS band_day, band_low, band_high, band_width FROM meta_band ORDER BY collection_date DESC LIMIT 1",
+    "meta_days": "SELECT string_agg(CAST(collection_date AS VARCHAR) || ' ' || observed || ' ' || imputed_route_movement || ' ' || imputed_leadtime_movement || ' ' || imputed_all_items_movement || ' ' || no_donor, ',' ORDER BY collection_date) AS tiers FROM meta_tiers",
+}
+
+
+@query("index_meta", "SELECT h.*, b.*, CAST(d.n AS BIGINT) AS drift_days, d.final_chained, d.final_geks, d.final_gap_pts, d.gap_trend_pts_per_day, d.reading, t.tiers FROM meta_head h CROSS JOIN meta_newest b CROSS JOIN meta_drift d CROSS JOIN meta_days t", _META)
 def index_meta(spark, sf):
     m = sinks.index_meta(build(quotes_from_events(spark, sf)))
-    return m.select("collection_days", "first_day", "last_day", "headline_scenario", F.col("latest.collection_date").alias("latest_day"), F.col("latest.index_value").alias("latest_value"))
+    day = F.transform("imputation_by_day", lambda x: F.concat_ws(" ", x.collection_date.cast("string"), *[x[t].cast("string") for t in imputation.TIERS]))
+    out = m.select(
+        "collection_days", "first_day", "last_day", "headline_scenario", F.col("latest.collection_date").alias("latest_day"), F.col("latest.index_value").alias("latest_value"),
+        F.col("band_latest.collection_date").alias("band_day"), *[F.col(f"band_latest.{c}").alias(c) for c in ("band_low", "band_high", "band_width")],
+        F.col("chain_drift.n").alias("drift_days"), *[F.col(f"chain_drift.{c}").alias(c) for c in ("final_chained", "final_geks", "final_gap_pts", "gap_trend_pts_per_day", "reading")], F.array_join(day, ",").alias("tiers"),
+    )
+    return rounded(rounded(out, "final_geks", "final_gap_pts"), "gap_trend_pts_per_day", "band_width", places=4)
 
 
 # --- pages and probes ---------------------------------------------------------------------------------------------

@@ -40,6 +40,7 @@ QUOTE = T.StructType(
     ]
 )
 COLUMNS = QUOTE.fieldNames()
+SIMULATED = "simulated quotes can't be published as an index"
 TEXT = T.StructType([T.StructField(c, T.StringType()) for c in COLUMNS])
 WEIGHTS = "origin string, destination string, pair string, pax double, weight double"
 
@@ -97,13 +98,16 @@ def require_columns(df: DataFrame, names: list[str]) -> None:
         raise ValueError(f"missing columns: {missing}")
 
 
+def simulated(columns: list[str]) -> Column:
+    """Whether a row comes from a simulation."""
+    flag = F.col("source").startswith("SIMULATED_")
+    return flag | truthy(F.col("is_simulated")) if "is_simulated" in columns else flag
+
+
 def reject_simulated(quotes: DataFrame) -> None:
     """Raises if any row comes from a simulation."""
-    flag = F.col("source").startswith("SIMULATED_")
-    if "is_simulated" in quotes.columns:
-        flag = flag | truthy(F.col("is_simulated"))
-    if quotes.where(flag).limit(1).count():
-        raise ValueError("simulated quotes can't be published as an index")
+    if quotes.where(simulated(quotes.columns)).limit(1).count():
+        raise ValueError(SIMULATED)
 
 
 def priced(df: DataFrame) -> DataFrame:

@@ -74,9 +74,15 @@ def append_vintage(values: DataFrame, folder: str) -> DataFrame:
     return vintages.latest(spark.read.schema(values.schema).parquet(folder))
 
 
+def encoded(columns: list[str]):
+    """The columns' values as one text that no other values give: each with its length before it, nulls marked."""
+    value = lambda c: F.col(c).cast("string")
+    return F.concat(*[F.when(F.col(c).isNull(), "n").otherwise(F.concat(F.length(value(c)).cast("string"), F.lit(":"), value(c))) for c in columns])
+
+
 def content_hash(df: DataFrame, columns: list[str]) -> DataFrame:
     """One digest of the rows' content, whatever their order: their number and two sums of 60 bits of each row's own digest."""
-    row = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in columns]), 256)
+    row = F.sha2(encoded(columns), 256)
     part = lambda at: F.sum(F.conv(F.substring("_h", at, 15), 16, 10).cast("decimal(20,0)"))
     sums = df.select(row.alias("_h")).agg(F.count("*").alias("n"), F.coalesce(part(1), F.lit(0)).alias("a"), F.coalesce(part(16), F.lit(0)).alias("b"))
     return sums.select(F.sha2(F.concat_ws(":", F.col("n").cast("string"), F.col("a").cast("string"), F.col("b").cast("string")), 256).alias("sha256"))

@@ -32,3 +32,10 @@ def exists(spark: SparkSession, path: str) -> bool:
 def drop(spark: SparkSession, path: str) -> None:
     store, p = _at(spark, path)
     store.delete(p, True)
+
+
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    """Gives what lies at a path another name, which must be free."""
+    store, p = _at(spark, path)
+    if exists(spark, to) or not store.rename(p, _at(spark, to)[1]):
+        raise FileExistsError(to)
