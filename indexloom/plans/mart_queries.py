@@ -429,13 +429,14 @@ _ONE = {
         FROM raw q JOIN routes r ON r.origin = q.origin AND r.destination = q.destination JOIN scenarios s ON s.scenario = 'near_term_heavy' AND s.lead_time_days = q.lead_time_days WHERE q.is_available AND q.total_fare > 0)"""
 }
 _ONE["named_levels"] = "SELECT weight, ln(total_fare) AS y, [" + ", ".join(f"{{'k': {k}, 't': '{t}', 'l': {c}}}" for k, (t, c) in enumerate(_TERMS.items())) + "] AS x FROM weighted"
+_ONE["several"] = "SELECT a.t AS t FROM (SELECT unnest(x) AS a FROM named_levels) GROUP BY a.t HAVING count(DISTINCT a.l) > 1 OR a.t = 'collection_date'"  # the others are left out of the fit
 _SUMS = "count(*) AS n, round(sum(weight), 6) AS weight, round(sum(weight * y), 6) AS weighted_log_fare"
 
 
 @query(
     "hedonic_gram",
-    f"""SELECT NULL AS term_a, NULL AS level_a, NULL AS term_b, NULL AS level_b, {_SUMS} FROM named_levels UNION ALL SELECT a.t, a.l, NULL, NULL, {_SUMS} FROM (SELECT *, unnest(x) AS a FROM named_levels) GROUP BY a.t, a.l
-    UNION ALL SELECT a.t, a.l, b.t, b.l, {_SUMS} FROM (SELECT *, unnest(x) AS b FROM (SELECT *, unnest(x) AS a FROM named_levels)) WHERE a.k < b.k GROUP BY a.t, a.l, b.t, b.l""",
+    f"""SELECT NULL AS term_a, NULL AS level_a, NULL AS term_b, NULL AS level_b, {_SUMS} FROM named_levels UNION ALL SELECT a.t, a.l, NULL, NULL, {_SUMS} FROM (SELECT *, unnest(x) AS a FROM named_levels) WHERE a.t IN (SELECT t FROM several) GROUP BY a.t, a.l
+    UNION ALL SELECT a.t, a.l, b.t, b.l, {_SUMS} FROM (SELECT *, unnest(x) AS b FROM (SELECT *, unnest(x) AS a FROM named_levels)) WHERE a.k < b.k AND a.t IN (SELECT t FROM several) AND b.t IN (SELECT t FROM several) GROUP BY a.t, a.l, b.t, b.l""",
     RAW | _ONE,
 )
 def hedonic_gram(spark, sf):
