@@ -66,6 +66,7 @@ def stops_of(label: Column) -> Column:
 
 def sd_parts(sd: Column) -> Column:
     """Stops, fare, seats and route of a bar-separated itinerary summary; null if it has another form."""
+    # The summary's layout. Fixed value.
     p = r"^([^|]*)\|(\d+(?:\.\d+)?)\|([^|]*)\|([^|]*)"
     s = F.trim(sd)
     part = lambda k: F.regexp_extract(s, p, k)
@@ -74,6 +75,7 @@ def sd_parts(sd: Column) -> Column:
 
 def segment_parts(key: Column) -> Column:
     """Route, carrier, flight number and departure of a segment key; null if it has another form."""
+    # The key's layout. Fixed value.
     p = r"^([A-Z]{3})([A-Z]{3})([A-Za-z]{3})-(\d{1,2}[A-Za-z]{3}\d{4})(\d{2}:\d{2})(\d{2}:\d{2})\s*([A-Z0-9]{2})\s*(\d{1,4})$"
     s = F.trim(key)
     part = lambda k: F.regexp_extract(s, p, k)
