@@ -14,7 +14,7 @@ from indexloom.plans.incremental import IncrementalIndex
 from indexloom.plans.index_build import build
 from indexloom.plans.index_queries import QUERY_SQL, query, rounded
 from indexloom.plans.mart_queries import _CITY, _VALUE, RAW, SEEDS, THIN, _directed, _raw, _traffic
-from indexloom.sources import benchmarks, frozen, quotes, sinks, store
+from indexloom.sources import benchmarks, frozen, quotes, serving, sinks, store
 from indexloom.sources.quotes import quotes_from_events
 from indexloom.streaming import ingest
 
@@ -152,3 +152,23 @@ def frozen_basket(spark, sf):
         part = frozen.leaves(rows).join(rows.select("origin", "destination", "basket_sha256"), ["origin", "destination"]).withColumn("kind", F.lit(kind))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+_FIRST, _LAST = datetime.date(2024, 1, 10), datetime.date(2024, 1, 20)
+
+
+@query("served_points", QUERY_SQL["points_in_range"])
+def served_points(spark, sf):
+    """Published points of all scenarios stored by scenario and month; a range of one scenario opens its own folders only."""
+    folder = store.shared(spark, "points")
+    serving.store_series(aggregate.published(build(quotes_from_events(spark, sf)).points), folder, ["scenario"])
+    return serving.read_series(spark, folder, "collection_date date, index_value double, scenario string", _FIRST, _LAST, scenario="uniform").select("collection_date", "index_value")
+
+
+@query("served_levels", "SELECT origin, destination, lead_time_days, collection_date, round(stratum_index, 2) AS stratum_index FROM levels WHERE lead_time_days = 7 AND collection_date >= DATE '2024-01-10'")
+def served_levels(spark, sf):
+    """Chained levels of all strata stored by lead time and month, one lead time read from a day on."""
+    folder = store.shared(spark, "levels")
+    serving.store_series(build(quotes_from_events(spark, sf)).levels, folder, ["lead_time_days"])
+    schema = "origin string, destination string, collection_date date, stratum_index double, lead_time_days int"
+    return rounded(serving.read_series(spark, folder, schema, _FIRST, lead_time_days=7).select(*C.STRATUM_KEY, "collection_date", "stratum_index"), "stratum_index", places=2)
