@@ -623,3 +623,12 @@ def probe_verdicts(spark, sf):
 def strata_seen(spark, sf):
     b = build(quotes_from_events(spark, sf))
     return elementary.strata_seen(b.items, b.days)
+
+
+@query("payloads_unread", "SELECT event_id AS doc_id, CASE WHEN event_type = 'error' THEN 'no JSON' ELSE 'nested beyond the parser''s depth' END AS reason FROM events WHERE event_type = 'error' OR event_id % 1009 = 0")
+def payloads_unread(spark, sf):
+    """Payloads cut short, and some nested very deep, among readable ones."""
+    p = _probes(spark, sf).join(spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_id").alias("doc_id"), "event_type"), "doc_id")
+    deep = F.concat(F.repeat(F.lit("["), 100_000), F.repeat(F.lit("]"), 100_000))
+    payload = F.when(F.col("event_type") == "error", F.expr("left(payload, length(payload) - 3)")).when(F.col("doc_id") % 1009 == 0, deep).otherwise(F.col("payload"))
+    return offers.unreadable(p.select("doc_id", payload.alias("payload")))

@@ -159,6 +159,33 @@ def test_page_offers(spark):
     assert (4100.0, None) in found and all(f not in (299.0, 400000.0) for f, _ in found)
 
 
+def test_page_rows_parses_each_page_once(spark):
+    """Pages with rows give rows only, others their offers, each once, whatever white space stands in a text."""
+    row = "<li><span>Air India Express</span> <span>₹5,200</span></li>"
+    offer = "<div><b>6E-2043</b> 04:00 <i>Rs 5,432</i></div>"
+    wide = "<p>IndiGo" + " \n" * 900 + "6E-777 INR 6,000</p>"
+    pages = spark.createDataFrame([(1, f"<ul>{row}{row}</ul>{offer}"), (2, f"{offer}{offer}{wide}"), (3, None), (4, "<p>nothing</p>")], "doc_id long, payload string")
+    got = offers.page_rows(pages)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
+    assert sorted((r.doc_id, r.total_fare, r.carrier, r.flight_no) for r in got.collect() if r.flight_no or r.carrier) == [(1, 5200.0, "IX", None), (2, 5432.0, "6E", "6E2043"), (2, 6000.0, "6E", "6E777")]
+    assert got.where("doc_id > 2").count() == 0
+
+
+def test_unreadable_payloads_are_counted(spark):
+    deep = "[" * 100_000 + "]" * 100_000
+    p = spark.createDataFrame([(1, "{"), (2, deep), (3, "{}"), (4, None), (5, ""), (6, '{"fare": 5000, "airline": "6E 1"}')], "doc_id long, payload string")
+    assert sorted(map(tuple, offers.unreadable(p).collect())) == [(1, "no JSON"), (2, "nested beyond the parser's depth")]
+    assert [r.doc_id for r in offers.json_offers(p).collect()] == [6]
+
+
+def test_keys_and_numbers_at_any_depth(spark):
+    x = {"a": {"b": {"c": {"d": {"e": {"f": {"g": {"h": {"i": 2500}}}}}}}}, "l": [{"k": [[{"m": 1}, {"no": 1}]]}, {"no": [{"no2": 1}]}]}
+    p = spark.createDataFrame([(1, json.dumps(x))], "doc_id long, payload string")
+    assert [r.number for r in offers.numbers(p).collect()] == [2500.0] and offers.numbers(p, depth=8).count() == 0
+    assert sorted(r.key for r in offers.top_keys(p).collect()) == list("abcdefghiklm")
+    assert sorted(r.key for r in offers.top_keys(p, depth=2).collect()) == list("abkl")
+
+
 def test_offers_within_offers_and_prices_that_are_objects(spark):
     price = {"Airline": "IndiGo", "fare": {"amount": 0, "value": 5400}}
     docs = [(1, json.dumps({"a": price})), (2, json.dumps({"a": {**price, "options": [{"carrier": "AI 202", "TotalFare": 6100}]}})), (3, "["), (4, None)]
