@@ -462,13 +462,19 @@ def parsed_fares(spark, sf):
     return e.select("event_id", fares.parse_inr(shown).cast("double").alias("fare"), fares.detect_carrier(text).alias("carrier"), fares.detect_flight_no(text).alias("flight_no"))
 
 
+def _dealt_events(spark, sf):
+    """The events' few narrow columns, dealt to all tasks: a file may be one split, and the texts made of its rows cost far more to read than this shuffle."""
+    e = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "user_id", "event_type")
+    return e.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "event_id")
+
+
 @query(
     "journey_offers",
     """SELECT event_id AS doc_id, CAST(1000 + event_id % 9000 AS DOUBLE) AS total_fare, '6E' AS carrier, '6E' || (100 + user_id % 900) AS flight_no, CAST(event_id % 3 AS INTEGER) AS stops, '2024-02-03 04:00' AS dep_raw FROM events WHERE event_id % 2 = 0""",
 )
 def journey_offers(spark, sf):
     """Payloads of the known layout made of events; those of odd ids are for another route and give nothing."""
-    e = spark.read.parquet(f"{sf}/events.parquet")
+    e = _dealt_events(spark, sf)
     stops = F.when(F.col("event_id") % 3 == 0, "Non-Stop").otherwise(F.concat((F.col("event_id") % 3).cast("string"), F.lit(" stop")))
     route = F.when(F.col("event_id") % 2 == 0, "DELBOM").otherwise("DELBLR")
     payload = F.format_string('{"CFee": 300, "j": [{"s": [{"SD": "%s|%d|9|DEL-BOM||", "segMatchingKey": "%sSat-03Feb202404:0006:156E %d", "b": [{"stp": "0"}]}]}]}', stops, 1000 + F.col("event_id") % 9000, route, 100 + F.col("user_id") % 900)
@@ -479,7 +485,7 @@ def journey_offers(spark, sf):
 @query("json_offers", "SELECT event_id AS doc_id, CAST(1000 + event_id % 9000 AS DOUBLE) AS total_fare, 'SG' AS carrier, 'SG' || (100 + user_id % 900) AS flight_no, CAST(user_id % 3 AS INTEGER) AS stops, CAST(NULL AS VARCHAR) AS dep_raw FROM events WHERE user_id % 7 <> 0")
 def json_offers(spark, sf):
     """Flat payloads made of events, with base fares and taxes beside the totals; some without an airline."""
-    e = spark.read.parquet(f"{sf}/events.parquet")
+    e = _dealt_events(spark, sf)
     with_airline = F.format_string('{"Results": [{"AirlineCode": "SG", "FlightNumber": "%d", "BaseFare": 1001, "Taxes": 1002, "TotalFare": %d, "Stops": %d}]}', 100 + F.col("user_id") % 900, 1000 + F.col("event_id") % 9000, F.col("user_id") % 3)
     payload = F.when(F.col("user_id") % 7 == 0, '{"Results": [{"TotalFare": 5000}]}').otherwise(F.regexp_replace(with_airline, r'"FlightNumber": "(\d+)"', r'"FlightNumber": "SG-$1"'))
     return offers.json_offers(e.select(F.col("event_id").alias("doc_id"), payload.alias("payload")))
@@ -580,7 +586,7 @@ def index_meta(spark, sf):
 
 def _pages(spark, sf):
     """A page for each event: two rows in a list, one with a flight number and one without, beside prices that are no offers."""
-    e = spark.read.parquet(f"{sf}/events.parquet")
+    e = _dealt_events(spark, sf)
     fare = F.format_number(1300 + F.col("event_id") % 9000, 0)
     row = F.when(F.col("event_type") == "click", F.concat(F.lit("IndiGo 6E-"), (100 + F.col("user_id") % 900).cast("string"))).when(F.col("event_type") == "view", "Air India Express").otherwise("Mystery Airlines")
     page = F.concat(F.lit("<html><script>var p = '₹7,777 6E-777'</script><ul><li><b>"), row, F.lit("</b> <i>₹"), fare, F.lit("</i></li></ul><p>from ₹299 or ₹4,00,000 for all of you</p></html>"))
@@ -598,7 +604,7 @@ def page_rows(spark, sf):
 
 
 def _probes(spark, sf):
-    e = spark.read.parquet(f"{sf}/events.parquet")
+    e = _dealt_events(spark, sf)
     payload = F.format_string('{"a": {"n": %d, "flag": true}, "list": [{"first": %d}, {"second": %d}], "text": "5000"}', F.col("event_id") % 3000, F.col("user_id") + 1000, F.col("user_id") + 90_000)
     return e.select(F.col("event_id").alias("doc_id"), payload.alias("payload"))
 
