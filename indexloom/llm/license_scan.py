@@ -14,8 +14,9 @@ covers more words stays.
 Words are runs of digits, letters (A-Z lower-cased) and characters beyond ASCII. Null and empty
 texts have no finds. Repeated rows give repeated results. Ties between templates go to the one that
 comes first by name. Extra columns are left out, whatever their names. Texts are scanned whole:
-alignment runs only around proposed diagonals and in pieces as long as the template, so that time
-follows the length of the text and the number of finds. An empty table gives an empty result.
+alignment runs only around proposed diagonals where enough of the template's words stand in the band
+for a find, and in pieces as long as the template, so that time follows the length of the text and
+the number of finds and of near misses. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ GRAM = 3
 WINNOW = 2
 BAND = 8
 MIN_COVERAGE = 0.8
+PIECES = 512  # pieces of a text that are aligned at once
+STEPS = 1 << 24  # cells of the table that counts a template's words by diagonal
 MATCH, MISMATCH, GAP = 2, -2, -1
 
 #: Names and texts of licenses, their headers and usual notices. Fixed values.
@@ -88,52 +91,107 @@ class Index:
         self.short = np.unique(self.hash[short[self.template]])  # winnowing a document may drop these
 
 
-def align(template: np.ndarray, text: np.ndarray, shift: int, band: int = BAND) -> tuple[int, int, int, int]:
-    """Best local alignment with text place - template place within `shift` +- band: (score, matched words, start, end in text)."""
-    width = 2 * band + 1
-    n = len(text)
-    offs = shift - band + np.arange(width)
-    best = (0, 0, 0, 0)
-    score, matched, start = np.zeros(width, np.int64), np.zeros(width, np.int64), np.full(width, -1, np.int64)
-    for i, word in enumerate(template):
-        at = i + offs
-        inside = (at >= 0) & (at < n)
-        equal = inside & (text[np.clip(at, 0, n - 1)] == word) if n else inside
+def _band(template: np.ndarray, words: np.ndarray, i: int | np.ndarray, lo: np.ndarray, hi: np.ndarray, shift: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in the text that lie in the bands at the template's place i, whether they are in their pieces, and whether they hold its word."""
+    at = np.add.outer(shift + i, np.arange(-band, band + 1))
+    inside = (at >= lo[:, None]) & (at < hi[:, None])
+    return at, inside, inside & (words[np.clip(at, 0, len(words) - 1)] == template[i])
+
+
+def align(template: np.ndarray, words: np.ndarray, lo: np.ndarray, hi: np.ndarray, shift: np.ndarray, band: int = BAND) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Best local alignments of a template with pieces words[lo:hi], all at once, with text place - template place within `shift` +- band: (score, matched words, start, end)."""
+    many, width = len(lo), 2 * band + 1
+    rows, column = np.arange(many), np.arange(width)
+    best = np.zeros((4, many), np.int64)
+    score, matched, start = np.zeros((many, width), np.int64), np.zeros((many, width), np.int64), np.full((many, width), -1, np.int64)
+    beyond = np.full((many, 1), -(1 << 40))
+    for i in range(len(template)):
+        at, inside, equal = _band(template, words, i, lo, hi, shift, band)
         diagonal = score + np.where(equal, MATCH, MISMATCH)
-        up = np.concatenate([score[1:], [-(1 << 40)]]) + GAP  # the template's word has no partner
+        up = np.concatenate([score[:, 1:], beyond], axis=1) + GAP  # the template's word has no partner
         take_up = up > diagonal
         new = np.where(take_up, up, diagonal)
-        up_m, up_s = np.concatenate([matched[1:], [0]]), np.concatenate([start[1:], [-1]])
+        up_m, up_s = np.roll(matched, -1, axis=1), np.roll(start, -1, axis=1)
         new_m = np.where(take_up, up_m, matched + equal)
         new_s = np.where(take_up, up_s, np.where(start < 0, at, start))
         dead = (new <= 0) | ~inside
         new, new_m, new_s = np.where(dead, 0, new), np.where(dead, 0, new_m), np.where(dead, -1, new_s)
-        for k in range(1, width):  # a text's word has no partner
-            if new[k - 1] + GAP > new[k]:
-                new[k], new_m[k], new_s[k] = new[k - 1] + GAP, new_m[k - 1], new_s[k - 1]
-        score, matched, start = new, new_m, new_s
-        k = int(np.where(equal, score, -1).argmax())
-        if equal[k] and score[k] > best[0]:
-            best = (int(score[k]), int(matched[k]), int(start[k]), int(at[k]) + 1)
-    return best
-
-
-def align_all(template: np.ndarray, text: np.ndarray, shift: int, band: int = BAND) -> list[tuple[int, int, int]]:
-    """(matched words, start, end in text) of the best local alignment and, again and again, of those in the text left on either side, as far as they reach MIN_COVERAGE."""
+        # a text's word has no partner: each cell's value may come from any cell before it, less the gaps; the last of equals
+        level = new - GAP * column
+        source = np.maximum.accumulate(np.where(level == np.maximum.accumulate(level, axis=1), column, 0), axis=1)
+        score = np.take_along_axis(new, source, axis=1) + GAP * (column - source)
+        matched, start = np.take_along_axis(new_m, source, axis=1), np.take_along_axis(new_s, source, axis=1)
+        k = np.where(equal, score, -1).argmax(axis=1)
+        now = np.where(equal[rows, k], score[rows, k], -1)
+        better = now > best[0]
+        best[:, better] = np.stack([now, matched[rows, k], start[rows, k], at[rows, k] + 1])[:, better]
+    return tuple(best)
+
+
+def reach(template: np.ndarray, words: np.ndarray, lo: np.ndarray, hi: np.ndarray, shift: np.ndarray, band: int = BAND) -> np.ndarray:
+    """For each piece the number of the template's words that stand anywhere in its band: no alignment matches more."""
+    found = np.zeros(len(lo), np.int64)
+    for i in range(len(template)):
+        found += _band(template, words, i, lo, hi, shift, band)[2].any(axis=1)
+    return found
+
+
+def align_all(template: np.ndarray, words: np.ndarray, lo: np.ndarray, hi: np.ndarray, shift: np.ndarray, band: int = BAND) -> set[tuple[int, int, int]]:
+    """(matched words, start, end) of the best local alignment of each piece and, again and again, of those in what it leaves on either side, as far as they reach MIN_COVERAGE."""
     need = MIN_COVERAGE * len(template)
-    found, todo = [], [(0, len(text))]
-    while todo:
-        a, b = todo.pop()
-        if np.isin(text[a:b], template).sum() < need:
-            continue
-        _, matched, start, end = align(template, text[a:b], shift - a, band)
-        if matched >= need:
-            found.append((matched, a + start, a + end))
-        if matched:
-            todo += [(a, a + start), (a + end, b)]
+    found: set[tuple[int, int, int]] = set()
+    while len(lo):
+        rest = []
+        for k in range(0, len(lo), PIECES):
+            part = [x[k : k + PIECES] for x in (lo, hi, shift)]
+            part = [x[part[1] - part[0] >= need] for x in part]
+            able = reach(template, words, *part, band) >= need
+            if not able.any():
+                continue
+            part = [x[able] for x in part]
+            _, matched, start, end = align(template, words, *part, band)
+            found |= {x for x in zip(matched.tolist(), start.tolist(), end.tolist(), strict=True) if x[0] >= need}
+            some = matched > 0
+            rest += [(part[0][some], start[some], part[2][some]), (end[some], part[1][some], part[2][some])]
+        if not rest:
+            break
+        lo, hi, shift = (np.concatenate(x) for x in zip(*rest, strict=True))
     return found
 
 
+def hopeful(template: np.ndarray, words: np.ndarray, coarse: np.ndarray) -> np.ndarray:
+    """Those of the diagonals, in steps of BAND and ascending, around which enough of the template's words stand for a find.
+
+    Every pair of equal words marks its template place on its diagonal's step; the places marked on a
+    step or two to either side are counted. This is done for as many steps at once as STEPS cells hold.
+    """
+    size, need = len(template), MIN_COVERAGE * len(template)
+    order = np.argsort(template, kind="stable")
+    known = template[order]
+    at_once = max(1, STEPS // size)
+    kept, k = [], 0
+    while k < len(coarse):
+        first = coarse[k] - 2
+        upto = int(np.searchsorted(coarse, coarse[k] + at_once))
+        last = coarse[upto - 1] + 2
+        a = max(0, first * BAND)
+        near = words[a : max(a, (last + 1) * BAND + size)]
+        low = np.searchsorted(known, near)
+        n = np.searchsorted(known, near, side="right") - low
+        place = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
+        step = (np.repeat(np.arange(a, a + len(near)), n) - place) // BAND - first
+        seen = np.zeros((last - first + 1, size), bool)
+        fits = (step >= 0) & (step < len(seen))
+        seen[step[fits], place[fits]] = True
+        here = coarse[k:upto]
+        around = seen[here - first].copy()
+        for by in (-2, -1, 1, 2):
+            around |= seen[here - first + by]
+        kept.append(here[around.sum(axis=1) >= need])
+        k = upto
+    return np.concatenate(kept) if kept else coarse
+
+
 def scan(words: np.ndarray, index: Index) -> list[tuple[int, int, float, int, int]]:
     """(template, matched words, coverage, first word, end word) of each find, by place."""
     grams = textops.shingle_hashes(words, GRAM)
@@ -145,12 +203,13 @@ def scan(words: np.ndarray, index: Index) -> list[tuple[int, int, float, int, in
     entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
     seeds = np.unique(np.stack([index.template[entry], (np.repeat(picked, n) - index.place[entry]) // BAND], axis=1), axis=0)
     finds = set()  # neighbouring bands overlap
-    for t, coarse in seeds.tolist():
+    for t in np.unique(seeds[:, 0]).tolist():
         template = index.words[t]
-        first = max(0, coarse * BAND - 2 * BAND)
-        part = words[first : coarse * BAND + len(template) + 3 * BAND]
-        for matched, start, end in align_all(template, part, coarse * BAND + BAND // 2 - first, 2 * BAND):
-            finds.add((t, matched, matched / len(template), first + start, first + end))
+        coarse = hopeful(template, words, seeds[seeds[:, 0] == t, 1])
+        lo = np.maximum(0, coarse * BAND - 2 * BAND)
+        hi = np.minimum(len(words), coarse * BAND + len(template) + 3 * BAND)
+        for matched, start, end in align_all(template, words, lo, hi, coarse * BAND + BAND // 2, 2 * BAND):
+            finds.add((t, matched, matched / len(template), start, end))
     out: list[tuple[int, int, float, int, int]] = []
     starts: list[int] = []  # of the spans chosen, which don't overlap
     for f in sorted(finds, key=lambda f: (-f[1], -f[2], f[3], f[0])):

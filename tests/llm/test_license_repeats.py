@@ -117,3 +117,43 @@ def test_altered_texts_equal_an_unbanded_alignment(name):
             assert [(f[1], f[3], f[4]) for f in got] == [want[1:]] and abs(got[0][2] - want[1] / len(template)) < 1e-12
         else:
             assert got == []
+
+
+def phrases(name, n, seed=5):
+    """n words of a template's phrases of four words, in any order."""
+    r = random.Random(seed)
+    words = license_scan.TEMPLATES[name].split()
+    parts = [words[i : i + 4] for i in range(0, len(words), 4)]
+    return sum((r.choice(parts) for _ in range(n // 4)), [])
+
+
+@pytest.mark.parametrize("words", [phrases("MIT text", 160_000), phrases("Zlib text", 160_000), "the software is".split() * 53_000, "rights reserved all".split() * 20_000])
+def test_near_misses_take_little_time(words):
+    hashes = test_license.hashes(" ".join(words))
+    began = time.process_time()
+    finds = license_scan.scan(hashes, INDEX)
+    assert time.process_time() - began < 10
+    assert {INDEX.names[f[0]] for f in finds} <= {"All rights reserved notice"}
+
+
+def test_a_find_among_near_misses():
+    before, notice, after = (test_license.hashes(x) for x in (" ".join(phrases("MIT text", 30_000)), license_scan.TEMPLATES["MIT text"], " ".join(phrases("MIT text", 30_000, 6))))
+    finds = [f for f in license_scan.scan(np.concatenate([before, notice, after]), INDEX) if INDEX.names[f[0]] == "MIT text"]
+    assert [f[1:] for f in finds] == [(len(notice), 1.0, len(before), len(before) + len(notice))]
+
+
+@pytest.mark.parametrize("cells", [1, 1000, license_scan.STEPS])
+def test_what_is_left_out_can_hold_no_find(monkeypatch, cells):
+    """A diagonal that is left out has no alignment that reaches the coverage, however the table is divided."""
+    monkeypatch.setattr(license_scan, "STEPS", cells)
+    r = random.Random(7)
+    for name in ("MIT notice", "ISC text", "GPL header"):
+        template = INDEX.words[INDEX.names.index(name)]
+        text = np.array([w if r.random() < 0.8 else r.getrandbits(60) for _ in range(3) for w in template.tolist() + template.tolist()[: r.randint(0, len(template))]], dtype=np.uint64)
+        steps = np.arange(-len(template) // license_scan.BAND, len(text) // license_scan.BAND + 1)
+        kept = license_scan.hopeful(template, text, steps)
+        shift = steps * license_scan.BAND + license_scan.BAND // 2
+        lo, hi = np.zeros(len(steps), np.int64), np.full(len(steps), len(text))
+        matched = license_scan.align(template, text, lo, hi, shift, 2 * license_scan.BAND)[1]
+        bound = license_scan.reach(template, text, lo, hi, shift, 2 * license_scan.BAND)
+        assert (matched <= bound).all() and set(steps[matched >= license_scan.MIN_COVERAGE * len(template)]) <= set(kept)
