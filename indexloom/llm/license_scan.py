@@ -95,7 +95,7 @@ def _band(template: np.ndarray, words: np.ndarray, i: int | np.ndarray, lo: np.n
     """Places in the text that lie in the bands at the template's place i, whether they are in their pieces, and whether they hold its word."""
     at = np.add.outer(shift + i, np.arange(-band, band + 1))
     inside = (at >= lo[:, None]) & (at < hi[:, None])
-    return at, inside, inside & (words[np.clip(at, 0, len(words) - 1)] == template[i])
+    return at, inside, inside & (words.take(at, mode="clip") == template[i])
 
 
 def align(template: np.ndarray, words: np.ndarray, lo: np.ndarray, hi: np.ndarray, shift: np.ndarray, band: int = BAND) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -104,14 +104,14 @@ def align(template: np.ndarray, words: np.ndarray, lo: np.ndarray, hi: np.ndarra
     rows, column = np.arange(many), np.arange(width)
     best = np.zeros((4, many), np.int64)
     score, matched, start = np.zeros((many, width), np.int64), np.zeros((many, width), np.int64), np.full((many, width), -1, np.int64)
-    beyond = np.full((many, 1), -(1 << 40))
+    beyond, none, cells = np.full((many, 1), -(1 << 40)), np.zeros((many, 1), np.int64), rows[:, None] * width
     for i in range(len(template)):
         at, inside, equal = _band(template, words, i, lo, hi, shift, band)
         diagonal = score + np.where(equal, MATCH, MISMATCH)
         up = np.concatenate([score[:, 1:], beyond], axis=1) + GAP  # the template's word has no partner
         take_up = up > diagonal
         new = np.where(take_up, up, diagonal)
-        up_m, up_s = np.roll(matched, -1, axis=1), np.roll(start, -1, axis=1)
+        up_m, up_s = np.concatenate([matched[:, 1:], none], axis=1), np.concatenate([start[:, 1:], none], axis=1)
         new_m = np.where(take_up, up_m, matched + equal)
         new_s = np.where(take_up, up_s, np.where(start < 0, at, start))
         dead = (new <= 0) | ~inside
@@ -119,12 +119,14 @@ def align(template: np.ndarray, words: np.ndarray, lo: np.ndarray, hi: np.ndarra
         # a text's word has no partner: each cell's value may come from any cell before it, less the gaps; the last of equals
         level = new - GAP * column
         source = np.maximum.accumulate(np.where(level == np.maximum.accumulate(level, axis=1), column, 0), axis=1)
-        score = np.take_along_axis(new, source, axis=1) + GAP * (column - source)
-        matched, start = np.take_along_axis(new_m, source, axis=1), np.take_along_axis(new_s, source, axis=1)
-        k = np.where(equal, score, -1).argmax(axis=1)
-        now = np.where(equal[rows, k], score[rows, k], -1)
+        score = new.take(cells + source) + GAP * (column - source)
+        matched, start = new_m.take(cells + source), new_s.take(cells + source)
+        shown = np.where(equal, score, -1)
+        k = shown.argmax(axis=1)
+        now = shown[rows, k]
         better = now > best[0]
-        best[:, better] = np.stack([now, matched[rows, k], start[rows, k], at[rows, k] + 1])[:, better]
+        if better.any():
+            best[:, better] = np.stack([now, matched[rows, k], start[rows, k], at[rows, k] + 1])[:, better]
     return tuple(best)
 
 
@@ -140,15 +142,17 @@ def align_all(template: np.ndarray, words: np.ndarray, lo: np.ndarray, hi: np.nd
     """(matched words, start, end) of the best local alignment of each piece and, again and again, of those in what it leaves on either side, as far as they reach MIN_COVERAGE."""
     need = MIN_COVERAGE * len(template)
     found: set[tuple[int, int, int]] = set()
+    whole = True  # the first pieces are hopeful diagonals
     while len(lo):
         rest = []
         for k in range(0, len(lo), PIECES):
             part = [x[k : k + PIECES] for x in (lo, hi, shift)]
             part = [x[part[1] - part[0] >= need] for x in part]
-            able = reach(template, words, *part, band) >= need
-            if not able.any():
+            if not whole and len(part[0]):
+                able = reach(template, words, *part, band) >= need
+                part = [x[able] for x in part]
+            if not len(part[0]):
                 continue
-            part = [x[able] for x in part]
             _, matched, start, end = align(template, words, *part, band)
             found |= {x for x in zip(matched.tolist(), start.tolist(), end.tolist(), strict=True) if x[0] >= need}
             some = matched > 0
@@ -156,6 +160,7 @@ def align_all(template: np.ndarray, words: np.ndarray, lo: np.ndarray, hi: np.nd
         if not rest:
             break
         lo, hi, shift = (np.concatenate(x) for x in zip(*rest, strict=True))
+        whole = False
     return found
 
 
