@@ -149,6 +149,17 @@ def test_json_offers(spark):
     assert got[3][0][:2] == (5199.0, "QP") and set(got) == {1, 2, 3}
 
 
+def test_json_offers_are_found_within_the_payload(spark):
+    """No shuffle of nodes; payloads that share an id, or have none, stay apart; signs of offers side by side don't mix."""
+    other = {"Results": [{"AirlineCode": "6E", "TotalFare": 7000}]}
+    beside = {"a": [{"airline": {"code": 5, "name": "IndiGo"}, "p": [{"TF": 0}, {"TF": 4100, "fare": 1100}]}, {"fare": 3000}, {"x": {"carrier": "AI 101", "stops": [1, 2]}, "price": 5200, "std": "04:00"}]}
+    docs = [(1, json.dumps(FLAT)), (1, json.dumps(other)), (None, json.dumps(other)), (2, json.dumps(beside))]
+    got = offers.json_offers(spark.createDataFrame(docs, "doc_id long, payload string"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("MapInArrow") == 1
+    assert sorted((r.doc_id or 0, r.total_fare, r.carrier, r.flight_no, r.stops, r.dep_raw) for r in got.collect()) == [(0, 7000.0, "6E", None, None, None), (1, 4875.0, "QP", "QP1102", 0, None), (1, 6245.0, "SG", "SG8169", 1, None), (1, 7000.0, "6E", None, None, None), (2, 4100.0, "6E", None, None, None), (2, 5200.0, "AI", "AI101", None, "04:00")]
+
+
 def test_page_offers(spark):
     hit = "<div><div class=row><span>IndiGo</span> <b>6E-2043</b> 04:00 <i>₹5,432</i></div><p>₹9,999 only</p></div>"
     rows = "<ul>" + "".join(f"<li><span>{n}</span><span>{p}</span></li>" for n, p in (("Mystery Airlines here", "₹4,100"), ("Air India Express", "₹5,200"), ("IndiGo flight", "₹299"), ("IndiGo flight", "₹4,00,000"))) + "</ul>"
