@@ -212,6 +212,16 @@ def test_journey_offers(spark):
     assert got[:2] == [(1, 5000.0, "", "", 2, ""), (1, 6324.0, "SG", "SG510", 0, "2026-09-10 04:00")] and len(got) == 4
 
 
+def test_journey_payloads_are_parsed_once(spark):
+    """One branch for both kinds of payloads, and no shuffle."""
+    known = {"j": [{"s": [{"SD": "Non-Stop|6324|10|DEL-BOM||", "segMatchingKey": "DELBOMThu-10Sep202604:0006:15SG 510"}]}], "also": FLAT}
+    p = spark.createDataFrame([(1, json.dumps(known), "DEL", "BOM"), (2, json.dumps(FLAT), "DEL", "BOM"), (3, "{", "DEL", "BOM"), (4, None, "DEL", "BOM"), (5, json.dumps(known), "DEL", "BLR")], "doc_id long, payload string, origin string, destination string")
+    got = offers.journey_offers(p)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Union" not in plan and plan.count("MapInArrow") == 1
+    assert sorted((r.doc_id, r.total_fare, r.flight_no) for r in got.collect()) == [(1, 6324.0, "SG510"), (2, 4875.0, "QP1102"), (2, 6245.0, "SG8169"), (5, 4875.0, "QP1102"), (5, 6245.0, "SG8169")]
+
+
 def test_other_walks(spark):
     p = spark.createDataFrame([(1, json.dumps({"a": [1500, 50, {"b": 2000.5}], "c": True, "d": "3000", "e": [{"x.y": 1}, {"z": {"u": [[2000]]}}]})), (2, "[")], "doc_id long, payload string")
     assert [r.number for r in offers.numbers(p).orderBy("path").collect()] == [1500.0, 2000.5, 2000.0]
