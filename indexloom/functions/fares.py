@@ -24,6 +24,9 @@ SHOWN_NAMES = [("IX", "air india express"), ("AI", "air india"), ("6E", "indigo"
 #: How a price is marked, the codes, and how the two texts of the known layout are built. Fixed values.
 FLIGHT_NO = rf"(?i)\b{CODES}[\s-]?(\d{{2,4}})\b"
 PRICE = r"(?i)(?:₹|rs\.?|inr)\s*([\d,]{3,10})"
+RUPEES = r"₹\s*([\d,]{3,10})"
+#: Some part of every price that one of these two finds: a cheap test before them.
+MARK = re.compile("₹|rs|inr", re.IGNORECASE)
 
 
 def none_if_empty(c: Column) -> Column:

@@ -1,5 +1,6 @@
 import json
 from datetime import date, datetime
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -182,6 +183,26 @@ def test_page_rows_parses_each_page_once(spark):
     assert got.where("doc_id > 2").count() == 0
 
 
+def test_page_rows_are_found_within_the_page(spark):
+    """No shuffle, for rows and offers; pages that share an id stay apart: one's rows don't hide another's offers."""
+    row, offer = "<li><span>Air India Express</span> <span>₹5,200</span></li>", "<div><b>6E-2043</b> 04:00 <i>Rs 5,432</i></div>"
+    pages = spark.createDataFrame([(1, f"<ul>{row}{row}</ul>{offer}"), (1, offer + offer), (2, "")], "doc_id long, payload string")
+    rows, shown = offers.page_rows(pages), offers.page_offers(pages)
+    assert all("Exchange" not in x._jdf.queryExecution().executedPlan().toString() for x in (rows, shown))
+    assert sorted((r.doc_id, r.total_fare, r.carrier, r.flight_no) for r in rows.collect() if r.carrier) == [(1, 5200.0, "IX", None), (1, 5432.0, "6E", "6E2043")]
+    assert sorted((r.doc_id, r.total_fare, r.flight_no) for r in shown.collect()) == [(1, 5432.0, "6E2043")] * 2
+
+
+def test_plain_markup_is_read_as_the_library_reads_it():
+    class ByLibrary(offers._Blocks):
+        goahead = HTMLParser.goahead
+
+    odd = ["<p a=b/>x", "<p a='>' disabled>x", '<div\x0bclass="a">x</div\x0b>', "<br/>x<p />y", "<script>var t = '</p>'; a<b</script>x", "<STYLE>a{}</style>x", "<script>x</style></script>y", "<script><!-- <b> --></script>x", "<script/>x", "<!---->x", "<!-->x", "<!-- a - b -->x", "<!-- a -- b -->x", "<!DOCTYPE html>x", "<?pi?>x", "</ p>x", "</p x>", "< b", "&amp;&#8377;4,100 &am", '<p a="', "<title>a<b>c</title>", "<", "</>"]
+    for x in odd:
+        for page in (x, f"<div>{x}", f"{x}<p>y</p></div> z", f"<div>{x}<p>y</p></div> z"):
+            assert offers._Blocks(page, 400).done == ByLibrary(page, 400).done, page
+
+
 def test_unreadable_payloads_are_counted(spark):
     deep = "[" * 100_000 + "]" * 100_000
     p = spark.createDataFrame([(1, "{"), (2, deep), (3, "{}"), (4, None), (5, ""), (6, '{"fare": 5000, "airline": "6E 1"}')], "doc_id long, payload string")
